@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, jaccard_join, lang_id, mixing, token_count
-from threadloom.llm.shared import cut
+from threadloom.llm import bpe, jaccard_join, lang_id, mixing, token_bin, token_count, warc
+from threadloom.llm.shared import cut, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,18 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_token_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "tokens")
+    token_bin.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_bin.read(spark, folder, with_ids=False)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
     mixed = mixing.sample(cut(docs))
@@ -50,6 +62,6 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_jaccard_join, op7_mixing)
+    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_jaccard_join, op5_warc, op6_token_bin, op7_mixing)
 }
 ORACLE_SQL: dict[str, str] = {}
