@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, jaccard_join, lang_id, mixing, token_bin, token_count, warc
+from threadloom.llm import bpe, jaccard_join, lang_id, lbl_lm, mixing, token_bin, token_count, warc
 from threadloom.llm.shared import cut, shared_dir
 
 
@@ -61,7 +61,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lbl_lm.score(_table(spark, sf_dir, "documents"), lang_id.fold("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_jaccard_join, op5_warc, op6_token_bin, op7_mixing)
+    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_jaccard_join, op5_warc, op6_token_bin, op7_mixing, op8_lm_scoring)
 }
 ORACLE_SQL: dict[str, str] = {}
