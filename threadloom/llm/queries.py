@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, jaccard_join, lang_id, lbl_lm, mixing, token_bin, token_count, warc
+from threadloom.llm import bpe, ivfpq, jaccard_join, lang_id, lbl_lm, mixing, token_bin, token_count, vec_dedup, warc
 from threadloom.llm.shared import cut, shared_dir
 
 
@@ -66,7 +66,15 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vec_dedup.link(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_jaccard_join, op5_warc, op6_token_bin, op7_mixing, op8_lm_scoring)
+    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_jaccard_join, op5_warc, op6_token_bin, op7_mixing, op8_lm_scoring, op9_vector_dedup, op10_nearest)
 }
 ORACLE_SQL: dict[str, str] = {}
