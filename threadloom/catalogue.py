@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from threadloom.plans import mail_queries, sql_queries
+from threadloom.streaming import windows
+
+QUERIES: dict = {**mail_queries.QUERIES, **sql_queries.QUERIES, **windows.QUERIES}
+ORACLE_SQL: dict[str, str] = {**mail_queries.ORACLE_SQL, **sql_queries.ORACLE_SQL, **windows.ORACLE_SQL}
