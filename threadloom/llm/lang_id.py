@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.llm.shared import free_name
 from threadloom.llm.words import buffers, chunks
 
 #: Labelled rows for each language that the fit may see, landmarks among them, and the ridge.
@@ -132,7 +133,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
     """``df`` with the predicted language and its score (0 to 1); columns already so named are an error."""
     if {lang, score} & set(df.columns):
         raise ValueError(f"the input has a column named {lang} or {score}")
-    letter = "__has_letter"
+    letter = free_name(df, "__has_letter")
     fields = [f for f in df.schema.fields if keep_text or f.name != text]
     out = T.StructType([*fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     names = np.array([*model.languages, UNDETERMINED], dtype=object)
