@@ -109,12 +109,21 @@ def _library(path: str):
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
+    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    between = next(iter(special.items()), None)
+
     def encode(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces hold no added token, so one between them keeps them apart in a single call."""
+        if between is not None:
+            text, mark = between
+            runs = [text.join(found[i : i + 2000]) + text for i in range(0, len(found), 2000)]
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == mark)
+            return ids[ids != mark], np.diff(ends, prepend=-1) - 1
         ids = [e.ids for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for x in ids for i in x), np.int32, int(count.sum())), count
 
-    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     find = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
     return Memo(encode), special, find, tokenizer.get_vocab_size()
 
