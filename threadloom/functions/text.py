@@ -65,3 +65,9 @@ def denied(url: Column, domains: tuple[str, ...], endings: tuple[str, ...]) -> C
 def value_tokens(text: Column) -> Column:
     """The distinct words that hold a digit, sorted."""
     return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: w.rlike("[0-9]"))))
+
+
+def first_links(text: Column, most: int = 2) -> Column:
+    """The first distinct links of a text, without prose punctuation at their ends."""
+    links = F.regexp_extract_all(text, F.lit(r"https?://[^\s\"<>]+"), F.lit(0))
+    return F.slice(F.array_distinct(F.transform(links, lambda u: F.regexp_replace(u, r"[.,;:!?)]+$", ""))), 1, most)

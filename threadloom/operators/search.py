@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 # fixed values: the blend's weights and the label scores
 WEIGHTS = {"sim": 0.40, "bm25": 0.15, "recency": 0.15, "labels": 0.12, "replied": 0.08, "density": 0.06, "tsize": 0.04, "contact": 0.08, "fresh": 0.18}
-LABEL_SCORES = {"IMPORTANT": 0.4, "STARRED": 0.4, "SENT": 0.2, "INBOX": 0.1, "CATEGORY_PROMOTIONS": -0.3, "UNREAD": 0.05}
+LABEL_SCORES = {"IMPORTANT": 0.35, "CATEGORY_PERSONAL": 0.25, "CATEGORY_UPDATES": 0.10, "CATEGORY_SOCIAL": 0.0, "CATEGORY_PROMOTIONS": -0.15, "SENT": 0.15, "INBOX": 0.10, "STARRED": 0.30}
 
 
 def dot(vector: Column, query: list[float]) -> Column:
@@ -61,8 +61,8 @@ def fuse(first: DataFrame, second: DataFrame, k: int = 60, id: str = "id") -> Da
 
 def recency(date: Column, as_of: str, half_life_days: float = 60.0) -> Column:
     """exp(-0.693 days / half life); the future counts as now, an unreadable date as never."""
-    days = F.floor((F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.try_to_timestamp(date))) / 86400)
-    return F.coalesce(F.exp(-0.693 * F.greatest(days, F.lit(0)) / half_life_days), F.lit(0.0))
+    days = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.try_to_timestamp(date))) / 86400
+    return F.coalesce(F.exp(-0.693 * F.greatest(days, F.lit(0.0)) / half_life_days), F.lit(0.0))
 
 
 def label_score(labels: Column) -> Column:
@@ -89,3 +89,29 @@ def drop_off_topic(ranked: DataFrame, score: str, id: str, share: float = 0.4, l
     first = ranked.orderBy(F.desc(score), id).limit(least).select(id, F.lit(True).alias("__first"))
     kept = marked.join(F.broadcast(passed)).join(F.broadcast(first), id, "left")
     return kept.where(F.when(F.col("__passed") >= least, F.col("__ok")).otherwise(F.col("__first").isNotNull() | F.col("__ok"))).select(ranked.columns)
+
+
+def blend(threads: DataFrame, as_of: str, phrase: str, boost: float = 0.0) -> DataFrame:
+    """``threads`` with ``score``; they carry sim, bm25, matched, message_count, date_last, subject, all_labels, contact and replied.
+
+    ``boost`` moves weight from similarity to recency where a query asks for recent mail.
+    A strong match that is also recent gets a bonus.
+    """
+    w, n = WEIGHTS, F.col("message_count")
+    fresh = recency(F.col("date_last"), as_of)
+    top = threads.agg(F.max("bm25").alias("__top"))  # one row
+    share = F.when(F.col("__top") > 0, F.col("bm25") / F.col("__top")).otherwise(F.lit(0.0))
+    exact = F.lower("subject").contains(phrase.strip().lower()) if phrase.strip() else F.lit(False)
+    strength = F.greatest(F.col("sim"), share, F.when(exact, F.lit(1.0)).otherwise(F.lit(0.0)))
+    score = (
+        (w["sim"] - boost) * F.col("sim")
+        + w["bm25"] * F.col("bm25")
+        + (w["recency"] + boost) * fresh
+        + w["labels"] * label_score(F.col("all_labels"))
+        + F.when(F.col("replied"), F.lit(w["replied"])).otherwise(F.lit(0.0))
+        + w["density"] * F.least(F.col("matched") / n, F.lit(1.0))
+        + w["tsize"] * F.when(n > 1, F.least(F.log(n) / F.log(F.lit(50.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+        + w["contact"] * F.col("contact")
+        + w["fresh"] * strength * fresh
+    )
+    return threads.join(F.broadcast(top)).withColumn("score", score).drop("__top")

@@ -248,7 +248,7 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     return search.fuse(b, v)
 
 
-@query("SELECT id, round(exp(-0.693 * greatest(floor((epoch(TIMESTAMP '2024-01-31') - epoch(CAST(substr(date, 1, 19) AS TIMESTAMP))) / 86400), 0) / 60), 6) AS recency FROM messages", "messages")
+@query("SELECT id, round(exp(-0.693 * greatest((epoch(TIMESTAMP '2024-01-31') - epoch(CAST(substr(date, 1, 19) AS TIMESTAMP))) / 86400, 0) / 60), 6) AS recency FROM messages", "messages")
 def recency_score(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "messages").select("id", F.round(search.recency(F.col("date"), AS_OF), 6).alias("recency"))
 
