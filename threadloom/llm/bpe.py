@@ -28,7 +28,7 @@ from threadloom.llm.automaton import automaton
 from threadloom.llm.words import buffers, chunks, mix
 
 _NEVER = 1 << 60
-_MEMO = 400_000
+_MEMO = 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -369,7 +369,7 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             _, offsets = buffers(column)
-            for i, j in chunks(offsets, 4 << 20):
+            for i, j in chunks(offsets, 1 << 20):
                 texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
                 flat, count = encode_texts(memo, texts, encoder.special, encoder.v.special)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat, pa.int32()))
@@ -396,10 +396,10 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", text: str = "d
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             count = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-            flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.int64)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
             edge = np.concatenate([[0], np.cumsum(count)])
-            for i, j in chunks(edge, 1 << 20):
-                own = flat[edge[i] : edge[j]]
+            for i, j in chunks(edge, 1 << 18):
+                own = flat[edge[i] : edge[j]].astype(np.int64)
                 width = v.width[own]
                 upto = np.concatenate([[0], np.cumsum(width)])
                 where = np.repeat(v.offset[own] - upto[:-1], width) + np.arange(upto[-1])
