@@ -5,9 +5,12 @@ from __future__ import annotations
 import numpy as np
 
 
-def automaton(patterns: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
-    """(next state by ``state * 256 + byte``, value of the longest pattern that ends in a state or -1,
-    value of the next shorter pattern that ends a pattern, by its value)."""
+def automaton(patterns: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
+    """(next state by ``row[state] + byte``, ``row``, value of the longest pattern that ends in a state or -1,
+    value of the next shorter pattern that ends a pattern, by its value).
+
+    A state that no pattern goes on from moves as its failure state does, so both have one row.
+    """
     child: list[dict[int, int]] = [{}]
     own = [-1]
     for pattern, value in patterns:
@@ -20,7 +23,10 @@ def automaton(patterns: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray
                 own.append(-1)
             at = nxt
         own[at] = value
-    go = np.zeros((len(child), 256), np.int32)
+    inner = [s for s, c in enumerate(child) if c or s == 0]
+    go = np.zeros((len(inner), 256), np.int32)
+    row = np.zeros(len(child), np.int64)
+    row[inner] = np.arange(len(inner))
     longest = np.array(own, np.int32)
     shorter: dict[int, int] = {}
     level = [(s, 0) for s in child[0].values()]
@@ -33,9 +39,12 @@ def automaton(patterns: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray
                 longest[s] = longest[fail]
             elif longest[fail] >= 0:
                 shorter[int(longest[s])] = int(longest[fail])
-            go[s] = go[fail]
+            if not child[s]:
+                row[s] = row[fail]
+                continue
+            go[row[s]] = go[row[fail]]
             for byte, c in child[s].items():
-                following.append((c, int(go[fail, byte])))
-                go[s, byte] = c
+                following.append((c, int(go[row[fail], byte])))
+                go[row[s], byte] = c
         level = following
-    return go.ravel(), longest, shorter
+    return go.ravel(), row << 8, longest, shorter

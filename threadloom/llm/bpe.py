@@ -119,7 +119,7 @@ class Encoder:
         self.cache_value = np.zeros(1 << self.CACHE_BITS, bool)
         tokens = self._reachable()
         # over reversed tokens: read from the right, its state at a byte knows the longest token that begins there
-        self.go, self.longest, _ = automaton([(v.token[i][::-1], i) for i in tokens])
+        self.go, self.row, self.longest, _ = automaton([(v.token[i][::-1], i) for i in tokens])
         shorter = np.full(len(v.token), -1, np.int32)
         known = {v.token[i]: i for i in tokens}
         for t, i in known.items():
@@ -216,7 +216,7 @@ class Encoder:
         state, end = np.zeros(len(words), np.int64), edge[1:][order]
         for t, n in enumerate(upto):
             at = end[:n] - 1 - t
-            state[:n] = self.go[(state[:n] << 8) + data[at]]
+            state[:n] = self.go[self.row[state[:n]] + data[at]]
             begins[at] = self.longest[state[:n]]
         stack = np.zeros(len(data) + 1, np.int32)
         dead = np.zeros(len(data) + 1, bool)
@@ -344,7 +344,10 @@ def _vocabulary(path: str) -> Vocabulary:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> tuple[Encoder, Memo]:
-    encoder = Encoder(_vocabulary(path))
+    vocabulary = Vocabulary(path)
+    encoder = Encoder(vocabulary)
+    for built_from in (vocabulary.rank, vocabulary.parts, vocabulary.formed, vocabulary.ids):
+        built_from.clear()
     return encoder, Memo(encoder.encode_pieces)
 
 
@@ -369,7 +372,7 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             _, offsets = buffers(column)
-            for i, j in chunks(offsets, 1 << 20):
+            for i, j in chunks(offsets, 1 << 19):
                 texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
                 flat, count = encode_texts(memo, texts, encoder.special, encoder.v.special)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat, pa.int32()))

@@ -140,7 +140,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
     block = max(1, (8 << 20) // max(1, 4 * len(model.vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column_of = np.full(1 << 24, -1, np.int32)
+        column_of = np.full(1 << 24, -1, np.int16 if len(model.vocabulary) < 1 << 15 else np.int32)
         column_of[model.vocabulary] = np.arange(len(model.vocabulary))
         for batch in batches:
             data, offsets = buffers(batch.column(batch.schema.get_field_index(text)))

@@ -44,7 +44,7 @@ class Counter:
         self.score = np.array([s for _, s in pieces], np.float64)
         self.width = np.array([len(b) for b in data], np.int64)
         self.unknown = float(self.score.min()) - 10.0
-        self.go, self.longest, shorter = automaton([(b, k) for k, b in enumerate(data)])
+        self.go, self.row, self.longest, shorter = automaton([(b, k) for k, b in enumerate(data)])
         self.shorter = np.full(len(data), -1, np.int64)
         for k, s in shorter.items():
             self.shorter[k] = s
@@ -64,7 +64,7 @@ class Counter:
         upto = np.searchsorted(-length[order], -np.arange(int(length.max())), "left")
         for t, n in enumerate(upto):
             byte = data[start[:n] + t]
-            state[:n] = self.go[(state[:n] << 8) + byte]
+            state[:n] = self.go[self.row[state[:n]] + byte]
             char[:n] = np.where((byte & 0xC0) == 0x80, char[:n] + 1, 1)
             node = at_node[:n] + t + 1
             top, total = np.full(n, -np.inf), np.zeros(n, np.int64)

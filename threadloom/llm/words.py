@@ -19,7 +19,7 @@ _LOWER[65:91] += 32
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE_CODE = np.random.RandomState(20240101).randint(1, 1 << 62, 256).astype(np.uint64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,17 +31,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, int(n - 1).bit_length())
-    if size not in _powers:
-        with np.errstate(over="ignore"):
-            for old in [k for k in _powers if k > 2 * CHUNK_BYTES]:
-                del _powers[old]
-            base = np.full(size, _U(_P)), np.full(size, _U(_P_INV))
-            for b in base:
-                b[0] = _U(1)
-                np.multiply.accumulate(b, out=b)
-            _powers[size] = base
-    return _powers[size]
+    """At least ``n`` powers of the base and of its inverse; those for one run of rows are kept."""
+    if _powers and n <= len(_powers[0][0]):
+        return _powers[0]
+    size = max(CHUNK_BYTES, n)
+    with np.errstate(over="ignore"):
+        base = np.full(size, _U(_P)), np.full(size, _U(_P_INV))
+        for b in base:
+            b[0] = _U(1)
+            np.multiply.accumulate(b, out=b)
+    if size == CHUNK_BYTES:
+        _powers.append(base)
+    return base
 
 
 @dataclass
