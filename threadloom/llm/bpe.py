@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from threadloom.llm.automaton import automaton
+from threadloom.llm.shared import held, small_batches
 from threadloom.llm.words import buffers, chunks, mix
 
 _NEVER = 1 << 60
@@ -342,8 +343,11 @@ def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> tuple[Encoder, Memo]:
+    return held(("byte-level encoder", path), lambda: _new_encoder(path))
+
+
+def _new_encoder(path: str) -> tuple[Encoder, Memo]:
     vocabulary = Vocabulary(path)
     encoder = Encoder(vocabulary)
     for built_from in (vocabulary.rank, vocabulary.parts, vocabulary.formed, vocabulary.ids):
@@ -364,6 +368,7 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "
     """
     if ids in df.columns:
         raise ValueError(f"the input has a column named {ids}")
+    small_batches(df.sparkSession)
     out = _schema(df, [(ids, T.ArrayType(T.IntegerType()))], () if keep_text else (text,))
     names = [f.name for f in out.fields]
 
@@ -391,6 +396,7 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", text: str = "d
     """
     if text in df.columns:
         raise ValueError(f"the input has a column named {text}")
+    small_batches(df.sparkSession)
     out = _schema(df, [(text, T.StringType())], () if keep_ids else (ids,))
     names = [f.name for f in out.fields]
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.shared import free_name
+from threadloom.llm.shared import free_name, held, small_batches
 from threadloom.llm.words import buffers, chunks
 
 #: Labelled rows for each language that the fit may see, landmarks among them, and the ridge.
@@ -107,6 +107,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     Rows are drawn by a hash of ``key``; only their distinct gram ids, at most some
     thousands a row, reach the driver, never texts.
     """
+    small_batches(df.sparkSession)
     labelled = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.crc32(F.concat_ws("#", F.lit("language sample"), F.col(key).cast("string"))).alias("h")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -133,6 +134,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
     """``df`` with the predicted language and its score (0 to 1); columns already so named are an error."""
     if {lang, score} & set(df.columns):
         raise ValueError(f"the input has a column named {lang} or {score}")
+    small_batches(df.sparkSession)
     letter = free_name(df, "__has_letter")
     fields = [f for f in df.schema.fields if keep_text or f.name != text]
     out = T.StructType([*fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
@@ -140,6 +142,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
     block = max(1, (8 << 20) // max(1, 4 * len(model.vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language model")
         column_of = np.full(1 << 24, -1, np.int16 if len(model.vocabulary) < 1 << 15 else np.int32)
         column_of[model.vocabulary] = np.arange(len(model.vocabulary))
         for batch in batches:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_held: dict = {}
+
+
+def held(key: object, build: Callable[[], object] | None = None) -> object:
+    """What ``build`` makes, kept in this Python worker until another key is asked for.
+
+    Workers outlive the tasks of one operator; without ``build`` the worker only lets go
+    of what an earlier operator left in it.
+    """
+    if key not in _held:
+        _held.clear()
+        if build is None:
+            return None
+        _held[key] = build()
+    return _held[key]
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bound the bytes of an Arrow batch unless the session has a lower bound: rows alone say nothing where texts may be very long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).removesuffix("b")
+    if now.isdigit() and int(now) > most:
+        spark.conf.set(name, str(most))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """``stem``, or a variant that clashes with no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from threadloom.llm.shared import held
+
 CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -87,6 +89,7 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 def words(column: pa.Array) -> Iterator[Words]:
     """The words of each run of rows of ``column``."""
+    held("words")
     data, offsets = buffers(column)
     for i, j in chunks(offsets):
         at = offsets[i : j + 1] - offsets[i]
