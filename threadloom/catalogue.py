@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from threadloom.plans import mail_queries, sql_queries, store_queries
+from threadloom.plans import fact_queries, mail_queries, sql_queries, store_queries
 from threadloom.streaming import windows
 
-QUERIES: dict = {**mail_queries.QUERIES, **sql_queries.QUERIES, **store_queries.QUERIES, **windows.QUERIES}
-ORACLE_SQL: dict[str, str] = {**mail_queries.ORACLE_SQL, **sql_queries.ORACLE_SQL, **store_queries.ORACLE_SQL, **windows.ORACLE_SQL}
+QUERIES: dict = {**fact_queries.QUERIES, **mail_queries.QUERIES, **sql_queries.QUERIES, **store_queries.QUERIES, **windows.QUERIES}
+ORACLE_SQL: dict[str, str] = {**fact_queries.ORACLE_SQL, **mail_queries.ORACLE_SQL, **sql_queries.ORACLE_SQL, **store_queries.ORACLE_SQL, **windows.ORACLE_SQL}
