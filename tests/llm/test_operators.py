@@ -273,3 +273,44 @@ def test_nearest(spark):
             hits, total = hits + len({j for _, j in want} & {r["vec_id"] for r in own}), total + 20
     assert hits >= 0.95 * total
     assert ivfpq.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_one_kept_table_per_worker():
+    from threadloom.llm import shared
+
+    made = []
+    shared.held("a", lambda: made.append("a") or "A")
+    assert shared.held("a", lambda: made.append("again")) == "A"
+    assert shared.held("b") is None
+    shared.held("a", lambda: made.append("a") or "A")
+    assert made == ["a", "a"]
+    shared.held("none left")
+
+
+def test_batch_bound_keeps_a_lower_one(spark):
+    from threadloom.llm import shared
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("1000", "1000"), (str(1 << 30), str(4 << 20))):
+            spark.conf.set(name, given)
+            shared.small_batches(spark)
+            assert spark.conf.get(name).removesuffix("b") == want
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_automaton_finds_the_longest_pattern():
+    import itertools
+
+    from threadloom.llm.automaton import automaton
+
+    patterns = [b"a", b"ab", b"bab", b"bc", b"bca", b"c", b"caa"]
+    go, row, longest, _ = automaton([(p, k) for k, p in enumerate(patterns)])
+    for text in map(bytes, itertools.product(b"abcd", repeat=5)):
+        state = 0
+        for n, byte in enumerate(text, 1):
+            state = go[row[state] + byte]
+            ends = [p for p in patterns if text[:n].endswith(p)]
+            assert longest[state] == (patterns.index(max(ends, key=len)) if ends else -1)
