@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 from threadloom.llm import bpe, jaccard_join, lang_id, mixing
 from threadloom.llm.shared import cut, free_name
 
-#: A document goes if no language reaches this score (0.5: no classifier says yes).
-LEAST_LANGUAGE_SCORE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language can be told; it is learnt from those with a label."""
+    """Keep all documents but those op2 calls undetermined (null text, no letter, or no labelled document to learn from).
+
+    A low score is no reason to go: short or little telling texts score below 0.5 in every language.
+    """
     model = lang_id.fit(docs.where(lang_id.fold("doc_id", 4) != 2))
     lang, score = free_name(docs, "__lang"), free_name(docs, "__score")
     told = lang_id.predict(docs, model, lang=lang, score=score)
-    return told.where((F.col(lang) != lang_id.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    return told.where(F.col(lang) != lang_id.UNDETERMINED).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

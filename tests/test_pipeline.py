@@ -1,0 +1,32 @@
+"""The pipeline's stages on small tables."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import SparkSession
+
+import corpus_pipeline
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_language_keeps_short_documents(spark):
+    """Only null texts and texts without a letter go, however low the best score is."""
+    rng = random.Random(3)
+    letters = {"one": "bcdfg", "two": "hijkl", "three": "mnopq", "four": "rstuv"}
+    rows = [(k, " a ".join("".join(rng.choice(own) for _ in range(4)) for _ in range(20)), lang, "s", 1) for k, (lang, own) in enumerate([*letters.items()] * 20)]
+    short = [(100, "A.", "one", "s", 1), (101, "a a A!!", None, "s", 1), (102, "\u5b57", "two", "s", 1), (None, "A", "four", "s", 1)]
+    none = [(110, None, "one", "s", 1), (111, "", "two", "s", 1), (112, "12 !!", None, "s", 1)]
+    docs = spark.createDataFrame([*rows, *short, *none], SCHEMA)
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [*rows, *short]))
+    assert corpus_pipeline.language(spark, docs.limit(0), "").count() == 0
