@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from threadloom.llm import bpe, ivfpq, jaccard_join, lang_id, lbl_lm, mixing, token_bin, token_count, vec_dedup, warc
 from threadloom.llm.shared import shared_dir
+from threadloom.llm.words import words
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -228,6 +230,31 @@ def test_scoring(spark, docs):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_heads_are_counted_over_all_documents(spark):
+    """Words common in one long document alone are heads as in a count of the whole table."""
+    long = [(k, " ".join([f"rare{k}"] * 50), k % 5 != 0) for k in range(60)]
+    rows = [*long, *((k, f"w{k % 9} x", True) for k in range(60, 12000))]
+    docs = spark.createDataFrame(rows, "id long, text string, train boolean").select(F.xxhash64("id", "text").alias("key"), "train", "text")
+    got = lbl_lm.commonest(docs)
+    want = {lbl_lm.END, *(int(k) for w in words(pa.array([t for _, t, train in rows if train])) for k in lbl_lm.keys_of(w)[0])}
+    assert set(got.tolist()) == want and len(want) == 48 + 10 + 1
+    assert (np.diff(got) > 0).all()
+    assert lbl_lm.commonest(docs.limit(0)).tolist() == [lbl_lm.END]
+
+
+@pytest.mark.parametrize("top_level", [2, 4, 1 << 16])
+@pytest.mark.parametrize("heads", [1, 3, 20, 41, 1000])
+def test_heads_end_at_their_number(spark, monkeypatch, heads, top_level):
+    """Ties at the last place go by key, whatever level of the histogram they are on."""
+    monkeypatch.setattr(lbl_lm, "HEADS", heads)
+    monkeypatch.setattr(lbl_lm, "_TOP_LEVEL", top_level)
+    texts = [" ".join(f"w{k}" for k in range(40) for _ in range(1 + k % 4)), "w1 w2", None]
+    docs = spark.createDataFrame([(k, t, True) for k, t in enumerate(texts)] + [(9, "other " * 90, False)], "key long, text string, train boolean")
+    counts = Counter(int(k) for w in words(pa.array(texts)) for k in lbl_lm.keys_of(w)[0])
+    want = sorted(counts, key=lambda k: (-counts[k], k))[:heads]
+    assert lbl_lm.commonest(docs).tolist() == sorted({lbl_lm.END, *want})
+
+
 def test_class_probabilities_sum_to_one():
     model = lbl_lm.Model(np.full(20, 0.05))
     z = model.log_normalisers()

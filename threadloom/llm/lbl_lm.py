@@ -1,8 +1,8 @@
 """Language-model scoring: a log-bilinear neural model beside an add-one unigram base.
 
-Words are counted over all training documents.  A fixed number of frequent words
-(heads, found in a sample and counted exactly) are classes or carry their count to
-every task; all others meet their counts in one shuffle of (word, document, times).
+Words are counted over all training documents.  A fixed number of the commonest words
+(heads, by exact counts) are classes or carry their count to every task; all others
+meet their counts in one shuffle of (word, document, times).
 
 The model predicts the class of the next token: the commonest words, the end, and
 64 classes of other words by their last two bytes.  Two position-wise context vectors
@@ -20,7 +20,7 @@ documents every class is equally likely.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,14 +33,15 @@ from threadloom.llm.shared import cut
 from threadloom.llm.words import Words, mix, words
 
 _U = np.uint64
-#: Words whose counts go to every task (a table of at most this many rows), of which so many are classes; documents in the sample that proposes them.
+#: Words whose counts go to every task (a table of at most this many rows), of which so many are classes.
 HEADS = 1 << 15
 CLASSES = 960
-SAMPLE_DOCUMENTS = 4000
 TAILS = 64
 #: Vector length, noise samples a batch, tokens a batch, step size of the fit.
 WIDTH, NOISE, BATCH, RATE = 24, 48, 4096, 0.1
 _BLOCK = 1024
+#: Counts from here on share a level of the histogram that finds the heads.
+_TOP_LEVEL = 1 << 16
 END = int(mix(np.array([0x454E44], np.uint64))[0]) & ~63 & ((1 << 63) - 1)
 
 
@@ -162,22 +163,52 @@ def contexts(cls: np.ndarray, edge: np.ndarray, start: int) -> tuple[np.ndarray,
     return one, two
 
 
-def proposed_heads(docs: DataFrame) -> np.ndarray:
-    """The commonest words of a bounded sample of documents; which they are affects speed and fit, never counts."""
-    total = docs.count()
-    limit = int(min(1.0, SAMPLE_DOCUMENTS / max(total, 1)) * (1 << 32))
+def commonest(docs: DataFrame) -> np.ndarray:
+    """Keys (ascending) of the commonest words of all training documents, ties by key, and of the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            key, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return key, np.bincount(back, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
+
         for batch in batches:
             for w in words(batch.column(0)):
-                key, n = np.unique(keys_of(w)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["word", "n"])
-
-    sample = docs.where("train").where(F.pmod(F.xxhash64("key"), F.lit(1 << 32)) < limit).select("text")
-    top = sample.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(HEADS)
+                held.append(np.unique(keys_of(w)[0], return_counts=True))
+                size += len(held[-1][0])
+                if size > 1 << 20:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > 1 << 19:
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, held[0])], ["word", "n"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, merged())], ["word", "n"])
+
+    counted = cut(docs.where("train").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # histograms first: a plain limit would send HEADS rows of each task to the driver
+    level, part = F.least(F.col("n"), F.lit(_TOP_LEVEL)), F.shiftright("word", 47)
+    least, above = _reach(((-r["x"], r["count"]) for r in counted.groupBy(level.alias("x")).count().collect()), HEADS)
+    top = counted.where(level >= -least)
+    if -least < _TOP_LEVEL:
+        last, _ = _reach(((r["x"], r["count"]) for r in counted.where(level == -least).groupBy(part.alias("x")).count().collect()), HEADS - above)
+        top = top.where((level > -least) | (part <= last))
+    top = top.orderBy(F.desc("n"), "word").limit(HEADS)
     return np.array(sorted({END, *(r["word"] for r in top.select("word").collect())}), np.int64)
 
 
+def _reach(counts: Iterable[tuple[int, int]], wanted: int) -> tuple[int, int]:
+    """(the value at which the counts, in the order of values, add up to ``wanted``, or the last one, the sum before it)."""
+    value, before, total = 0, 0, 0
+    for value, n in sorted(counts):
+        before, total = total, total + n
+        if total >= wanted:
+            break
+    return value, before
+
+
 def gathered(docs: DataFrame, heads: np.ndarray) -> DataFrame:
     """(kind, key, x, y) of all documents: 0 a document's sums over words that aren't heads (log10(c+1), known), 1 a head's count,
     2 a tail class's distinct words and tokens, 3 how many rows a document key has."""
@@ -310,7 +341,7 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
     """(key, train, n_tokens, n_known, train_tokens, base_score, score) of each row of ``df``, learning from rows where ``train`` holds."""
     context = df.sparkSession.sparkContext
     docs = df.select(F.xxhash64(F.col(key), F.col(text)).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"), F.col(key).alias("id"))
-    heads = proposed_heads(docs)
+    heads = commonest(docs)
     known = cut(gathered(docs.select("key", "train", "text"), heads))
     small = known.where("kind in (1, 2)").collect()
     v = vocabulary({r["key"]: r["y"] for r in small if r["kind"] == 1}, {r["key"]: (int(r["x"]), r["y"]) for r in small if r["kind"] == 2})
