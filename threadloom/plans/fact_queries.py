@@ -49,12 +49,32 @@ _WORDS = "SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0
     GROUP BY x.w, y.w, p.df, q.df HAVING count(*) / (p.df + q.df - count(*)) >= 0.25"""
 )
 def alias_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
-    """Words that appear together: only those in 2 to 12 texts pair, so a word adds a bounded number of pairs to each of its texts."""
-    words = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("w"))
-    seen = words.join(words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df BETWEEN 2 AND 12"), "w")
+    """Words that appear together: only those in 2 to 12 texts pair, as the SQL has it; ``alias_cooccurrence_all`` has no upper bound."""
+    return _cooccurring(table(spark, sf, "benchmark"), 12)
+
+
+@query(
+    f"""WITH t AS ({_WORDS}), d AS (SELECT w, count(*) AS df FROM t GROUP BY w HAVING count(*) >= 2)
+    SELECT x.w AS a, y.w AS b, count(*) AS both, round(count(*) / (p.df + q.df - count(*)), 6)::DOUBLE AS jaccard FROM t x JOIN t y ON x.item_id = y.item_id AND x.w < y.w JOIN d p ON p.w = x.w JOIN d q ON q.w = y.w
+    GROUP BY x.w, y.w, p.df, q.df HAVING count(*) / (p.df + q.df - count(*)) >= 0.25"""
+)
+def alias_cooccurrence_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that appear together, however many texts have them."""
+    return _cooccurring(table(spark, sf, "benchmark"))
+
+
+def _cooccurring(texts: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs of words of 2 to ``most`` texts (any number by default) with a Jaccard index of 0.25 or more.
+
+    Such words are in at most four times as many texts as each other, so others of a text don't pair.
+    """
+    words = texts.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("w")).distinct()
+    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
+    seen = words.join(counts if most is None else counts.where(F.col("df") <= most), "w")
     a = seen.select("item_id", F.col("w").alias("a"), F.col("df").alias("a_df"))
     b = seen.select("item_id", F.col("w").alias("b"), F.col("df").alias("b_df"))
-    pairs = a.join(b, "item_id").where("a < b").groupBy("a", "b", "a_df", "b_df").agg(F.count(F.lit(1)).alias("both"))
+    near = (F.col("a") < F.col("b")) & (F.col("a_df") <= 4 * F.col("b_df")) & (F.col("b_df") <= 4 * F.col("a_df"))
+    pairs = a.join(b, "item_id").where(near).groupBy("a", "b", "a_df", "b_df").agg(F.count(F.lit(1)).alias("both"))
     jaccard = F.col("both") / (F.col("a_df") + F.col("b_df") - F.col("both"))
     return pairs.where(jaccard >= 0.25).select("a", "b", "both", F.round(jaccard, 6).alias("jaccard"))
 
