@@ -22,15 +22,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near duplicates, and a row of each repeated one."""
-    linked = jaccard_join.link(docs)
-    gone = linked.where(F.col("component_id") < F.col("doc_id")).select("doc_id", "n_shingles").distinct()
-    repeated = linked.groupBy("doc_id", "n_shingles").count().where("count > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    """Keep one row of each group of near duplicates: the one of the least id, then of the least text digest.
+
+    Groups are of rows, not of ids: a repeated id with another text is a row of its own, and rows
+    without an id come last in their group.  Of rows alike in id (null included) and text one stays.
+    Texts without words link to nothing.
+    """
+    row = free_name(docs, "__row")
+    own = docs.withColumn(row, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")))
+    linked = cut(jaccard_join.link(own, key=row))
+    kept = own.join(linked.where(F.col(row) == F.col("component_id")).select(row), row, "left_semi")
+    repeated = linked.groupBy(row).count().where("count > 1").select(row)
     if repeated.isEmpty():
         return kept.select(docs.columns)
-    text = free_name(docs, "__text")
-    return kept.withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).select(docs.columns)
+    once = kept.join(repeated, row, "left_anti").unionByName(kept.join(repeated, row, "left_semi").dropDuplicates([row]))
+    return once.select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

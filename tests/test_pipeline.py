@@ -30,3 +30,37 @@ def test_language_keeps_short_documents(spark):
     assert got.columns == docs.columns
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [*rows, *short]))
     assert corpus_pipeline.language(spark, docs.limit(0), "").count() == 0
+
+
+def _near(rows):
+    """The rows that should stay, by brute force over all pairs."""
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for _, t, *_ in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                if (sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])) or rows[a][:2] == rows[b][:2]:
+                    group[a] = group[b] = min(group[a], group[b])
+    return [[rows[k] for k in range(len(rows)) if group[k] == g] for g in sorted(set(group))]
+
+
+def test_near_duplicates_by_row(spark):
+    """One row of each group stays, also where ids are repeated or null."""
+    base, other, third = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    texts = [(1, base), (2, base + " end"), (2, "a text of its own under the same id"), (3, other), (3, other + " end"), (None, third), (None, third), (None, third + " end"), (None, base), (4, "one two"), (4, "one two"), (5, None), (6, ""), (5, None), (7, "zebra"), (8, "ZEBRA")]
+    rows = [(i, t, "en", "s", 1) for i, t in texts]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    out = [tuple(r) for r in got.collect()]
+    for group in _near(rows):
+        stay = [r for r in out if r in group]
+        assert len(stay) == 1, (group, stay)
+        assert stay[0][0] == min((r[0] for r in group if r[0] is not None), default=None)
+    assert len(out) == len(_near(rows))
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_duplicates_of_rows_that_clash(spark):
+    docs = spark.createDataFrame([(1, "x y z", 0), (2, "x y z", 1), (3, "q", 2)], "doc_id long, text string, __row long")
+    assert sorted(tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [(1, "x y z", 0), (3, "q", 2)]
