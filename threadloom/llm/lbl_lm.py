@@ -2,7 +2,7 @@
 
 Words are counted over all training documents.  A fixed number of the commonest words
 (heads, by exact counts) are classes or carry their count to every task; all others
-meet their counts in one shuffle of (word, document, times).
+meet their counts in a join of (word, document, times) with the table of counts.
 
 The model predicts the class of the next token: the commonest words, the end, and
 64 classes of other words by their last two bytes.  Two position-wise context vectors
@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.jaccard_join import _groups
 from threadloom.llm.shared import cut
 from threadloom.llm.words import Words, mix, words
 
@@ -77,8 +76,8 @@ class Vocabulary:
         return cls, np.where(head, at, -1)
 
 
-def vocabulary(head_counts: dict[int, int], tail: dict[int, tuple[int, int]]) -> Vocabulary:
-    """``tail``: (distinct words, tokens) outside the heads by class."""
+def vocabulary(head_counts: dict[int, int], tail: dict[int, list[int]]) -> Vocabulary:
+    """``tail``: distinct words and tokens outside the heads by class."""
     heads = np.array(sorted({*head_counts, END}), np.int64)
     counts = np.array([head_counts.get(int(k), 0) for k in heads], np.int64)
     order = np.lexsort((heads, -counts, heads != END))
@@ -86,8 +85,8 @@ def vocabulary(head_counts: dict[int, int], tail: dict[int, tuple[int, int]]) ->
     classes[order[:CLASSES]] = np.arange(len(order[:CLASSES]))
     n = np.zeros(CLASSES + TAILS)
     np.add.at(n, classes, counts)
-    distinct = np.array([tail.get(k, (0, 0))[0] for k in range(TAILS)], np.int64)
-    tokens = np.array([tail.get(k, (0, 0))[1] for k in range(TAILS)], np.int64)
+    distinct = np.array([tail.get(k, [0, 0])[0] for k in range(TAILS)], np.int64)
+    tokens = np.array([tail.get(k, [0, 0])[1] for k in range(TAILS)], np.int64)
     n[CLASSES:] += tokens
     other = np.bincount(classes[order[CLASSES:]] - CLASSES, minlength=TAILS)
     share = n[CLASSES:] + distinct + other + 1
@@ -163,8 +162,8 @@ def contexts(cls: np.ndarray, edge: np.ndarray, start: int) -> tuple[np.ndarray,
     return one, two
 
 
-def commonest(docs: DataFrame) -> np.ndarray:
-    """Keys (ascending) of the commonest words of all training documents, ties by key, and of the end."""
+def counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of all words and ends of the training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -187,7 +186,16 @@ def commonest(docs: DataFrame) -> np.ndarray:
         if held:
             yield pa.RecordBatch.from_arrays([*map(pa.array, merged())], ["word", "n"])
 
-    counted = cut(docs.where("train").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    return cut(docs.where("train").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def commonest(docs: DataFrame) -> np.ndarray:
+    """Keys (ascending) of the commonest words of all training documents, ties by key, and of the end."""
+    return np.array(sorted({END, *_top(counts(docs))}), np.int64)
+
+
+def _top(counted: DataFrame) -> dict[int, int]:
+    """The ``HEADS`` commonest words with their counts, ties by key."""
     # histograms first: a plain limit would send HEADS rows of each task to the driver
     level, part = F.least(F.col("n"), F.lit(_TOP_LEVEL)), F.shiftright("word", 47)
     least, above = _reach(((-r["x"], r["count"]) for r in counted.groupBy(level.alias("x")).count().collect()), HEADS)
@@ -195,8 +203,7 @@ def commonest(docs: DataFrame) -> np.ndarray:
     if -least < _TOP_LEVEL:
         last, _ = _reach(((r["x"], r["count"]) for r in counted.where(level == -least).groupBy(part.alias("x")).count().collect()), HEADS - above)
         top = top.where((level > -least) | (part <= last))
-    top = top.orderBy(F.desc("n"), "word").limit(HEADS)
-    return np.array(sorted({END, *(r["word"] for r in top.select("word").collect())}), np.int64)
+    return {r["word"]: r["n"] for r in top.orderBy(F.desc("n"), "word").limit(HEADS).collect()}
 
 
 def _reach(counts: Iterable[tuple[int, int]], wanted: int) -> tuple[int, int]:
@@ -209,76 +216,47 @@ def _reach(counts: Iterable[tuple[int, int]], wanted: int) -> tuple[int, int]:
     return value, before
 
 
-def gathered(docs: DataFrame, heads: np.ndarray) -> DataFrame:
-    """(kind, key, x, y) of all documents: 0 a document's sums over words that aren't heads (log10(c+1), known), 1 a head's count,
-    2 a tail class's distinct words and tokens, 3 how many rows a document key has."""
+def tail_words(docs: DataFrame, heads: np.ndarray) -> DataFrame:
+    """(word, doc, times) of each document's words that aren't heads, and one row with times 0 for each document.
+
+    A row with times 0 has the document's key for its word, so that such rows are spread.
+    """
     known = docs.sparkSession.sparkContext.broadcast(heads)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = known.value
-        total = np.zeros(len(heads), np.int64)
-        names = ["word", "doc", "n", "learnt", "kind"]
         for batch in batches:
-            doc_all, train_all = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for w in words(batch.column(2)):
+            doc_all = batch.column(0).to_numpy(zero_copy_only=False)
+            for w in words(batch.column(1)):
                 key, edge = keys_of(w)
                 row = np.repeat(np.arange(w.rows), np.diff(edge))
-                train = train_all[w.first : w.first + w.rows].astype(bool)
                 at = np.minimum(np.searchsorted(heads, key), len(heads) - 1)
-                head = heads[at] == key
-                total += np.bincount(at[head & train[row]], minlength=len(heads))
-                k, r = key[~head], row[~head]
+                tail = heads[at] != key
+                k, r = key[tail], row[tail]
                 order = np.lexsort((k, r))
                 k, r = k[order], r[order]
                 first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])) if len(k) else np.zeros(0, np.int64)
-                n = np.diff(np.append(first, len(k)))
+                times = np.diff(np.append(first, len(k)))
                 doc = doc_all[w.first : w.first + w.rows]
-                out = [np.concatenate([k[first], doc]), np.concatenate([doc[r[first]], doc]), np.concatenate([n, np.ones(w.rows, np.int64)]), np.concatenate([n * train[r[first]], np.zeros(w.rows, np.int64)])]
-                kind = np.concatenate([np.zeros(len(first), np.int8), np.full(w.rows, 3, np.int8)])
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32)), pa.array(out[3].astype(np.int64)), pa.array(kind)], names)
-        has = np.flatnonzero(total)
-        k = len(has)
-        yield pa.RecordBatch.from_arrays([pa.array(heads[has]), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int32)), pa.array(total[has]), pa.array(np.full(k, 1, np.int8))], names)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(kind: int, key: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(x.astype(np.float64)), pa.array(y.astype(np.int64))], ["kind", "key", "x", "y"])
-
-        def merged(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            doc, x, y = (np.concatenate(p) for p in zip(*parts, strict=True))
-            doc, back = np.unique(doc, return_inverse=True)
-            return out(0, doc, np.bincount(back, x), np.bincount(back, y))
-
-        held, size = [], 0
-        distinct, tokens = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
-        for word, doc, n, learnt, kind in _groups(batches, 5, 1 << 22):
-            one, three = kind == 1, kind == 3
-            if one.any():
-                k, back = np.unique(word[one], return_inverse=True)
-                yield out(1, k, np.zeros(len(k)), np.bincount(back, learnt[one]))
-            if three.any():
-                k, m = np.unique(doc[three], return_counts=True)
-                yield out(3, k, np.zeros(len(k)), m)
-            zero = kind == 0
-            if zero.any():
-                word, doc, n, learnt = word[zero], doc[zero], n[zero], learnt[zero]
-                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-                c = np.add.reduceat(learnt, first)
-                tail = word[first] & (TAILS - 1)
-                distinct += np.bincount(tail[c > 0], minlength=TAILS)
-                tokens += np.bincount(tail, c, TAILS).astype(np.int64)
-                c = np.repeat(c, np.diff(np.append(first, len(word))))
-                held.append((doc, n * np.log10(c + 1.0), n * (c > 0)))
-                size += len(doc)
-                if size > 1 << 20:
-                    yield merged(held)
-                    held, size = [], 0
-        if held:
-            yield merged(held)
-        yield out(2, np.arange(TAILS), distinct, tokens)
+                out = np.concatenate([k[first], doc]), np.concatenate([doc[r[first]], doc]), np.concatenate([times, np.zeros(w.rows, np.int64)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, out)], ["word", "doc", "times"])
 
-    rows = docs.mapInArrow(spread, "word long, doc long, n int, learnt long, kind byte").repartition("word").sortWithinPartitions("word")
-    return rows.mapInArrow(sums, "kind int, key long, x double, y long").groupBy("kind", "key").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    return docs.select("key", "text").mapInArrow(spread, "word long, doc long, times int")
+
+
+def tail_sums(docs: DataFrame, heads: np.ndarray, counted: DataFrame) -> DataFrame:
+    """(key, x, y, rows) of each document key: log10(c+1) and known tokens over words that aren't heads, and the rows with the key.
+
+    One row for each word of a document meets its count in a join and is added up again
+    before it moves, so what moves grows with the table.
+    """
+    n = F.coalesce("n", F.lit(0))
+    met = tail_words(docs, heads).join(counted, "word", "left").select(F.col("doc").alias("key"), "times", n.alias("n"))
+    return met.groupBy("key").agg(
+        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("x"),
+        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("y"),
+        F.count_if(F.col("times") == 0).alias("rows"),
+    )
 
 
 def fit(docs: DataFrame, v: Vocabulary) -> Model:
@@ -341,10 +319,15 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
     """(key, train, n_tokens, n_known, train_tokens, base_score, score) of each row of ``df``, learning from rows where ``train`` holds."""
     context = df.sparkSession.sparkContext
     docs = df.select(F.xxhash64(F.col(key), F.col(text)).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"), F.col(key).alias("id"))
-    heads = commonest(docs)
-    known = cut(gathered(docs.select("key", "train", "text"), heads))
-    small = known.where("kind in (1, 2)").collect()
-    v = vocabulary({r["key"]: r["y"] for r in small if r["kind"] == 1}, {r["key"]: (int(r["x"]), r["y"]) for r in small if r["kind"] == 2})
+    counted = counts(docs)
+    top = _top(counted)
+    by_tail = counted.groupBy(F.col("word").bitwiseAND(TAILS - 1).alias("tail")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()
+    tail = {r["tail"]: [r["words"], r["n"]] for r in by_tail}
+    ends = {END: r["n"] for r in counted.where(F.col("word") == END).collect()}
+    for word, n in (top | ends).items():
+        tail[word & (TAILS - 1)][0] -= 1
+        tail[word & (TAILS - 1)][1] -= n
+    v = vocabulary(top | ends, tail)
     model = fit(docs, v)
     sent = context.broadcast((v, model.flat, model.log_normalisers()))
     kind = df.schema[key].dataType.simpleString()
@@ -373,7 +356,7 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(np.diff(edge)), *map(pa.array, out)], ["key", "train", "id", "n_tokens", "model", "counted", "known"])
 
     scored = docs.mapInArrow(run, f"key long, train boolean, id {kind}, n_tokens long, model double, counted double, known long")
-    sums = known.where("kind in (0, 3)").groupBy("key").agg(F.max(F.when(F.col("kind") == 0, F.col("x"))).alias("x"), F.max(F.when(F.col("kind") == 0, F.col("y"))).alias("y"), F.max(F.when(F.col("kind") == 3, F.col("y"))).alias("rows"))
+    sums = tail_sums(docs, v.heads, counted)
     tail_log, tail_known = F.coalesce(F.col("x") / F.col("rows"), F.lit(0.0)), F.coalesce((F.col("y") / F.col("rows")).cast("long"), F.lit(0).cast("long"))
     return scored.join(sums, "key", "left").select(
         F.col("id").alias(key),
