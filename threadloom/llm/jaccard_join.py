@@ -5,9 +5,11 @@ shingles.  For a band of set sizes (one doubling) the universe of shingle hashes
 is cut into m segments.  Those H shingles touch at most H segments, so of any
 H + 1 segments one at least is equal in both sets.  Every set is indexed under the
 segment subsets of its own band; as the larger of a pair it probes its band and,
-where sizes reach that far, the one below.  Allocation by cost: a probe takes its
-H + 1 longest segments, which few other sets can share by chance, and leaves out
-empty ones.  A set with too few segments that aren't empty spends more on some:
+where sizes reach that far, the one below.  Allocation by cost: any H + 1 segments
+do, so a probe takes those that fewest sets can share.  A sketch of fixed size over
+the shingles of all documents tells frequent shingles (boilerplate), a segment costs
+what its rarest shingle does, and among equals the longest come first; empty ones
+are left out.  A set with too few segments that aren't empty spends more on some:
 one-deletion neighbourhoods of a segment's subset find it after one change, so
 such a segment counts twice.  Only bands in which such a set exists index
 neighbourhoods.  Candidates are verified exactly.
@@ -15,10 +17,10 @@ neighbourhoods.  Candidates are verified exactly.
 Sets are collapsed to distinct ones first.  Pairs in a group of equal signatures
 are all tested in small groups; in larger ones members are tested against a
 hub.  Large groups whose members still lie in different components are joined to
-clusters, and a cluster's sets are compared block against block in tasks that
-pass on only spanning links; clusters too large for that test the pairs of their
-groups instead.  So no link between different texts is lost, and no group emits
-all its pairs.
+clusters of any size, and a cluster's sets are compared block against block, but for
+blocks whose sets are all of one component or too different in size, in tasks that
+pass on only spanning links.  So no link between different texts is lost, and no
+group emits all its pairs.
 
 Null or empty text: no shingles, no links.  Fewer words than a shingle has: the
 whole sequence is the one shingle.  Rows with a null key get their count and a null
@@ -28,7 +30,6 @@ component.  Equal rows are equal sets.  Empty table: empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,12 @@ SMALL_GROUP = 6
 CHANNELS = 4
 _INDEX, _PROBE = 1, 2
 _FILTER_BITS = 23
-#: Sets in a block of a cluster, and the largest cluster compared by blocks.
+#: Sets in a block of a cluster.
 BLOCK = 512
-LARGEST_CLUSTER = 16 * BLOCK
+#: Rows of one signature held at once; a longer group is handed on in parts.
+LONGEST_RUN = 1 << 20
+#: Slots of the sketch of shingles, and how many times a task's mean count makes a slot frequent.
+SLOTS, FREQUENT = 1 << 16, 4
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
@@ -84,8 +88,9 @@ def digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
         return mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64) * _U(0x14057B7EF767814F)).view(np.int64)
 
 
-def _segmented(h: np.ndarray, at: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Segments that aren't empty: (row, segment, count, sum of mixed hashes, start in order), and the hashes' order."""
+def _segmented(h: np.ndarray, at: np.ndarray, band: np.ndarray, cost: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Segments that aren't empty: (row, segment, count, sum of mixed hashes, start in order), the mixed hashes in
+    order, and what each segment costs: the count of its rarest shingle, by slots."""
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
     m = segments_of(band)
@@ -100,7 +105,12 @@ def _segmented(h: np.ndarray, at: np.ndarray, band: np.ndarray) -> tuple[np.ndar
         total = np.add.reduceat(mixed, first) if len(first) else np.zeros(0, np.uint64)
     count = np.diff(np.append(first, len(key)))
     r = row[order][first] if len(first) else np.zeros(0, np.int64)
-    return r, key[first] - base[r], count, total, first, mixed
+    price = np.minimum.reduceat(cost[_slots(h[order])], first) if cost is not None and len(first) else np.zeros(len(first), np.int64)
+    return r, key[first] - base[r], count, total, first, mixed, price
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h & _U(SLOTS - 1)).astype(np.int64)
 
 
 def _signature(band: np.ndarray, seg: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -142,8 +152,8 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def signatures(h: np.ndarray, at: np.ndarray, t: Threshold, hard: int, very: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, row, role) of the sets; a set's own band carries both roles."""
+def signatures(h: np.ndarray, at: np.ndarray, t: Threshold, hard: int, very: int, cost: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, row, role) of the sets; a set's own band carries both roles.  ``cost``: counts of frequent slots of shingles."""
     n = np.diff(at)
     own = band_of(n)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -154,13 +164,13 @@ def signatures(h: np.ndarray, at: np.ndarray, t: Threshold, hard: int, very: int
         if not len(rows):
             continue
         need, band = need_all[rows], probed[rows]
-        r, seg, count, total, first, mixed = _segmented(*_take(h, at, rows), band)
+        r, seg, count, total, first, mixed, price = _segmented(*_take(h, at, rows), band, cost)
         sig = _signature(band[r], seg, total)
         full = np.bincount(r, minlength=len(rows))
         start = np.cumsum(full) - full
         rank = np.empty(len(r), np.int64)
-        longest = np.lexsort((-count, r))
-        rank[longest] = np.arange(len(r)) - start[r[longest]]
+        cheapest = np.lexsort((-count, price, r))
+        rank[cheapest] = np.arange(len(r)) - start[r[cheapest]]
         probe = rank < need[r]
         role = np.where(probe, _PROBE, 0) | (0 if step else _INDEX)
         keep = role > 0
@@ -169,7 +179,7 @@ def signatures(h: np.ndarray, at: np.ndarray, t: Threshold, hard: int, very: int
         open_band = (hard >> band) & 1 == 1
         indexed = open_band[r] if not step else np.zeros(len(r), bool)
         lack = need - full
-        spend = (lack[r] > 0) & (full[r] - 1 - rank < lack[r])  # the shortest ones
+        spend = (lack[r] > 0) & (full[r] - 1 - rank < lack[r])  # of equal price the shortest ones
         both = indexed | spend
         if both.any():
             which = np.flatnonzero(both)
@@ -202,23 +212,28 @@ def _pairs(node: np.ndarray, size: np.ndarray, role: np.ndarray, left: np.ndarra
     return roles & (a >= t.least(b)) & (node[left] != node[right])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of whole groups of the sorted first column; a group longer than ``most`` comes in parts."""
-    held: list[np.ndarray] | None = None
+def _groups(batches: Iterator[pa.RecordBatch], columns: int, most: int) -> Iterator[tuple[tuple[np.ndarray, ...], bool]]:
+    """Runs of whole groups of the sorted first column, each with False; a group longer than ``most`` comes in parts, each with True."""
+    held, parted = None, None
     for batch in batches:
         now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now, strict=True)]
         if not len(now[0]):
             continue
-        cut_at = int(np.searchsorted(now[0], now[0][-1], "left"))
-        if len(now[0]) - cut_at > most:
-            cut_at = len(now[0])
-        if cut_at:
-            yield tuple(x[:cut_at] for x in now)
-        held = [x[cut_at:] for x in now]
+        last = int(np.searchsorted(now[0], now[0][-1], "left"))
+        rest = int(np.searchsorted(now[0][:last], parted, "right")) if parted is not None else 0
+        if rest:
+            yield tuple(x[:rest] for x in now), True
+        if last > rest:
+            yield tuple(x[rest:last] for x in now), False
+        held = [x[last:] for x in now]
+        if len(held[0]) > most:
+            parted = held[0][0]
+            yield tuple(held), True
+            held = [x[:0] for x in held]
     if held is not None and len(held[0]):
-        yield tuple(held)
+        yield tuple(held), parted is not None and held[0][0] == parted
 
 
 def _merge_same(sig, node, size, role):
@@ -240,16 +255,18 @@ def _all_pairs(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.nda
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _first_pairs(t: Threshold):
+def _first_pairs(t: Threshold, most: int):
+    """Pairs (a, b) of small groups and of members and hubs, and the members (a, sig) of groups that aren't settled so."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sig, node, size, role in _groups(batches, 4, 1 << 20):
+        for (sig, node, size, role), part in _groups(batches, 4, most):
             sig, node, size, role = _merge_same(sig, node, size, role)
             start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             count = np.diff(np.append(start, len(sig)))
-            probed = np.bitwise_or.reduceat(role, start) & _PROBE > 0
-            small = (count <= SMALL_GROUP) & probed
+            probed = (np.bitwise_or.reduceat(role, start) & _PROBE > 0) | part
+            small = (count <= SMALL_GROUP) & probed & (not part)
             left, right = _all_pairs(start[small], count[small])
-            big = np.flatnonzero((count > SMALL_GROUP) & probed)
+            big = np.flatnonzero(probed & ~small)
             places = _ranges(start[big], count[big])
             of = np.repeat(np.arange(len(big)), count[big])
             if len(big):
@@ -265,10 +282,10 @@ def _first_pairs(t: Threshold):
             if len(a):
                 ab = np.unique(np.stack([a, b]), axis=1) if len(a) < 1000 else _unique_pairs(a, b)
                 k = ab.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32())], ["a", "b", "sig", "size", "role"])
+                yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1]), pa.nulls(k, pa.int64())], ["a", "b", "sig"])
             if len(places):
                 k = len(places)
-                yield pa.RecordBatch.from_arrays([pa.array(node[places]), pa.nulls(k, pa.int64()), pa.array(sig[places]), pa.array(size[places]), pa.array(role[places])], ["a", "b", "sig", "size", "role"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[places]), pa.nulls(k, pa.int64()), pa.array(sig[places])], ["a", "b", "sig"])
 
     return run
 
@@ -280,41 +297,6 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a[keep], b[keep]])
 
 
-def _rest_pairs(t: Threshold):
-    """Of each group, the pairs that lie in different components, a block of rows against the others at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sig, node, size, role, comp in _groups(batches, 5, 1 << 22):
-            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            end = np.append(start[1:], len(sig))
-            mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
-            for s, e in zip(start[mixed], end[mixed], strict=True):
-                step = max(1, (1 << 21) // int(e - s))
-                for i in range(s, e, step):
-                    j = min(e, i + step)
-                    left, right = (x.ravel() for x in np.meshgrid(np.arange(i, j), np.arange(s, e), indexing="ij"))
-                    ok = (comp[left] != comp[right]) & (left < right)
-                    left, right = left[ok], right[ok]
-                    ok = _pairs(node, size, role, left, right, t)
-                    ab = _unique_pairs(np.minimum(node[left], node[right])[ok], np.maximum(node[left], node[right])[ok]) if ok.any() else None
-                    if ab is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
-
-    return run
-
-
-def _mixed_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of groups that lie in several components, each with the group's least node."""
-    for sig, node, _, _, comp in _groups(batches, 5, 1 << 22):
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        count = np.diff(np.append(start, len(sig)))
-        mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
-        if mixed.any():
-            at = _ranges(start[mixed], count[mixed])
-            ab = _unique_pairs(node[at], np.repeat(np.minimum.reduceat(node, start)[mixed], count[mixed]))
-            yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
-
-
 def _compared(t: Threshold):
     """Of two blocks of sets, links between components, no more than hold them together."""
 
@@ -417,18 +399,42 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _by_blocks(docs: DataFrame, clusters: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """Links between components of each cluster (root, node, comp, members), every block of it against every other."""
-    sets = _sets(docs, size, _wanted(clusters.select(F.col("node").alias("a"), F.col("node").alias("b"))))
-    own = clusters.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    own = own.join(sets, "node")
-    columns = ["root", "node", "comp", "shingles"]
-    later, earlier = F.explode(F.expr("sequence(own, blocks - 1)")), F.explode(F.expr("sequence(0, own)"))
-    sides = own.select(*columns, F.col("own").alias("i"), later.alias("j"), F.lit(0).alias("side")).union(own.select(*columns, earlier.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))
-    return sides.groupBy("root", "i", "j").applyInArrow(_compared(t), "a long, b long")
+def _by_blocks(docs: DataFrame, clusters: DataFrame, size: int, t: Threshold, block: int) -> DataFrame:
+    """Links between components of each cluster (root, node, comp), its blocks of sets compared two by two.
+
+    Components of a block's size and more have blocks of their own, blocks hold sets of
+    like sizes, and only blocks that could hold a link between components meet.
+    """
+    wanted = _wanted(clusters.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    whole = clusters.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= block).select("root", "comp", F.lit(True).alias("whole"))
+    own = clusters.join(whole, ["root", "comp"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))).withColumn("of", F.when(F.col("whole"), F.col("comp")).otherwise(F.lit(0)))
+    own = own.join(_sets(docs, size, wanted), "node").withColumn("scale", F.floor(F.log2(F.size("shingles")) * 4).cast("int"))
+    own = cut(own)
+    key = ["root", "whole", "of", "scale"]
+    salts = own.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("salts"))
+    name = F.xxhash64(*key, "salt")
+    dealt = own.join(salts, key).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).select("node", "comp", "shingles", name.alias("block"))
+    blocks = cut(salts.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).select("root", "whole", "of", "scale", name.alias("block")))
+    # sizes of linked sets lie within a factor of 100 / percent
+    reach = int(np.ceil(4 * np.log2(100 / t.percent)))
+    one, two = blocks.alias("one"), blocks.alias("two")
+    same = F.col("one.whole") & F.col("two.whole") & (F.col("one.of") == F.col("two.of"))
+    met = one.join(two, (F.col("one.root") == F.col("two.root")) & (F.col("one.block") <= F.col("two.block")) & (F.abs(F.col("one.scale") - F.col("two.scale")) <= reach) & ~same)
+    met = cut(met.select(F.col("one.block").alias("i"), F.col("two.block").alias("j")))
+    sides = [dealt.join(met, F.col("block") == F.col(end)).select("node", "comp", "shingles", "i", "j", F.lit(side).alias("side")) for side, end in enumerate("ij")]
+    return sides[0].union(sides[1]).groupBy("i", "j").applyInArrow(_compared(t), "a long, b long")
+
+
+def _frequent(profile: DataFrame) -> np.ndarray:
+    """Counts of the slots of shingles that some task found frequent; 0 elsewhere."""
+    out = np.zeros(SLOTS, np.int64)
+    counted = profile.where("n is null").select(F.explode(F.arrays_zip("slots", "counts")).alias("z")).groupBy("z.slots").agg(F.sum("z.counts").alias("n"))
+    for slot, n in counted.collect():
+        out[slot] = n
+    return out
 
 
-def link(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def link(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, longest_run: int = LONGEST_RUN, block: int = BLOCK) -> DataFrame:
     """(key, n_shingles, component_id) of each row of ``df``: the least key reachable by links, its own included."""
     t = Threshold(percent)
     docs = df.select(F.col(text).alias("text"))
@@ -436,16 +442,26 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
     small_batches(df.sparkSession)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, seen = ["key", "n", "node", "hard", "very", "slots", "counts"], np.zeros(SLOTS, np.int64)
+        batch = None
         for batch in batches:
             for w in words(batch.column(1)):
                 h, at = shingle_sets(w, size)
                 hard, very = hard_bands(h, at, t)
                 k = w.rows
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, k), pa.array(np.diff(at)), pa.array(digests(h, at)), pa.array(np.full(k, hard)), pa.array(np.full(k, very))], ["key", "n", "node", "hard", "very"])
+                seen += np.bincount(_slots(h), minlength=SLOTS)
+                none = pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, k), pa.array(np.diff(at)), pa.array(digests(h, at)), pa.array(np.full(k, hard)), pa.array(np.full(k, very)), *none], names)
+        often = np.flatnonzero(seen > FREQUENT * (seen.mean() + 2))
+        if len(often):
+            blank = pa.nulls(1, batch.schema.field(0).type), *[pa.nulls(1, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*blank, pa.array([often.astype(np.int32)], pa.list_(pa.int32())), pa.array([seen[often]], pa.list_(pa.int64()))], names)
 
     kind = df.schema[key].dataType.simpleString()
-    rows = cut(df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(profile, f"key {kind}, n long, node long, hard long, very long"))
-    bands = rows.agg(F.bit_or("hard").alias("hard"), F.bit_or("very").alias("very")).first()
+    profiled = cut(df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(profile, f"key {kind}, n long, node long, hard long, very long, slots array<int>, counts array<long>"))
+    rows = profiled.where("n is not null").select("key", "n", "node")
+    cost = _frequent(profiled)
+    bands = profiled.agg(F.bit_or("hard").alias("hard"), F.bit_or("very").alias("very")).first()
     hard, very = bands["hard"] or 0, bands["very"] or 0
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,29 +475,21 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
                     seen.clear()
                 if len(pick):
                     h, at = _take(h, at, pick)
-                    sig, row, role = signatures(h, at, t, hard, very)
+                    sig, row, role = signatures(h, at, t, hard, very, cost)
                     yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node[pick][row]), pa.array(np.diff(at)[row].astype(np.int32)), pa.array(role.astype(np.int32))], ["sig", "node", "size", "role"])
 
     signed = docs.mapInArrow(sign, "sig long, node long, size int, role int")
-    found = cut(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_first_pairs(t), "a long, b long, sig long, size int, role int"))
+    found = cut(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_first_pairs(t, longest_run), "a long, b long, sig long"))
     links = cut(_verified(docs, cut(found.where("b is not null").select("a", "b").distinct()), size, percent))
     comps = cut(components(links))
-    members = found.where("b is null").select("sig", F.col("a").alias("node"), "size", "role")
-    placed = members.join(comps, "node", "left").select("sig", "node", "size", "role", F.coalesce("root", "node").alias("comp"))
-    placed = placed.repartition("sig").sortWithinPartitions("sig", "node")
-    groups = cut(placed.mapInArrow(_mixed_groups, "a long, b long").distinct())
+    placed = found.where("b is null").select("sig", F.col("a").alias("node")).join(comps, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("comp"))
+    mixed = placed.groupBy("sig").agg(F.min("node").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig", "least")
+    groups = cut(placed.join(mixed, "sig").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
     if not groups.isEmpty():
-        clusters = components(groups)
-        sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-        clusters = cut(clusters.join(sizes, "root").join(comps.select("node", F.col("root").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-        more = [cut(_by_blocks(docs, clusters.where(F.col("members") <= LARGEST_CLUSTER), size, t))]
-        large = clusters.where(F.col("members") > LARGEST_CLUSTER)
-        if not large.isEmpty():
-            own = placed.join(large.select("node"), "node", "left_semi").select("sig", "node", "size", "role", "comp")
-            rest = cut(own.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_rest_pairs(t), "a long, b long").distinct())
-            more.append(cut(_verified(docs, rest, size, percent)))
+        clusters = components(groups).join(comps.select("node", F.col("root").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        more = cut(_by_blocks(docs, cut(clusters), size, t, block))
         # components known so far are edges already
-        comps = cut(components(reduce(DataFrame.union, more, comps.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+        comps = cut(components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
     classes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("least"))
     placed = classes.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     label = placed.groupBy("root").agg(F.min("least").alias("component_id"))
