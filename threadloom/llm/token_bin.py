@@ -9,8 +9,11 @@ Layout, little-endian: magic ``TLTB1``, a byte with the width, int64 documents,
 blocks; the blocks; int64 block offsets, document ids and ends; a byte for each document
 whose id is null.  Files are written under temporary names and moved; the manifest, written last, lists them.
 
-Null text is an empty one (only the end id), equal document ids stand side by side
-ordered by text, an empty table gives no files.
+A shard's file is closed after so many ids, so what a task holds is bounded.
+
+Null text is an empty one (only the end id); null ids come first; equal document ids
+stand side by side, ordered by text (by digests first, where one id fills shards of its
+own); an empty table gives no files.
 """
 
 from __future__ import annotations
@@ -29,15 +32,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm.bpe import Memo, encode_texts
+from threadloom.llm.bpe import Memo, Vocabulary, encode_texts
 from threadloom.llm.shards import with_shard
 from threadloom.llm.words import buffers, chunks
 
 MAGIC = b"TLTB1"
 BLOCK = 4096
+#: Bytes of text in a shard, ids after which a file is closed.
 SHARD_BYTES = 24 << 20
+FILE_TOKENS = 8 << 20
+#: Pieces and characters a task remembers the ids of, pieces of a text the library gets at once.
+_MEMO, _MEMO_CHARACTERS = 300_000, 6 << 20
+_RUN = 2000
 _HEAD = struct.Struct("<5sBqqq")
-_MANIFEST = "file string, shard int, documents long, tokens long, bytes long"
+_MANIFEST = "file string, shard int, sequence int, documents long, tokens long, bytes long"
 
 
 def width_of(vocabulary: int) -> int:
@@ -110,31 +118,47 @@ def _library(path: str):
     tokenizer.no_padding()
 
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    between = next(iter(special.items()), None)
+    width = Vocabulary(path).width
 
-    def encode(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces hold no added token, so one between them keeps them apart in a single call."""
-        if between is not None:
-            text, mark = between
-            runs = [text.join(found[i : i + 2000]) + text for i in range(0, len(found), 2000)]
-            ids = np.concatenate([np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
-            ends = np.flatnonzero(ids == mark)
-            return ids[ids != mark], np.diff(ends, prepend=-1) - 1
+    def joined(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of a space and a word part again where they meet, and their lengths tell whose ids are whose."""
+        runs = ["".join(found[i : i + _RUN]) for i in range(0, len(found), _RUN)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in found), np.int64, len(found)))
+        return ids, np.diff(np.searchsorted(np.cumsum(width[ids]), ends), prepend=-1)
+
+    def each(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for x in ids for i in x), np.int32, int(count.sum())), count
 
+    def encode(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces encoded in few calls."""
+        meets = np.fromiter((len(p) > 1 and p[0] == " " and not p[1].isspace() for p in found), bool, len(found))
+        if meets.all():
+            return joined(found)
+        count = np.empty(len(found), np.int64)
+        parts = [f([p for p, m in zip(found, meets.tolist(), strict=True) if m == side]) for side, f in ((True, joined), (False, each)) if (meets == side).any()]
+        sides = [side for side in (True, False) if (meets == side).any()]
+        for side, (_, n) in zip(sides, parts, strict=True):
+            count[meets == side] = n
+        out = np.empty(int(count.sum()), np.int32)
+        owner = np.repeat(meets, count)
+        for side, (ids, _) in zip(sides, parts, strict=True):
+            out[owner == side] = ids
+        return out, count
+
     find = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-    return Memo(encode), special, find, tokenizer.get_vocab_size()
+    return Memo(encode, _MEMO, _MEMO_CHARACTERS), special, find, tokenizer.get_vocab_size()
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encode ``docs`` and write token files under the shared ``folder`` in ascending key order; the manifest as committed."""
     spark = docs.sparkSession
     files, path = fs.FileSystem.from_uri(folder)
     files.create_dir(path, recursive=True)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    dealt, shard, n = with_shard(rows, "key", F.coalesce(F.octet_length("text"), F.lit(0)) + 16, shard_bytes)
+    dealt, shard, n = with_shard(rows, "key", F.coalesce(F.octet_length("text"), F.lit(0)) + 16, shard_bytes, F.shiftrightunsigned(F.xxhash64("text"), 32))
     dealt = dealt.repartitionById(n, shard).sortWithinPartitions(shard, "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,28 +171,30 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key: st
         ids: list[np.ndarray] = []
         keys: list[int | None] = []
         counts: list[np.ndarray] = []
-        of = None
+        of, sequence = None, 0
 
         def close() -> pa.RecordBatch:
-            name = f"tokens-{of:06d}.bin"
+            name = f"tokens-{of:06d}-{sequence:05d}.bin"
             part = f"{path}/.{name}.{uuid.uuid4().hex}"
             flat = np.concatenate(ids)
             with files.open_output_stream(part) as out:
                 size = write_file(out, flat, keys, np.cumsum(np.concatenate(counts)), bits)
             files.move(part, f"{path}/{name}")
-            row = [name], pa.array([of], pa.int32()), [len(keys)], [len(flat)], [size]
+            row = [name], pa.array([of], pa.int32()), pa.array([sequence], pa.int32()), [len(keys)], [len(flat)], [size]
             ids.clear(), keys.clear(), counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, list) else x for x in row], ["file", "shard", "documents", "tokens", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, list) else x for x in row], ["file", "shard", "sequence", "documents", "tokens", "bytes"])
 
         for batch in batches:
             shards = batch.column(2).to_numpy(zero_copy_only=False)
             _, offsets = buffers(batch.column(1))
-            for i, j in chunks(offsets, 4 << 20):
+            for i, j in chunks(offsets, min(4 << 20, 4 * file_tokens)):
                 for s in np.unique(shards[i:j]):
                     a, b = i + int(np.searchsorted(shards[i:j], s, "left")), i + int(np.searchsorted(shards[i:j], s, "right"))
-                    if of is not None and s != of:
+                    if keys and (s != of or sum(map(len, ids)) >= file_tokens):
                         yield close()
-                    of = int(s)
+                        sequence += 1
+                    if s != of:
+                        of, sequence = int(s), 0
                     flat, count = encode_texts(memo, [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], find, special)
                     ids.append(np.insert(flat, np.cumsum(count), end_id))
                     counts.append(count + 1)
@@ -183,7 +209,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key: st
 def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32 and, if asked for, ids) of each document in the manifest's files."""
     manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
-    before = F.coalesce(F.sum("tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("tokens").over(W.orderBy("shard", "sequence").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     listed = manifest.select("file", before.alias("start")).repartition(max(1, manifest.count()), "file")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
