@@ -7,15 +7,18 @@ part times codeword) rank a list's vectors, the best are ranked again by the exa
 product in double precision, and a query's lists are merged.  How many lists to
 visit is measured on the sample, where exact neighbours are known.
 
-Lists longer than a block are salted, and queries come in blocks, so no group
-grows with the table.  Ties go to the smaller id.  Null, zero or non-finite vectors
-and null ids take no part; fewer candidates than ``k`` are all returned; rows that
+Lists longer than a block are salted.  A block's vectors come before the queries that
+visit it, so a task holds one block and lets any number of queries pass by, and no
+vector is copied for them.  Ties go to the smaller id.  Null, zero or non-finite vectors
+and null ids take no part; vectors of different lengths are searched apart, each length
+with an index of its own; fewer candidates than ``k`` are all returned; rows that
 repeat the query's id are not its candidates; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,9 @@ SAMPLE = 20_000
 LISTS = 64
 PARTS = 16
 RECALL = 0.98
-#: Vectors of a list block, queries of a query block, vectors of a block that are ranked exactly.
-LIST_BLOCK = 2048
-QUERY_BLOCK = 4096
+#: Vectors of a list block, queries ranked at once, the least number of a block's vectors that are ranked exactly.
+LIST_BLOCK = 4096
+QUERIES = 64
 DEPTH = 160
 #: Vectors within so many standard errors of the k-th guess are ranked exactly too.
 MARGIN = 3.0
@@ -91,43 +94,75 @@ class Index:
         return int(ranks[min(len(ranks) - 1, int(np.ceil(RECALL * len(ranks))))]) + 1
 
 
-def _searched(index: Index, k: int, depth: int):
-    def run(_key, base: pa.Table, asked: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not base.num_rows or not asked.num_rows:
-            return none
-        order = np.argsort(base.column("vec_id").to_numpy(), kind="stable")
-        ids = base.column("vec_id").to_numpy()[order]
-        x, _ = matrix(base.column("vector").combine_chunks(), index.dim)
-        x = x[order]
-        codes = np.frombuffer(b"".join(base.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-        asker = asked.column("query_id").to_numpy()
-        q_all, _ = matrix(asked.column("vector").combine_chunks(), index.dim)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        take = min(depth, len(ids))
+_FOUND = ["query_id", "vec_id", "score"]
+
+
+class _Block:
+    """The vectors of a list's block by id, their codes, and how far the codes may mislead."""
+
+    def __init__(self, index: Index, of: int, parts: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        self.index = index
+        self.ids = table.column("id").to_numpy()
+        self.x, _ = matrix(table.column("vector").combine_chunks(), index.dim)
+        self.codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(len(self.ids), -1)
         # what the codes leave out moves a product by about its length over the root of the dimension
-        coded = index.centroids[_key[0].as_py()] + np.concatenate([c[codes[:, m]] for m, c in enumerate(index.books)], axis=1)
-        margin = MARGIN * np.sqrt(((x - coded) ** 2).sum(1).mean() / index.dim)
-        for i in range(0, len(asker), 64):
-            q = q_all[i : i + 64].astype(np.float32)
-            guess = np.zeros((len(q), len(ids)), np.float32)
-            for m, (a, b) in enumerate(zip(index.edges[:-1], index.edges[1:], strict=True)):
-                guess += (q[:, a:b] @ index.books[m].T)[:, codes[:, m]]
-            guess[asker[i : i + 64, None] == ids[None, :]] = -np.inf
-            least = -np.partition(-guess, take - 1, axis=1)[:, take - 1]
-            sure = guess > least[:, None]
-            tie = guess == least[:, None]
-            chosen = sure | tie & (np.cumsum(tie, axis=1) <= (take - sure.sum(1))[:, None])
-            # and all that could yet be among the k best, however many they are
-            edge = -np.partition(-guess, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-            chosen |= guess >= (edge - margin * np.sqrt((q * q).sum(1)))[:, None]
-            for r in range(len(q)):
-                at = np.flatnonzero(chosen[r] & (guess[r] > -np.inf))
-                s = x[at] @ q_all[i + r]
-                best = np.lexsort((ids[at], -s))[:k]
-                out.append((np.full(len(best), asker[i + r]), ids[at][best], s[best]))
-        a, b, s = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
+        coded = index.centroids[of] + np.concatenate([c[self.codes[:, m]] for m, c in enumerate(index.books)], axis=1)
+        self.margin = MARGIN * np.sqrt(((self.x - coded) ** 2).sum(1).mean() / index.dim)
+
+    def best(self, asker: np.ndarray, q_all: np.ndarray, k: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, score) of the ``k`` best in the block of each query."""
+        index, ids = self.index, self.ids
+        out, take = [], min(depth, len(ids))
+        q = q_all.astype(np.float32)
+        guess = np.zeros((len(q), len(ids)), np.float32)
+        for m, (a, b) in enumerate(zip(index.edges[:-1], index.edges[1:], strict=True)):
+            guess += (q[:, a:b] @ index.books[m].T)[:, self.codes[:, m]]
+        guess[asker[:, None] == ids[None, :]] = -np.inf
+        least = -np.partition(-guess, take - 1, axis=1)[:, take - 1]
+        sure = guess > least[:, None]
+        tie = guess == least[:, None]
+        chosen = sure | tie & (np.cumsum(tie, axis=1) <= (take - sure.sum(1))[:, None])
+        # and all that could yet be among the k best, however many they are
+        edge = -np.partition(-guess, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+        chosen |= guess >= (edge - self.margin * np.sqrt((q * q).sum(1)))[:, None]
+        for r in range(len(q)):
+            at = np.flatnonzero(chosen[r] & (guess[r] > -np.inf))
+            s = self.x[at] @ q_all[r]
+            best = np.lexsort((ids[at], -s))[:k]
+            out.append((np.full(len(best), asker[r]), ids[at][best], s[best]))
+        return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:
+    """((list, salt), kind, rows) of each run of equal ones."""
+    keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+    edges = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0), [True]]))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield (int(keys[0, a]), int(keys[1, a])), int(keys[2, a]), batch.slice(a, b - a)
+
+
+def _searched(sent, k: int, depth: int):
+    """Of rows sorted by (list, salt, kind, id), kind 0 a block's vectors and kind 1 its queries, each query's best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, of, parts, block = sent.value, None, [], None
+        for batch in batches:
+            for key, kind, rows in _runs(batch) if batch.num_rows else ():
+                if key != of:
+                    of, parts, block = key, [], None
+                if kind == 0:
+                    parts.append(rows)
+                    continue
+                if not parts:
+                    continue
+                if block is None:
+                    block = _Block(index, of[0], parts)
+                asker = rows.column(3).to_numpy()
+                q, _ = matrix(rows.column(4), index.dim)
+                for i in range(0, len(asker), QUERIES):
+                    found = block.best(asker[i : i + QUERIES], q[i : i + QUERIES], k, depth)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, found)], _FOUND)
 
     return run
 
@@ -138,12 +173,15 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id is not null and size(vector) > 0")
     rows = rows.where(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0))
     schema = "query_id long, rank int, vec_id long, score double"
-    sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asking")).collect()
+    sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
         return spark.createDataFrame([], schema)
-    top = max(sizes, key=lambda r: (r["n"], -r["dim"]))
-    dim, total, asking = top["dim"], top["n"], top["asking"]
-    rows = rows.where(F.size("vector") == dim)
+    return reduce(DataFrame.unionByName, [_search(rows.where(F.size("vector") == r["dim"]), r["dim"], r["n"], k, sample, depth) for r in sorted(sizes, key=lambda r: r["dim"])])
+
+
+def _search(rows: DataFrame, dim: int, total: int, k: int, sample: int, depth: int) -> DataFrame:
+    """``search`` of valid vectors of ``dim`` components."""
+    spark = rows.sparkSession
     drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 32)) < int(min(1.0, sample / total) * (1 << 32))).select("vec_id", "vector") if total > sample else rows.select("vec_id", "vector")
     x = np.array([r["vector"] for r in sorted(drawn.collect(), key=lambda r: r["vec_id"])], np.float64).reshape(-1, dim)
     index = Index(x, total, k)
@@ -168,12 +206,10 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
     stored = cut(rows.mapInArrow(assign, "vec_id long, vector array<double>, asks boolean, list int, codes binary"))
     salts = {r["list"]: -(-r["n"] // LIST_BLOCK) for r in stored.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     many = F.element_at(F.array(*(F.lit(int(salts.get(c, 1))) for c in range(len(index.centroids)))), F.col("list") + 1)
-    blocks = max(1, -(-asking // QUERY_BLOCK))
-    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    base = stored.select("list", F.pmod(F.xxhash64("vec_id"), many).cast("int").alias("salt"), block.alias("block"), "vec_id", "vector", "codes")
+    base = stored.select("list", F.pmod(F.xxhash64("vec_id"), many).cast("int").alias("salt"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "vector", "codes")
     asked = stored.where("asks").select(F.col("vec_id").alias("query_id"), "vector").mapInArrow(visit, "query_id long, vector array<double>, lists array<int>")
-    asked = asked.select("query_id", "vector", F.explode("lists").alias("list")).select("list", F.explode(F.sequence(F.lit(0), many - 1)).alias("salt"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "vector")
-    group = ("list", "salt", "block")
-    found = base.groupBy(*group).cogroup(asked.groupBy(*group)).applyInArrow(lambda key, a, b: _searched(sent.value, k, depth)(key, a, b), "query_id long, vec_id long, score double")
+    asked = asked.select("query_id", "vector", F.explode("lists").alias("list")).select("list", F.explode(F.sequence(F.lit(0), many - 1)).alias("salt"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "vector", F.lit(None).cast("binary").alias("codes"))
+    both = base.union(asked).repartition("list", "salt").sortWithinPartitions("list", "salt", "kind", "id")
+    found = both.mapInArrow(_searched(sent, k, depth), "query_id long, vec_id long, score double")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
