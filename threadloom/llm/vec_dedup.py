@@ -33,7 +33,9 @@ from threadloom.llm.shared import cut
 PASSES = 8
 WINDOW = 512
 BITS = 62
-BLOCK = 512
+#: Vectors of a component's block, and rows of a block compared at once.
+BLOCK = 4096
+ROWS = 256
 
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +150,7 @@ def _count_block(threshold: float):
             if len(left) and len(right):
                 x, y = (_unit(matrix(vectors.take(pa.array(k)), int(dim))[0]) for k in (left, right))
                 out_node.append(node[left])
-                out_n.append((x @ y.T >= threshold) @ copies[right])
+                out_n.append(np.concatenate([(x[a : a + ROWS] @ y.T >= threshold) @ copies[right] for a in range(0, len(x), ROWS)]))
         if not out_node:
             return pa.table({"node": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         return pa.table({"node": np.concatenate(out_node), "n": np.concatenate(out_n).astype(np.int64)})
