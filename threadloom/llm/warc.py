@@ -107,7 +107,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes: int
     both = rows.select("page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("keep"), "url", "html").unionByName(
         revisits.select("page_id", "digest", F.lit(0).alias("kind"), "keep", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     )
-    dealt, shard, n = with_shard(both, "page_id", F.octet_length("html") + 512, shard_bytes, pages)
+    dealt, shard, n = with_shard(both, "page_id", F.octet_length("html") + 512, shard_bytes, F.conv(F.substring("digest", 1, 8), 16, 10), rows)
     dealt = dealt.repartitionById(n, shard).sortWithinPartitions(shard, "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
