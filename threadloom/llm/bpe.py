@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,10 @@ from threadloom.llm.shared import held, small_batches
 from threadloom.llm.words import buffers, chunks, mix
 
 _NEVER = 1 << 60
-_MEMO = 100_000
+#: Pieces and characters a memo holds, pairs the scalar path remembers, and how many words at most go on one by one.
+_MEMO, _MEMO_CHARACTERS = 100_000, 4 << 20
+_PAIRS = 1 << 18
+_FEW = 16
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -104,7 +108,8 @@ class Encoder:
     """Exact merges of many pre-tokens at once.
 
     All words take their steps together: each numpy operation advances every word
-    that isn't finished, so a step costs some nanoseconds a word.
+    that isn't finished, so a step costs some nanoseconds a word.  Once few words
+    are left (very long ones), each goes on alone in a plain loop.
     """
 
     CACHE_BITS = 20
@@ -116,8 +121,10 @@ class Encoder:
         self.rank_value = np.array([r for _, r in ranks], np.int64)
         edges = [self._edges(side) for side in (0, 1)]
         (self.left_at, self.left, self.left_until), (self.right_at, self.right, self.right_until) = edges
+        self.tables = [memoryview(x) for x in (self.right, self.right_until, self.left, self.left_until, self.rank_key, self.rank_value)]
         self.cache_key = np.full(1 << self.CACHE_BITS, -1, np.int64)
         self.cache_value = np.zeros(1 << self.CACHE_BITS, bool)
+        self.pairs: dict[int, bool] = {}
         tokens = self._reachable()
         # over reversed tokens: read from the right, its state at a byte knows the longest token that begins there
         self.go, self.row, self.longest, _ = automaton([(v.token[i][::-1], i) for i in tokens])
@@ -189,13 +196,14 @@ class Encoder:
         return [i for i in v.ids.values() if fine.get(i, len(v.token[i]) == 1)]
 
     def _meets(self, a: int, b: int) -> bool:
-        """Whether a and b are whole when they merge."""
+        """Whether a and b are whole when they meet."""
+        right, right_until, left, left_until, *_ = self.tables
         i, j = int(self.right_at[a]), int(self.left_at[b])
         while True:
-            x_until, y_until = self.right_until[i], self.left_until[j]
+            x_until, y_until = right_until[i], left_until[j]
             if x_until == y_until == _NEVER:
                 return True
-            across = self.v.rank.get((int(self.right[i]), int(self.left[j])), _NEVER)
+            across = self._rank(right[i] << 20 | left[j])
             if across < x_until and across <= y_until:
                 return False
             if x_until <= y_until:
@@ -203,6 +211,11 @@ class Encoder:
             else:
                 j += 1
 
+    def _rank(self, key: int) -> int:
+        *_, keys, ranks = self.tables
+        at = bisect_left(keys, key)
+        return ranks[at] if at < len(keys) and keys[at] == key else _NEVER
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words one after another, the number of each)."""
         v = self.v
@@ -216,6 +229,10 @@ class Encoder:
         upto = np.searchsorted(-length[order], -np.arange(int(length.max())), "left")
         state, end = np.zeros(len(words), np.int64), edge[1:][order]
         for t, n in enumerate(upto):
+            if n <= _FEW:
+                for k in range(n):
+                    self._begins_alone(data, begins, int(end[k]) - 1 - t, int(end[k] - length[order[k]]), int(state[k]))
+                break
             at = end[:n] - 1 - t
             state[:n] = self.go[self.row[state[:n]] + data[at]]
             begins[at] = self.longest[state[:n]]
@@ -226,6 +243,10 @@ class Encoder:
         at, stop, base = edge[:-1][live].copy(), edge[1:][live], edge[:-1][live]
         candidate, d = begins[at].astype(np.int64), np.zeros(len(live), np.int64)
         while len(live):
+            if len(live) <= _FEW:
+                for k, word in enumerate(live.tolist()):
+                    depth[word] = self._walk_alone(begins, stack, dead, *(int(x[k]) for x in (at, stop, base, candidate, d)))
+                break
             has = candidate >= 0
             end = at + np.where(has, v.width[candidate], 0)
             fits = has & ~dead[end]
@@ -259,6 +280,42 @@ class Encoder:
         where = np.repeat(edge[:-1] - (np.cumsum(depth) - depth), depth) + np.arange(total)
         return stack[where], depth
 
+    def _begins_alone(self, data: np.ndarray, begins: np.ndarray, at: int, first: int, state: int) -> None:
+        """``begins`` of the bytes of one word from ``at`` back to ``first``."""
+        go, row, longest, data, begins = map(memoryview, (self.go, self.row, self.longest, data, begins))
+        for at in range(at, first - 1, -1):
+            state = go[row[state] + data[at]]
+            begins[at] = longest[state]
+
+    def _walk_alone(self, begins: np.ndarray, stack: np.ndarray, dead: np.ndarray, at: int, stop: int, base: int, candidate: int, d: int) -> int:
+        """The number of tokens of one word, the tokens themselves on the stack from ``base`` on."""
+        width, shorter, begins, stack, dead, pairs = *map(memoryview, (self.v.width, self.shorter, begins, stack, dead)), self.pairs
+        while at < stop:
+            if candidate >= 0:
+                end = at + width[candidate]
+                fits = not dead[end]
+                if fits and d:
+                    key = stack[base + d - 1] << 20 | candidate
+                    fits = pairs.get(key)
+                    if fits is None:
+                        if len(pairs) > _PAIRS:
+                            pairs.clear()
+                        fits = pairs[key] = self._meets(key >> 20, candidate) and self._rank(key) == _NEVER
+                if fits:
+                    stack[base + d] = candidate
+                    d, at = d + 1, end
+                    candidate = begins[at] if at < stop else -1
+                    continue
+                candidate = shorter[candidate]
+            if candidate < 0:
+                if d == 0:
+                    raise ValueError("the vocabulary lacks a byte")
+                dead[at] = True
+                d -= 1
+                at -= width[stack[base + d]]
+                candidate = shorter[stack[base + d]]
+        return d
+
     def encode_pieces(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = [pretokens(p) for p in found]
         each = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -270,14 +327,14 @@ class Encoder:
 class Memo(dict):
     """Index of a piece's ids in a growing table; pieces not met before are encoded together, and a full memo is emptied between runs of texts."""
 
-    def __init__(self, encode, limit: int = _MEMO):
+    def __init__(self, encode, limit: int = _MEMO, characters: int = _MEMO_CHARACTERS):
         super().__init__()
-        self.encode, self.limit, self.due = encode, limit, []
+        self.encode, self.limit, self.most_characters, self.due = encode, limit, characters, []
         self.clear()
 
     def clear(self) -> None:
         super().clear()
-        self.flat, self.end, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
+        self.flat, self.end, self.size, self.characters = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0, 0
 
     def __missing__(self, piece: str) -> int:
         at = self[piece] = len(self)
@@ -296,12 +353,13 @@ class Memo(dict):
 
     def ids(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the pieces one after another, the number of each)."""
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.characters > self.most_characters:
             self.clear()
         at = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
         due, self.due = self.due, []
         if due:
             self._append(*self.encode(due))
+            self.characters += sum(map(len, due))
         begin = self.end[at]
         count = self.end[at + 1] - begin
         where = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
@@ -364,10 +422,9 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "
 
     A null text has an empty array.  Other columns pass through untouched, and
     without ``keep_text`` the text itself is left out.  A column already named
-    ``ids`` is an error: pick another name.
+    ``ids`` gives way.
     """
-    if ids in df.columns:
-        raise ValueError(f"the input has a column named {ids}")
+    df = df.drop(ids)
     small_batches(df.sparkSession)
     out = _schema(df, [(ids, T.ArrayType(T.IntegerType()))], () if keep_text else (text,))
     names = [f.name for f in out.fields]
@@ -392,10 +449,9 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", text: str = "d
 
     The bytes of all tokens lie one after another in one array; an offset table
     says where each begins.  Null ids give an empty text, bytes that are no valid
-    UTF-8 the replacement character.
+    UTF-8 the replacement character.  A column already named ``text`` gives way.
     """
-    if text in df.columns:
-        raise ValueError(f"the input has a column named {text}")
+    df = df.drop(text)
     small_batches(df.sparkSession)
     out = _schema(df, [(text, T.StringType())], () if keep_ids else (ids,))
     names = [f.name for f in out.fields]

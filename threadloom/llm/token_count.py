@@ -8,7 +8,9 @@ and its piece count.  Ties go to the path whose last piece begins first.  A
 character no piece covers costs the least score less ten and counts as its
 UTF-8 bytes (byte fallback).
 
-Null or empty text: 0.  A memo of bounded size holds counts of parts met before.
+Null or empty text: 0.  Texts without spaces are one part, however long: once few
+parts are left in step, each goes on alone in a plain loop.  A memo of bounded size
+holds counts of short parts met before.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from threadloom.llm.automaton import automaton
 from threadloom.llm.words import buffers, chunks
 
 MARK = "▁"
-_MEMO = 600_000
+#: Parts the memo holds, their longest length, and how many parts at most go on one by one.
+_MEMO, _MEMO_LENGTH = 600_000, 64
+_FEW = 24
 
 
 def unigram_pieces(path: str) -> list[tuple[str, float]]:
@@ -48,6 +52,34 @@ class Counter:
         self.shorter = np.full(len(data), -1, np.int64)
         for k, s in shorter.items():
             self.shorter[k] = s
+        self.reach = 1 << int(self.width.max() + 4).bit_length()
+
+    def _alone(self, part: bytes, t: int, state: int, char: int, best: list[float], pieces: list[int]) -> int:
+        """The count of ``part`` from byte ``t`` on; ``best`` and ``pieces`` hold the last ``reach`` nodes by place modulo ``reach``."""
+        go, row, longest, shorter, width, value = map(memoryview, (self.go, self.row, self.longest, self.shorter, self.width, self.score))
+        last, n, unknown, none = self.reach - 1, len(part), self.unknown, -np.inf
+        for t in range(t, n):
+            byte = part[t]
+            state = go[row[state] + byte]
+            char = char + 1 if byte & 0xC0 == 0x80 else 1
+            top, total, alone = none, 0, False
+            piece = longest[state]
+            while piece >= 0:
+                w = width[piece]
+                came = t + 1 - w & last
+                score = best[came] + value[piece]
+                if score > top:
+                    top, total = score, pieces[came] + 1
+                alone |= w == char
+                piece = shorter[piece]
+            if not alone:
+                came = t + 1 - char & last
+                if best[came] + unknown > top:
+                    top, total = best[came] + unknown, pieces[came] + char
+            if t + 1 < n and part[t + 1] & 0xC0 == 0x80:
+                top = none  # no piece ends inside a character
+            best[t + 1 & last], pieces[t + 1 & last] = top, total
+        return pieces[n & last]
 
     def count(self, parts: list[bytes]) -> np.ndarray:
         length = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -62,7 +94,19 @@ class Counter:
         best[at_node] = 0.0
         state, char = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
         upto = np.searchsorted(-length[order], -np.arange(int(length.max())), "left")
+        out = np.empty(len(parts), np.int64)
         for t, n in enumerate(upto):
+            if n <= _FEW:
+                for p in range(n):
+                    known = np.arange(max(0, t + 1 - self.reach), t + 1)
+                    at = at_node[p] + known
+                    held = [0.0] * self.reach, [0] * self.reach
+                    for k, b, c in zip((known & (self.reach - 1)).tolist(), best[at].tolist(), pieces[at].tolist(), strict=True):
+                        held[0][k], held[1][k] = b, c
+                    out[order[p]] = self._alone(parts[order[p]], t, int(state[p]), int(char[p]), *held)
+                order = order[n:]
+                at_node = at_node[n:]
+                break
             byte = data[start[:n] + t]
             state[:n] = self.go[self.row[state[:n]] + byte]
             char[:n] = np.where((byte & 0xC0) == 0x80, char[:n] + 1, 1)
@@ -92,7 +136,6 @@ class Counter:
                 inside = following[(data[start[following] + t + 1] & 0xC0) == 0x80]
                 top[inside] = -np.inf
             best[node], pieces[node] = top, total
-        out = np.empty(len(parts), np.int64)
         out[order] = pieces[at_node + length[order]]
         return out
 
@@ -113,16 +156,17 @@ def count_texts(counter: Counter, memo: dict[str, int], texts: list[str]) -> np.
     if len(memo) > _MEMO:
         memo.clear()
     due = [p for p in set(parts) if p not in memo]
-    memo.update(zip(due, counter.count([(MARK + p).encode() for p in due]).tolist(), strict=True))
-    upto = np.concatenate([[0], np.cumsum(np.fromiter(map(memo.__getitem__, parts), np.int64, len(parts)))])
+    now = dict(zip(due, counter.count([(MARK + p).encode() for p in due]).tolist(), strict=True))
+    long = {p: n for p, n in now.items() if len(p) > _MEMO_LENGTH}
+    memo.update((p, n) for p, n in now.items() if p not in long)
+    upto = np.concatenate([[0], np.cumsum(np.fromiter((memo[p] if len(p) <= _MEMO_LENGTH else long[p] for p in parts), np.int64, len(parts)))])
     edge = np.concatenate([[0], np.cumsum(each)])
     return upto[edge[1:]] - upto[edge[:-1]]
 
 
 def token_counts(df: DataFrame, model_path: str, text: str = "text", count: str = "n_tokens", keep_text: bool = True) -> DataFrame:
-    """``df`` with the number of unigram tokens of ``text``; a column already named ``count`` is an error."""
-    if count in df.columns:
-        raise ValueError(f"the input has a column named {count}")
+    """``df`` with the number of unigram tokens of ``text``; a column already named ``count`` gives way."""
+    df = df.drop(count)
     fields = [f for f in df.schema.fields if keep_text or f.name != text]
     out = T.StructType([*fields, T.StructField(count, T.LongType())])
 
