@@ -5,10 +5,11 @@ text, everything but letters read as a space) that both contain, by presence:
 |x & y| / sqrt(|x| |y|).  Nystroem landmarks, the same number for each language,
 stand for the feature space; one-versus-rest kernel ridge regression on them is
 fitted to a bounded sample of labelled rows, and rows are scored in batches by
-two matrix products.  Grams no landmark has are left out of all three counts.
+two matrix products.  Grams no landmark has count in |x| alone.
 
 Null text and text without any letter: ``und`` with score 0.  Without labelled
 rows every prediction is ``und``.  Ties go to the language first in code-point order.
+A column of the input named as one of the results gives way to it.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 from threadloom.llm.shared import free_name, held, small_batches
 from threadloom.llm.words import buffers, chunks
 
-#: Labelled rows for each language that the fit may see, landmarks among them, and the ridge.
-SAMPLE_PER_LANGUAGE = 400
+#: Labelled rows that the fit may see, for each language and in all; landmarks among them, and the ridge.
+SAMPLE_PER_LANGUAGE, SAMPLE = 400, 8000
 LANDMARKS_PER_LANGUAGE = 48
 RIDGE = 1e-2
 UNDETERMINED = "und"
@@ -63,13 +64,14 @@ class Model:
     landmarks: np.ndarray
     weights: np.ndarray
 
-    def kernel(self, present: np.ndarray) -> np.ndarray:
-        size = np.maximum(present.sum(1), 1.0)
+    def kernel(self, present: np.ndarray, other: np.ndarray | int = 0) -> np.ndarray:
+        """Of rows with the grams ``present`` and ``other`` more that no landmark has."""
+        size = np.maximum(present.sum(1) + other, 1.0)
         own = np.maximum(self.landmarks.sum(1), 1.0)
         return (present @ self.landmarks.T) / np.sqrt(size[:, None] * own[None, :]).astype(np.float32)
 
-    def scores(self, present: np.ndarray) -> np.ndarray:
-        return self.kernel(present) @ self.weights
+    def scores(self, present: np.ndarray, other: np.ndarray | int = 0) -> np.ndarray:
+        return self.kernel(present, other) @ self.weights
 
 
 def fit_rows(languages: list[str], rows: list[tuple[str, np.ndarray]], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
@@ -87,13 +89,21 @@ def fit_rows(languages: list[str], rows: list[tuple[str, np.ndarray]], landmarks
             p[r, at[vocabulary[at] == rows[k][1][: len(at)]]] = 1
         return p
 
+    def sizes(which: range) -> np.ndarray:
+        return np.array([len(rows[k][1]) for k in which])
+
     model = Model(languages, vocabulary, presence(marks), np.zeros((len(marks), len(languages)), np.float32))
     if marks:
         # each language weighs the same, however many rows it has
         lang = np.array([languages.index(x) for x, _ in rows])
         weight = 1.0 / np.bincount(lang, minlength=len(languages))[lang]
         weight *= len(rows) / weight.sum()
-        k_nm = np.concatenate([model.kernel(presence(list(range(i, min(i + 256, len(rows)))))) for i in range(0, len(rows), 256)]).astype(np.float64)
+        k_nm = []
+        for i in range(0, len(rows), 256):
+            own = range(i, min(i + 256, len(rows)))
+            present = presence(list(own))
+            k_nm.append(model.kernel(present, sizes(own) - present.sum(1)))
+        k_nm = np.concatenate(k_nm).astype(np.float64)
         k_mm = model.kernel(model.landmarks).astype(np.float64)
         y = np.where(lang[:, None] == np.arange(len(languages))[None, :], 1.0, -1.0)
         a = k_nm.T @ (weight[:, None] * k_nm) + ridge * k_mm + 1e-6 * np.eye(len(marks))
@@ -102,7 +112,7 @@ def fit_rows(languages: list[str], rows: list[tuple[str, np.ndarray]], landmarks
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit to about ``sample_per_language`` rows of each non-null ``lang``.
+    """Fit to about ``sample_per_language`` rows of each non-null ``lang``, fewer where there are very many languages.
 
     Rows are drawn by a hash of ``key``; only their distinct gram ids, at most some
     thousands a row, reach the driver, never texts.
@@ -112,6 +122,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return fit_rows([], [])
+    sample_per_language = min(sample_per_language, max(1, SAMPLE // len(counts)))
     limit = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(int(min(1.0, sample_per_language / n) * (1 << 32))))))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +142,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score", keep_text: bool = True) -> DataFrame:
-    """``df`` with the predicted language and its score (0 to 1); columns already so named are an error."""
-    if {lang, score} & set(df.columns):
-        raise ValueError(f"the input has a column named {lang} or {score}")
+    """``df`` with the predicted language and its score (0 to 1)."""
+    df = df.drop(lang, score)
     small_batches(df.sparkSession)
     letter = free_name(df, "__has_letter")
     fields = [f for f in df.schema.fields if keep_text or f.name != text]
@@ -157,7 +167,8 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
                     has = at >= 0
                     present = np.zeros((b - a, len(model.vocabulary)), np.float32)
                     present[row[has], at[has]] = 1
-                    f = model.scores(present)
+                    unseen = np.unique(row[~has].astype(np.int64) << 24 | ids[~has])
+                    f = model.scores(present, np.bincount(unseen >> 24, minlength=b - a))
                     best[a:b] = f.argmax(1)
                     value[a:b] = np.clip((f.max(1) + 1) / 2, 0, 1)
             ok = batch.column(batch.schema.get_field_index(letter)).fill_null(False).to_numpy(zero_copy_only=False)

@@ -14,7 +14,7 @@ target.  The position in that order is a bucket's start plus the row's place in
 its (source, class, salt) bucket, so no source is ever in one task.
 
 Null text has size 0, null source is a source of its own, rows with equal keys
-stand side by side in order of size, an empty table gives an empty table, and
+stand side by side in order of size and ``ties``, an empty table gives an empty table, and
 the same rows and seed give the same copies.
 """
 
@@ -31,6 +31,7 @@ SHARE_PERCENT = 150
 CAP = 2
 SALTS = 256
 SEED = "mix"
+NAMES = ("source_size", "target", "copies")
 
 
 def word_count(text: str | Column) -> Column:
@@ -62,15 +63,15 @@ def _hash(text: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
-def sample(df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", seed: str = SEED, salts: int = SALTS) -> DataFrame:
-    """``df`` with ``source_size``, ``target`` and ``copies`` (how often the mix takes the row).
+def sample(df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", seed: str = SEED, salts: int = SALTS, ties: tuple[Column, ...] = (), names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """``df`` with its source's size and target and the copies the mix takes of the row, under ``names``.
 
-    ``df`` is read twice: once for the bucket counts, once for the rows.
+    Columns of ``df`` that already have such a name give way to them.  ``ties`` order rows
+    of equal key and size.  ``df`` is read
+    twice: once for the bucket counts, once for the rows.
     """
-    for name in ("source_size", "target", "copies"):
-        if name in df.columns:
-            raise ValueError(f"the input has a column named {name}")
-    none, name, band, salt, place = (free_name(df, x) for x in ("__none", "__source", "__band", "__salt", "__place"))
+    df = df.drop(*names)
+    none, name, band, salt, place, of = (free_name(df, x) for x in ("__none", "__source", "__band", "__salt", "__place", "__of"))
     bits = F.bin(F.col(size))
     rows = (
         df.withColumn(none, F.col(source).isNull())
@@ -96,12 +97,13 @@ def sample(df: DataFrame, key: str = "doc_id", source: str = "source", size: str
         counted.select(*bucket, F.coalesce(F.sum("n").over(W.partitionBy(none, name, band).orderBy(salt).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("salt_start"))
         .join(before_band, [none, name, band])
         .join(goal, [none, name])
-        .select(*bucket, (F.col("band_start") + F.col("salt_start")).alias("start"), "source_size", "target", "rate", "offset")
+        .select(*bucket, F.struct((F.col("band_start") + F.col("salt_start")).alias("start"), "source_size", "target", "rate", "offset").alias(of))
     )
-    placed = rows.withColumn(place, F.row_number().over(W.partitionBy(*bucket).orderBy(key, size)) - 1)
-    at = F.col("start") + F.col(place)
-    crossed = F.floor((at + 1) * F.col("rate") + F.col("offset")) - F.floor(at * F.col("rate") + F.col("offset"))
-    return placed.join(starts, bucket).select(*[F.col(c) for c in df.columns], "source_size", "target", crossed.cast("long").alias("copies"))
+    placed = rows.withColumn(place, F.row_number().over(W.partitionBy(*bucket).orderBy(key, size, *ties)) - 1).join(starts, bucket)
+    rate, offset, at = F.col(f"{of}.rate"), F.col(f"{of}.offset"), F.col(f"{of}.start") + F.col(place)
+    crossed = F.floor((at + 1) * rate + offset) - F.floor(at * rate + offset)
+    added = F.col(f"{of}.source_size"), F.col(f"{of}.target"), crossed.cast("long")
+    return placed.select(*map(F.col, df.columns), *(x.alias(n) for x, n in zip(added, names, strict=True)))
 
 
 def emit(df: DataFrame, copies: str = "copies") -> DataFrame:

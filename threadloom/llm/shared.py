@@ -10,17 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder URI under ``spark.checkpoint.dir``.
+    """A new folder URI under ``spark.checkpoint.dir``, on the session's default file system if it names none.
 
-    Only where the session names no such folder (local tests) is one made in the
-    machine's temporary folder.
+    Where the session names no such folder, a cluster's warehouse takes its place, and a
+    local session's own temporary folder (as in tests).
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if not root and spark.sparkContext.master.startswith("local"):
         root = "file://" + tempfile.mkdtemp(prefix="spark-threadloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if "://" not in root and root.startswith("/"):
-        root = "file://" + root
+    root = root or spark.conf.get("spark.sql.warehouse.dir")
+    if root.startswith("/"):
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        root = f"file://{root}" if default.startswith("file:") else default.rstrip("/") + root
+    if root.startswith("file:/") and not root.startswith("file://"):
+        root = "file://" + root.removeprefix("file:")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
