@@ -40,10 +40,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as the mix of sources wants it."""
-    size = free_name(docs, "__size")
+    """Take each document as often as the mix of sources wants it; rows of one id and size stand in the order of their texts' digests."""
+    size, *names = (free_name(docs, f"__{x}") for x in ("size", *mixing.NAMES))
     sized = docs.withColumn(size, mixing.word_count("text"))
-    return mixing.emit(mixing.sample(sized, size=size)).select(docs.columns)
+    mixed = mixing.sample(sized, size=size, ties=(F.xxhash64("text"),), names=tuple(names))
+    return mixing.emit(mixed, copies=names[2]).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
