@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import fact_queries, mail_queries, sql_queries, store_queries
+from threadloom.plans import corpus_queries, fact_queries, log_queries, mail_queries, search_queries, sql_queries, store_queries, text_queries, upkeep_queries
 from threadloom.streaming import windows
 
-QUERIES: dict = {**fact_queries.QUERIES, **mail_queries.QUERIES, **sql_queries.QUERIES, **store_queries.QUERIES, **windows.QUERIES}
-ORACLE_SQL: dict[str, str] = {**fact_queries.ORACLE_SQL, **mail_queries.ORACLE_SQL, **sql_queries.ORACLE_SQL, **store_queries.ORACLE_SQL, **windows.ORACLE_SQL}
+_MODULES = (fact_queries, mail_queries, sql_queries, store_queries, windows, text_queries, log_queries, search_queries, corpus_queries, upkeep_queries)
+QUERIES: dict = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

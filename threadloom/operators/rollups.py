@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Ids of a bucket of a running sum.
+BUCKET = 4096
+
 
 def latest_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in ``order``; give an order without ties."""
@@ -14,17 +17,20 @@ def latest_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def thread_summary(messages: DataFrame) -> DataFrame:
-    """Per tenant and thread: count, date range, first subject, senders in order of appearance, all senders, all labels."""
-    rows = F.array_sort(F.collect_list(F.struct("date", "id", "subject", "from_addr")))
+    """Per tenant and thread: count, date range, first subject, senders in order of appearance, all senders, all labels.
+
+    Subjects stay out of the lists; a label set is at most as large as there are labels.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("date", "id", "from_addr")))
     grouped = messages.groupBy("user_id", "thread_id").agg(
         F.count(F.lit(1)).alias("message_count"),
         F.min("date").alias("date_first"),
         F.max("date").alias("date_last"),
-        rows.alias("rows"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("all_labels"),
+        F.min_by("subject", F.struct("date", "id")).alias("subject"),
+        F.transform(rows, lambda r: r["from_addr"]).alias("all_from_addrs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("all_labels"),
     )
-    senders = F.transform("rows", lambda r: r["from_addr"])
-    return grouped.select("user_id", "thread_id", "message_count", "date_first", "date_last", F.col("rows")[0]["subject"].alias("subject"), F.array_distinct(senders).alias("participants"), senders.alias("all_from_addrs"), "all_labels")
+    return grouped.select("user_id", "thread_id", "message_count", "date_first", "date_last", "subject", F.array_distinct("all_from_addrs").alias("participants"), "all_from_addrs", "all_labels")
 
 
 def thread_summary_incremental(messages: DataFrame, touched: DataFrame) -> DataFrame:
@@ -69,12 +75,11 @@ def email_of(address: Column) -> Column:
 
 def inbox(messages: DataFrame, user: str, limit: int = 50) -> DataFrame:
     """Latest message of each thread that has one in the inbox, newest first, with the thread's size."""
-    own = messages.where(F.col("user_id") == user)
-    inside = own.where(F.array_contains("labels", "INBOX")).select("thread_id").distinct()
-    threads = own.join(inside, "thread_id", "left_semi")
-    counts = threads.groupBy("thread_id").agg(F.count(F.lit(1)).alias("message_count"))
-    last = latest_per(threads, ["thread_id"], F.desc("date"), F.desc("id"))
-    return last.join(counts, "thread_id").orderBy(F.desc("date"), F.desc("thread_id")).limit(limit).select("thread_id", "id", "subject", "from_addr", "date", "message_count")
+    threads = messages.where(F.col("user_id") == user).groupBy("thread_id").agg(
+        F.bool_or(F.array_contains("labels", "INBOX")).alias("inside"), F.count(F.lit(1)).alias("message_count"), F.max(F.struct("date", "id", "subject", "from_addr")).alias("last")
+    )
+    found = threads.where("inside").orderBy(F.desc("last.date"), F.desc("thread_id")).limit(limit)
+    return found.select("thread_id", "last.id", "last.subject", "last.from_addr", "last.date", "message_count")
 
 
 def priority_section(messages: DataFrame, user: str, section: str) -> DataFrame:
@@ -117,6 +122,14 @@ def backoff_due(queue: DataFrame, attempts: str, last: str, now: Column, most: i
 
 
 def running_budget(costs: DataFrame, limit: float) -> DataFrame:
-    """Per tenant, the rows in order of id whose running cost stays within ``limit``."""
-    spent = F.sum("estimated_cost_usd").over(W.partitionBy("user_id").orderBy("id").rowsBetween(W.unboundedPreceding, 0))
-    return costs.withColumn("spent", spent).where(F.col("spent") <= limit)
+    """Per tenant, the rows in order of id whose running cost stays within ``limit``.
+
+    Ids go into buckets; a bucket's start is the sum of those before it, so a tenant of
+    any size is summed in many tasks.
+    """
+    bucket = F.floor(F.col("id") / BUCKET)
+    sums = costs.groupBy("user_id", bucket.alias("__bucket")).agg(F.sum("estimated_cost_usd").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(W.partitionBy("user_id").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    starts = sums.select("user_id", "__bucket", before.alias("__before"))
+    inside = F.sum("estimated_cost_usd").over(W.partitionBy("user_id", "__bucket").orderBy("id").rowsBetween(W.unboundedPreceding, 0))
+    return costs.withColumn("__bucket", bucket).join(starts, ["user_id", "__bucket"]).withColumn("spent", F.col("__before") + inside).where(F.col("spent") <= limit).drop("__bucket", "__before")

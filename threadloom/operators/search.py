@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+MESSAGE_FIELDS, ATTACHMENT_FIELDS = ("subject", "from_addr", "to_addr", "body_text"), ("filename", "extracted_text")
 # fixed values: the blend's weights and the label scores
 WEIGHTS = {"sim": 0.40, "bm25": 0.15, "recency": 0.15, "labels": 0.12, "replied": 0.08, "density": 0.06, "tsize": 0.04, "contact": 0.08, "fresh": 0.18}
 LABEL_SCORES = {"IMPORTANT": 0.35, "CATEGORY_PERSONAL": 0.25, "CATEGORY_UPDATES": 0.10, "CATEGORY_SOCIAL": 0.0, "CATEGORY_PROMOTIONS": -0.15, "SENT": 0.15, "INBOX": 0.10, "STARRED": 0.30}
@@ -17,6 +21,32 @@ def dot(vector: Column, query: list[float]) -> Column:
     return F.aggregate(F.zip_with(vector, F.array(*map(F.lit, query)), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
 
 
+def length(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+
+
+def cosine(vector: Column, query: list[float]) -> Column:
+    return dot(vector, query) / length(vector) / float(sum(x * x for x in query)) ** 0.5
+
+
+def shortened(vector: Column, dims: int) -> Column:
+    """The first ``dims`` components, at unit length."""
+    head = F.slice(vector, 1, dims)
+    return F.transform(head, lambda x: x.cast("double") / length(head))
+
+
+def coherence(vectors: DataFrame, group: str, vector: str) -> DataFrame:
+    """(group, vectors, coherence): mean cosine of each group's vectors to their centroid.
+
+    Centroids are added up by component, so a group's vectors never meet in one place.
+    """
+    own = vectors.select(group, vector)
+    parts = own.select(group, F.posexplode(vector).alias("at", "x")).groupBy(group, "at").agg(F.avg(F.col("x").cast("double")).alias("c"))
+    centroid = parts.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda p: p["c"]).alias("c"))
+    product = F.aggregate(F.zip_with(vector, "c", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    return own.join(centroid, group).groupBy(group).agg(F.count(F.lit(1)).alias("vectors"), F.round(F.avg(product / length(F.col(vector)) / length(F.col("c"))), 6).alias("coherence"))
+
+
 def vector_topk(embeddings: DataFrame, query: list[float], k: int, id: str = "id") -> DataFrame:
     """The ``k`` nearest by inner product; partial and final top-k without a full sort."""
     return embeddings.select(id, F.round(dot(F.col("embedding"), query), 6).alias("score")).orderBy(F.desc("score"), id).limit(k)
@@ -32,17 +62,52 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def _counted(docs: DataFrame, id: str, fields: list[Column], terms: list[str]) -> DataFrame:
+    """(id, dl, t0.., phrase of field 0, ..of field 1, ..): lengths, counts of terms and of all of them in a row.
+
+    Each text is cut into words once; the exchange lets the sums over all rows and the
+    scores read the same small rows.
+    """
+    split = docs.select(F.col(id).alias("id"), *(tokens(F.coalesce(f, F.lit(""))).alias(f"w{k}") for k, f in enumerate(fields)))
+    # two spaces between words, so that a phrase may follow on itself
+    row = lambda w: F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" "))
+    phrase = lambda w: F.size(F.split(row(w), f"\\Q {'  '.join(terms)} \\E", -1)) - 1 if len(terms) > 1 else F.lit(0)
+    near = split.select("id", *(x for k in range(len(fields)) for x in (F.size(f"w{k}").alias(f"dl{k}"), F.filter(f"w{k}", lambda w: w.isin(*terms)).alias(f"h{k}"), phrase(F.col(f"w{k}")).alias(f"ph{k}"))))
+    times = lambda k, t: F.size(F.filter(f"h{k}", lambda w: w == t))
+    return near.select("id", *(x for k in range(len(fields)) for x in (f"dl{k}", f"ph{k}", *(times(k, t).alias(f"t{k}_{i}") for i, t in enumerate(terms))))).repartition("id")
+
+
+def _scored(counted: DataFrame, fields: int, terms: int) -> DataFrame:
+    """(id, any, phrase): textbook BM25 summed over fields, of the terms and of their phrase."""
+    sums = counted.agg(F.count(F.lit(1)).alias("n"), *(x for k in range(fields) for x in (F.avg(f"dl{k}").alias(f"avg{k}"), *(F.count_if(F.col(f"t{k}_{i}") > 0).alias(f"d{k}_{i}") for i in range(terms)))))
+    idf = lambda k, i: F.log(1 + (F.col("n") - F.col(f"d{k}_{i}") + 0.5) / (F.col(f"d{k}_{i}") + 0.5))
+
+    def part(k: int, tf: str) -> Column:
+        return F.when(F.col(tf) > 0, F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(f"dl{k}") / F.col(f"avg{k}")))).otherwise(F.lit(0.0))
+
+    words = reduce(add, (idf(k, i) * part(k, f"t{k}_{i}") for k in range(fields) for i in range(terms)))
+    phrase = reduce(add, (reduce(add, (idf(k, i) for i in range(terms))) * part(k, f"ph{k}") for k in range(fields)))
+    # the sums are one row; a document without a term scores 0, which only shows here, behind the shared exchange
+    return counted.join(F.broadcast(sums)).select("id", words.alias("any"), phrase.alias("phrase")).where("any > 0")
+
+
 def bm25(docs: DataFrame, terms: list[str], id: str, text: str) -> DataFrame:
-    """Textbook BM25 of each document that has a term; only query terms leave the scan."""
-    split = docs.select(F.col(id).alias("id"), tokens(F.col(text)).alias("words"))
-    sized = split.select("id", F.size("words").alias("dl"), F.filter("words", lambda w: w.isin(*terms)).alias("hits"))
-    whole = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = sized.where(F.size("hits") > 0).select("id", "dl", F.explode("hits").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # both joined tables have a row for each query term at most
-    return tf.join(F.broadcast(df), "term").join(F.broadcast(whole)).groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
+    """Textbook BM25 of each document that has a term."""
+    return _scored(_counted(docs, id, [F.col(text)], terms), 1, len(terms)).select("id", F.round("any", 6).alias("score"))
+
+
+def text_search(messages: DataFrame, attachments: DataFrame, terms: list[str], phrase_weight: float = 1.5) -> DataFrame:
+    """(id, score) of messages with a term in any field of theirs or of their attachments.
+
+    A message's score is the best of its own and its attachments', each by its words or,
+    weighted, by the phrase they make, scaled to 0..1 over all that match.
+    """
+    best = F.greatest(F.col("any"), phrase_weight * F.col("phrase")).alias("score")
+    own = _scored(_counted(messages, "id", [F.col(f) for f in MESSAGE_FIELDS], terms), len(MESSAGE_FIELDS), len(terms)).select("id", best)
+    held = _scored(_counted(attachments, "id", [F.col(f) for f in ATTACHMENT_FIELDS], terms), len(ATTACHMENT_FIELDS), len(terms)).select("id", best)
+    held = attachments.select("id", "message_id").join(held, "id").select(F.col("message_id").alias("id"), "score")
+    found = own.union(held).groupBy("id").agg(F.max("score").alias("score"))
+    return min_max(found, "score", 1.0).withColumn("score", F.round("score", 6))
 
 
 def min_max(df: DataFrame, column: str, equal: float) -> DataFrame:

@@ -277,8 +277,10 @@ def spell_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     SELECT term, count(*) FILTER (WHERE caps) AS caps_df, count(*) FILTER (WHERE NOT caps) AS other_df FROM t GROUP BY term HAVING count(*) FILTER (WHERE caps) > 0"""
 )
 def caps_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    token = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("tok"))
-    seen = token.select("doc_id", F.col("tok").rlike("^[A-Z]{2,5}$").alias("caps"), F.lower("tok").alias("term")).distinct()
+    """A text's words are made distinct in its own row (ids are unique), so only counts move."""
+    own = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    marked = F.array_distinct(F.transform(own, lambda t: F.concat(F.when(t.rlike("^[A-Z]{2,5}$"), "1").otherwise("0"), F.lower(t))))
+    seen = table(spark, sf, "documents").select(F.explode(marked).alias("m")).select(F.col("m").startswith("1").alias("caps"), F.substring("m", F.lit(2), F.length("m")).alias("term"))
     return seen.groupBy("term").agg(F.count_if("caps").alias("caps_df"), F.count_if(~F.col("caps")).alias("other_df")).where("caps_df > 0")
 
 
