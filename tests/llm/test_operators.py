@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from threadloom.llm import bpe, ivfpq, jaccard_join, lang_id, lbl_lm, mixing, token_bin, token_count, vec_dedup, warc
+from threadloom.llm.shards import with_shard
 from threadloom.llm.shared import shared_dir
 from threadloom.llm.words import words
 
@@ -64,8 +65,8 @@ def test_token_counts(docs, spark):
     for r in token_count.token_counts(docs, PIECES).collect():
         assert r["n_tokens"] == len(library.encode(r["text"] or "", add_special_tokens=False).ids), r["text"]
     assert token_count.token_counts(docs.limit(0), PIECES).count() == 0
-    with pytest.raises(ValueError):
-        token_count.token_counts(docs.withColumn("n_tokens", F.lit(1)), PIECES)
+    clash = token_count.token_counts(docs.withColumn("N_tokens", F.lit(-1)), PIECES)
+    assert clash.columns == [*docs.columns, "n_tokens"] and clash.where("n_tokens < 0").count() == 0
 
 
 def test_language(spark, docs):
@@ -81,6 +82,35 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in lang_id.predict(table, nothing).collect()} == {"und"}
 
 
+def test_language_kernel_by_brute_force(spark):
+    """Scores of every row from a dense kernel over sets of byte n-grams, solved for the same landmarks and weights."""
+    rng = random.Random(6)
+    texts = [(k, " ".join("".join(rng.choice("abcdé" if k % 3 else "vwxyz") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 20))), "one" if k % 3 else "two") for k in range(60)]
+    texts += [(100 + k, f"{'qrs' * k} Ünseen {k} grams!", None) for k in range(5)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = lang_id.fit(docs)
+
+    def grams(text):
+        b = bytes(c if c >= 0x80 else c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in text.encode())
+        return {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    fitted = sorted((lang, zlib.crc32(f"language sample#{i}".encode()), grams(t)) for i, t, lang in texts if lang)
+    sets = [g for _, _, g in fitted]
+    marks = [k for x in ("one", "two") for k in [k for k, (lang, *_) in enumerate(fitted) if lang == x][: lang_id.LANDMARKS_PER_LANGUAGE]]
+    dense = lambda a, b: np.array([[len(x & y) / math.sqrt(len(x) * len(y)) for y in b] for x in a])
+    own = [sets[k] for k in marks]
+    lang = np.array([x == "two" for x, *_ in fitted], int)
+    weight = 1 / np.bincount(lang)[lang]
+    weight *= len(lang) / weight.sum()
+    nm, mm = dense(sets, own), dense(own, own)
+    y = np.where(lang[:, None] == np.arange(2), 1.0, -1.0)
+    w = np.linalg.solve(nm.T @ (weight[:, None] * nm) + lang_id.RIDGE * mm + 1e-6 * np.eye(len(own)), nm.T @ (weight[:, None] * y))
+    for r in lang_id.predict(docs, model).collect():
+        f = dense([grams(r["text"])], own)[0] @ w
+        assert math.isclose(r["score"], min(1, max(0, (f.max() + 1) / 2)), abs_tol=2e-3), r
+        assert r["lang_pred"] == ("one", "two")[f.argmax()] or abs(f[0] - f[1]) < 2e-3
+
+
 def test_bpe(docs):
     library = Tokenizer.from_file(BPE)
     for r in bpe.decode(bpe.encode(docs, BPE), BPE).collect():
@@ -99,6 +129,23 @@ def test_bpe_odd_texts():
     assert count.sum() == len(ids)
 
 
+def test_long_texts_without_spaces():
+    """Chinese, letters, digits and repeats without a space: equal to the libraries, and done in seconds."""
+    rng = random.Random(4)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    texts = ["".join(chr(rng.randint(0x4E00, 0x6FFF)) for _ in range(9_000)), letters, "ab" * 20_000, "a" * 20_001, f"x {letters[:3000]} y", "ß" * 5_000]
+    library, (encoder, memo) = Tokenizer.from_file(BPE), bpe._encoder(BPE)
+    pieces = token_count.unigram_pieces(PIECES)
+    low = min(s for _, s in pieces)
+    unigram = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces, *((f"<0x{i:02X}>", low) for i in range(256))], 0, True))
+    unigram.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    for own in (texts, *([t] for t in texts)):
+        ids, _ = bpe.encode_texts(memo, own, encoder.special, encoder.v.special)
+        assert ids.tolist() == [i for t in own for i in library.encode(t, add_special_tokens=False).ids]
+        counts = token_count.count_texts(token_count.Counter(pieces), {}, own)
+        assert counts.tolist() == [len(unigram.encode(t, add_special_tokens=False).ids) for t in own]
+
+
 def _brute_components(rows):
     sets = [(i, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := _words(t)) else frozenset()) for i, t, *_ in rows]
     root = list(range(len(sets)))
@@ -156,6 +203,53 @@ def test_signatures_find_every_similar_pair():
             assert pick(0, 1) & pick(1, 2) or pick(1, 1) & pick(0, 2)
 
 
+def test_jaccard_join_in_parts(spark):
+    """Boilerplate that half of every text shares, and near copies in it: groups in parts and clusters of many blocks lose no link."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for k in range(150):
+        own = [f"d{k}x{j}" for j in range(50 if k % 3 else 8)]
+        if k % 5 == 4:
+            own = [w if rng.random() > 0.02 else f"n{rng.randrange(10**6)}" for w in rows[-1][1].split()[60:]]
+        rows.append((k, " ".join(common + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _brute_components(rows)
+    for longest_run, block in ((1 << 20, 512), (7, 16), (1, 4)):
+        assert Counter(map(tuple, jaccard_join.link(docs, longest_run=longest_run, block=block).collect())) == want
+
+
+def test_groups_come_whole_or_marked():
+    rng = np.random.RandomState(3)
+    key = np.sort(rng.randint(0, 9, 200))
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 7]), pa.array(np.arange(200)[i : i + 7])], ["k", "v"]) for i in range(0, 200, 7)]
+    for most in (1, 5, 12, 1000):
+        seen, parts = [], set()
+        for (k, v), part in jaccard_join._groups(iter(batches), 2, most):
+            assert not part or len(set(k.tolist())) == 1
+            if not part:
+                assert not set(k.tolist()) & parts and all((k == x).sum() == (key == x).sum() for x in set(k.tolist()))
+            parts |= set(k.tolist()) if part else set()
+            seen += v.tolist()
+        assert seen == list(range(200))
+
+
+def test_probes_avoid_frequent_shingles():
+    """Texts that share half of their shingles with all others probe no group of that half alone."""
+    t, rng = jaccard_join.Threshold(80), np.random.RandomState(4)
+    draw = lambda: jaccard_join.mix(rng.randint(1, 1 << 62, 100).astype(np.uint64))
+    common = draw()
+    sets = [np.sort(np.concatenate([common, draw()])) for _ in range(50)]
+    h, at = np.concatenate(sets), np.arange(51) * 200
+    cost = np.zeros(jaccard_join.SLOTS, np.int64)
+    cost[jaccard_join._slots(common)] = 50
+    for given, most in ((None, 50), (cost, 1)):
+        sig, row, role = jaccard_join.signatures(h, at, t, 0, 0, given)
+        probed = np.unique(sig[role & 2 > 0])
+        shared = [len(np.unique(row[sig == s])) for s in probed]
+        assert (max(shared) > 10) == (most > 1)
+
+
 def test_warc(spark):
     rows = [(1, "http://a/", "<p>x</p>"), (2, None, "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://b c", None), (4, "u", ""), (None, "v", "<p>x</p>"), (5, "w", "é\r\n\r\nWARC/1.1"), (6, "w", "y" * 300_000)]
     folder = shared_dir(spark, "warc-test")
@@ -175,7 +269,8 @@ def test_warc(spark):
 def test_token_files(spark, docs):
     folder = shared_dir(spark, "tokens-test")
     own = docs.where("doc_id is not null")
-    token_bin.write(own, folder, BPE, shard_bytes=3000)
+    manifest = token_bin.write(own, folder, BPE, shard_bytes=3000, file_tokens=500)
+    assert manifest.where("sequence > 0").count() and manifest.where("shard > 0").count()
     library, start = Tokenizer.from_file(BPE), 0
     got = sorted(token_bin.read(spark, folder).collect(), key=lambda r: r["start"])
     for r, (i, text) in zip(got, sorted((r["doc_id"], r["text"] or "") for r in own.collect()), strict=True):
@@ -184,6 +279,28 @@ def test_token_files(spark, docs):
         start += len(ids)
 
 
+def test_shards_of_uneven_keys(spark):
+    """Outliers, one heavy key and null keys are cut too; shards ascend in the key and rows alike share one."""
+    rows = [(k, f"t{k}") for k in range(300)] + [(10**18, "far"), (-(10**18), "near")] + [(77, f"same{k}") for k in range(200)] + [(None, f"none{k}") for k in range(200)] + [(5, "twin")] * 40
+    table = spark.createDataFrame(rows, "id long, text string")
+    dealt, shard, n = with_shard(table, "id", F.lit(1), 10, F.shiftrightunsigned(F.xxhash64("text"), 32))
+    got = [(r["id"], r["text"], r[shard]) for r in dealt.collect()]
+    assert Counter((i, t) for i, t, _ in got) == Counter(rows) and {s for *_, s in got} == set(range(n)) and n > 60
+    size = Counter(s for i, t, s in got if t != "twin")
+    assert max(size.values()) <= 40
+    assert len({s for _, t, s in got if t == "twin"}) == 1
+    ends = {}
+    for i, _, s in got:
+        i = -(10**19) if i is None else i
+        low, high = ends.get(s, (i, i))
+        ends[s] = min(low, i), max(high, i)
+    order = [ends[s] for s in range(n)]
+    assert all(a[1] <= b[0] for a, b in zip(order, order[1:], strict=False))
+    again, shard, _ = with_shard(table.repartition(7), "id", F.lit(1), 10, F.shiftrightunsigned(F.xxhash64("text"), 32))
+    assert Counter(got) == Counter((r["id"], r["text"], r[shard]) for r in again.collect())
+    assert with_shard(table.limit(0), "id", F.lit(1), 10, F.lit(0))[2] == 1
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 11, 16, 17, 32])
 def test_packing(bits):
     ids = np.random.RandomState(bits).randint(0, 2**bits, 1001, dtype=np.int64)
@@ -230,6 +347,36 @@ def test_scoring(spark, docs):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_scores_are_sums_of_class_probabilities(spark, docs):
+    """The score of each text, token by token from the fitted model's own class probabilities and counts."""
+    own = docs.where("doc_id is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
+    train = F.col("doc_id") % 3 > 0
+    got = {r["doc_id"]: r["score"] for r in lbl_lm.score(own, train).collect()}
+    prepared = own.select(F.xxhash64("doc_id", "text").alias("key"), train.alias("train"), "text")
+    counted = {r["word"]: r["n"] for r in lbl_lm.counts(prepared).collect()}
+    v = lbl_lm.vocabulary(counted, {})
+    model = lbl_lm.fit(prepared, v)
+    of = {x: int(v.lookup(np.array([x]))[0][0]) for x in counted}
+    share = {c: sum(counted[x] for x in of if of[x] == c) + sum(of[x] == c for x in of) + 1 for c in {*of.values(), *range(lbl_lm.CLASSES, lbl_lm.CLASSES + lbl_lm.TAILS)}}
+    known = {}
+
+    def log_p(one, two):
+        if (one, two) not in known:
+            s = (model.first[one] + model.second[two]).astype(float) @ model.out.T.astype(float) + model.bias
+            known[one, two] = (s - s.max() - np.log(np.exp(s - s.max()).sum())) / math.log(10)
+        return known[one, two]
+
+    for r in own.where("length(text) < 3000 or text is null").collect():
+        keys = [int(k) for w in words(pa.array([r["text"]])) for k in lbl_lm.keys_of(w)[0]]
+        cls = [int(c) for c in v.lookup(np.array(keys))[0]]
+        total = 0.0
+        for i, (k, c) in enumerate(zip(keys, cls, strict=True)):
+            total += log_p(cls[i - 1] if i else model.k, cls[i - 2] if i > 1 else model.k)[c]
+            if c >= lbl_lm.CLASSES:
+                total += math.log10((counted.get(k, 0) + 1) / share[c])
+        assert math.isclose(got[r["doc_id"]], total, rel_tol=1e-3, abs_tol=1e-3), r["doc_id"]
+
+
 def test_heads_are_counted_over_all_documents(spark):
     """Words common in one long document alone are heads as in a count of the whole table."""
     long = [(k, " ".join([f"rare{k}"] * 50), k % 5 != 0) for k in range(60)]
