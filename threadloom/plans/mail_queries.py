@@ -105,7 +105,7 @@ def owner_email(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT thread_id, max(date) AS date_last FROM messages WHERE from_addr LIKE '%src3%' AND subject ILIKE '%the%' AND date >= '2024-01-05' AND date <= '2024-01-25T23:59:59+00:00'
+    """SELECT thread_id, max(date) AS date_last FROM messages WHERE from_addr LIKE '%src%' AND subject ILIKE '%en%' AND date >= '2024-01-01' AND date <= '2024-01-25T23:59:59+00:00'
     AND id IN (SELECT message_id FROM attachments) GROUP BY thread_id ORDER BY date_last DESC, thread_id LIMIT 100""",
     "messages",
     "attachments",
@@ -113,7 +113,7 @@ def owner_email(spark: SparkSession, sf: str) -> DataFrame:
 def metadata_query(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, "messages")
     a = table(spark, sf, "attachments").select(F.col("message_id").alias("id"))
-    own = m.where(m.from_addr.contains("src3") & m.subject.ilike("%the%") & (m.date >= "2024-01-05") & (m.date <= "2024-01-25T23:59:59+00:00"))
+    own = m.where(m.from_addr.contains("src") & m.subject.ilike("%en%") & (m.date >= "2024-01-01") & (m.date <= "2024-01-25T23:59:59+00:00"))
     return own.join(a, "id", "left_semi").groupBy("thread_id").agg(F.max("date").alias("date_last")).orderBy(F.desc("date_last"), "thread_id").limit(100)
 
 

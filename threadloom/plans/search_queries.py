@@ -71,11 +71,10 @@ def contacts_in_senders(spark: SparkSession, sf: str) -> DataFrame:
 _BULK = " OR ".join(_HAS(x) for x in ("CATEGORY_PROMOTIONS", "CATEGORY_UPDATES", "CATEGORY_SOCIAL", "CATEGORY_FORUMS"))
 
 
-@_R.query(f"SELECT from_addr || right(to_addr, 16) AS thread_id, count(*) AS n FROM messages GROUP BY 1 HAVING bool_and({_BULK})", "messages")
+@_R.query(f"SELECT id AS thread_id, count(*) AS n FROM messages GROUP BY 1 HAVING bool_and({_BULK})", "messages")
 def bulk_threads(spark: SparkSession, sf: str) -> DataFrame:
-    """Mail between two people counts as a thread here, so that some threads are all bulk."""
-    m = table(spark, sf, "messages")
-    return filters.bulk_threads(m.withColumn("thread_id", F.concat("from_addr", F.substring("to_addr", -16, 16))))
+    """Each message is its own thread here, so that some threads are all bulk."""
+    return filters.bulk_threads(table(spark, sf, "messages").withColumn("thread_id", F.col("id")))
 
 
 @_R.worked(

@@ -12,7 +12,7 @@ STATEMENTS: dict[str, tuple[str, str, str | None]] = {
     "join_left": ("customer orders", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", None),
     "join_full": ("customer supplier", "SELECT coalesce(c_nationkey, s_nationkey) AS k, count(c_custkey) AS c, count(s_suppkey) AS s FROM (SELECT * FROM customer WHERE c_nationkey < 15) c FULL JOIN (SELECT * FROM supplier WHERE s_nationkey > 5) s ON c_nationkey = s_nationkey GROUP BY 1", None),
     "join_semi": ("customer orders", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", None),
-    "join_anti": ("customer orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", None),
+    "join_anti": ("customer orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')", None),
     "join_theta": ("nation region", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey < r_regionkey", None),
     "agg_having": ("lineitem", "SELECT l_suppkey, count(*) AS n, round(avg(l_quantity), 6) AS avg_qty FROM lineitem GROUP BY l_suppkey HAVING count(*) > 50", None),
     "agg_distinct": ("lineitem", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps FROM lineitem GROUP BY l_returnflag", None),

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators import rollups
+from threadloom.operators import models, rollups
 from threadloom.plans.registry import Registry
 from threadloom.sources.mail import table
 from threadloom.streaming import upkeep
@@ -122,6 +122,38 @@ def json_lines_tailed(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("conv_id long, turn long, text string").parquet(f"{home}/out")
 
 
+@_R.query(
+    """SELECT id, date FROM messages m LEFT JOIN (SELECT lpad(cast(doc_id AS varchar(20)), 8, '0') AS id, doc_id % 8 AS attempts, TIMESTAMP '2024-01-29 12:00:00' + to_hours(cast(doc_id % 12 AS int)) AS last FROM documents WHERE doc_id % 3 = 0) f USING (id)
+    WHERE list_contains(string_split(labels_csv, ','), 'INBOX') AND id NOT IN (SELECT message_id FROM attachments) AND (f.attempts IS NULL OR (f.attempts < 6 AND (f.attempts = 0 OR epoch(TIMESTAMP '2024-01-30') - epoch(f.last) >= 2 ** f.attempts * 3600)))""",
+    "messages", "attachments",
+)
+def summarize_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """Inbox mail without a summary, newest first, those that failed only after their pause and at most six times."""
+    m = table(spark, sf, "messages").where(F.array_contains("labels", "INBOX"))
+    done = table(spark, sf, "attachments").select(F.col("message_id").alias("id"))
+    d = F.col("doc_id")
+    failed = table(spark, sf, "documents").where(d % 3 == 0).select(F.lpad(d.cast("string"), 8, "0").alias("id"), (d % 8).alias("attempts"), F.expr("TIMESTAMP_NTZ '2024-01-29 12:00:00' + make_dt_interval(0, doc_id % 12)").alias("last"))
+    pending = m.join(done, "id", "left_anti").join(failed, "id", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+    due = rollups.backoff_due(pending, "attempts", "last", F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00'"), 6, less=0)
+    return due.select("id", "date").orderBy(F.desc("date"), "id")
+
+
+@_R.query("SELECT item_id, true AS fine FROM benchmark")
+def embedded_by_function(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts through an injected embedder that fails on some items of a batch: those alone have errors."""
+    plain = models.hash_embedder(8)
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        if any("hand" in t for t in texts):
+            raise ValueError("refused")
+        return plain(texts)
+
+    b = table(spark, sf, "benchmark").select("item_id", "text")
+    got = models.called(b, "text", embed, "vector", "array<double>", batch=5)
+    bad = F.col("text").contains("hand")
+    return got.select("item_id", F.when(bad, F.col("vector").isNull() & (F.col("error") == "refused")).otherwise(F.col("error").isNull() & (F.size("vector") == 8)).alias("fine"))
+
+
 @_R.worked("lines_carried", [(1, 0, "a\nb"), (1, 1, "c\nd"), (2, 0, "x"), (2, 1, "\n")], "file long, seq long, piece string", [(1, 0, "a"), (1, 1, "bc"), (2, 0, "x")], "file, nth, line")
 def _carried(df: DataFrame) -> DataFrame:
     return upkeep.whole_lines(df, "file", "seq", "piece").withColumn("nth", F.col("nth").cast("long"))
