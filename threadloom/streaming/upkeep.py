@@ -1,8 +1,8 @@
 """Tables kept up with a stream of changes: each batch recomputes what it touches and writes only what differs.
 
-A maintained table is a folder of versions; a pointer file names the current one and is
-rewritten last, so readers never see half a version and a batch that runs again
-changes nothing.
+A maintained table is a folder of versions; the largest number among its pointers, which
+are added last, is the current one.  So readers never see half a version, and a batch that
+runs again changes nothing.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ class Versions:
         return None if row is None else (row[0], self.spark.read.parquet(f"{self.folder}/v{row[0]}"))
 
     def publish(self, table: DataFrame, version: int, *partitions: str) -> None:
-        """Write a version, then point to it.  A version written again is the same one."""
+        """Write a version, then add a pointer to it.  A version written again is the same one."""
         table.write.mode("overwrite").partitionBy(*partitions).parquet(f"{self.folder}/v{version}")
-        self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").json(f"{self.folder}/pointer")
+        self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{self.folder}/pointer")
 
     def superseded(self, versions: list[int], keep: int = 1) -> list[int]:
         """Of the versions there are, those that a clean-up may remove: older than the newest ``keep`` before the current one."""
