@@ -14,7 +14,7 @@ from threadloom.functions import chunking, cleaning
 from threadloom.operators import facts, filters, gate, search, topics
 from threadloom.plans import corpus_queries, text_queries, upkeep_queries
 from threadloom.sources import files
-from threadloom.streaming import upkeep
+from threadloom.streaming import upkeep, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -172,6 +172,15 @@ def test_reindex_triggers_count_everything(spark):
     assert all(r["n"] == counts[k] and r["reason"] == "count" for k, r in got.items())
 
 
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    """A second run over a folder with one more file handles that file alone."""
+    at, source = str(tmp_path / "state"), str(tmp_path / "in")
+    for k in (1, 2):
+        spark.range(10 * k, 10 * k + 5).write.mode("append").parquet(source)
+        got = windows.drained(spark.readStream.schema("id long").parquet(source), at)
+        assert sorted(r["id"] for r in got.collect()) == [x for j in range(1, k + 1) for x in range(10 * j, 10 * j + 5)]
+
+
 def test_versions(spark, tmp_path):
     v = upkeep.Versions(spark, str(tmp_path / "t"))
     assert v.current() is None

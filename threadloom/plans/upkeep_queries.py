@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,22 +9,12 @@ from threadloom.operators import models, rollups
 from threadloom.plans.registry import Registry
 from threadloom.sources.mail import table
 from threadloom.streaming import upkeep
+from threadloom.streaming.folders import new_folder
 
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.oracle
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder on storage that all machines share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            root = spark.conf.get("spark.sql.warehouse.dir")
-        else:
-            return tempfile.mkdtemp(prefix=f"spark-threadloom-{name}-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @_R.query("SELECT o_orderkey, o_custkey % 3 AS tenant, o_totalprice * CASE WHEN o_custkey % 3 = 1 THEN 2 ELSE 1 END AS price FROM orders WHERE o_custkey % 3 <> 1 OR o_orderstatus = 'F'")
 def replace_for_tenant(spark: SparkSession, sf: str) -> DataFrame:
     old = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 3).alias("tenant"), F.col("o_totalprice").alias("price"), "o_orderstatus")
@@ -92,7 +79,7 @@ def index_delta(spark: SparkSession, sf: str) -> DataFrame:
 @_R.query("SELECT user_id, thread_id, count(*) AS message_count, max(date) AS date_last FROM messages GROUP BY user_id, thread_id", "messages")
 def summaries_reconciled(spark: SparkSession, sf: str) -> DataFrame:
     """Thread summaries kept up by a stream of messages in small batches, stopped and resumed, with the base table growing under it."""
-    home = _folder(spark, "reconcile")
+    home = new_folder(spark, "reconcile")
     own = table(spark, sf, "messages").drop("labels")
     versions = upkeep.Versions(spark, f"{home}/summaries")
     for part in (0, 1):
@@ -105,7 +92,7 @@ def summaries_reconciled(spark: SparkSession, sf: str) -> DataFrame:
 @_R.query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def counts_in_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Counts that batches of a stream leave as runs, added up."""
-    home = _folder(spark, "runs")
+    home = new_folder(spark, "runs")
     e = table(spark, sf, "events")
     stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     upkeep.added_counts(stream, "event_type", f"{home}/runs", f"{home}/checkpoint")
@@ -115,7 +102,7 @@ def counts_in_runs(spark: SparkSession, sf: str) -> DataFrame:
 @_R.query("SELECT conv_id, turn, text FROM conversations WHERE turn < 2")
 def json_lines_tailed(spark: SparkSession, sf: str) -> DataFrame:
     """Events written as JSON lines, read as a stream."""
-    home = _folder(spark, "lines")
+    home = new_folder(spark, "lines")
     table(spark, sf, "conversations").where("turn < 2").select("conv_id", "turn", "text").write.json(f"{home}/in")
     lines = upkeep.json_lines(spark, f"{home}/in", "conv_id long, turn long, text string")
     lines.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -162,7 +149,7 @@ def _carried(df: DataFrame) -> DataFrame:
 @_R.query()
 def reindex_triggered(spark: SparkSession, sf: str) -> DataFrame:
     """Types of events with enough new rows to rebuild an index, as a stream says; a test holds it against counts."""
-    home = _folder(spark, "trigger")
+    home = new_folder(spark, "trigger")
     e = table(spark, sf, "events")
     stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     fired = upkeep.reindex_triggers(stream, "event_type", 150, 600_000)

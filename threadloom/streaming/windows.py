@@ -6,12 +6,11 @@ the sink and its checkpoint lie in the shared folder, so a restart goes on where
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.streaming.folders import new_folder
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -19,10 +18,10 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(df: DataFrame) -> DataFrame:
+def drained(df: DataFrame, at: str | None = None) -> DataFrame:
+    """What the sink under ``at`` (a new folder by default) holds after all there is; the same folder again goes on where it stopped."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-threadloom-")
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = at or new_folder(spark, "stream")
     df.writeStream.outputMode("append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{at}/out").awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{at}/out")
 
