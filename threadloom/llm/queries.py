@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, ivfpq, jaccard_join, lang_id, lbl_lm, mixing, token_bin, token_count, vec_dedup, warc
+from threadloom.llm import bpe, ivfpq, jaccard_join, lang_id, lbl_lm, merkle, mixing, oracles, token_bin, token_count, vec_dedup, warc
 from threadloom.llm.shared import cut, shared_dir
 
 
@@ -74,7 +74,13 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    proved = merkle.manifest(docs, {"n_chars": F.col("n_chars") + 1}, F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+    return proved.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_jaccard_join, op5_warc, op6_token_bin, op7_mixing, op8_lm_scoring, op9_vector_dedup, op10_nearest)
+    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_jaccard_join, op5_warc, op6_token_bin, op7_mixing, op8_lm_scoring, op9_vector_dedup, op10_nearest, op13_merkle)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_merkle": oracles.MERKLE}
