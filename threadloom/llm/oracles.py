@@ -40,3 +40,22 @@ climb AS (
 SELECT doc_id, leaf, subroot, u.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = u.h AS verified
 FROM leaves JOIN subroots USING (tree) JOIN climb c USING (rid) JOIN upper u ON u.n = 1 WHERE c.n = 1
 """
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL = f"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+totals AS (SELECT count(*) AS docs, sum(len(terms)) AS words FROM texts WHERE len(terms) > 0),
+tfs AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(terms) AS term FROM texts) GROUP BY rid, term),
+asked AS (SELECT row_number() OVER () AS qid, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+query_terms AS (SELECT DISTINCT qid, unnest({_TERMS}) AS term FROM asked WHERE text IS NOT NULL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), totals),
+lengths AS (SELECT rid, doc_id, 50 + (50 * len(terms) * docs) // words AS m FROM texts, totals),
+scored AS (
+  SELECT qid, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM query_terms JOIN tfs USING (term) JOIN weights USING (term) JOIN lengths USING (rid) GROUP BY qid, rid)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score
+  FROM scored JOIN asked USING (qid) JOIN lengths USING (rid) WHERE score > 0)
+WHERE rank <= 50
+"""
