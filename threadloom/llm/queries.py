@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, ivfpq, jaccard_join, lang_id, lbl_lm, lexical, merkle, mixing, oracles, token_bin, token_count, vec_dedup, warc
+from threadloom.llm import bpe, html_main, ivfpq, jaccard_join, lang_id, lbl_lm, lexical, merkle, mixing, oracles, token_bin, token_count, vec_dedup, warc
 from threadloom.llm.shared import cut, shared_dir
 
 
@@ -74,6 +74,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_main.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical.build(_table(spark, sf_dir, "documents"))
     return lexical.search(index, _table(spark, sf_dir, "benchmark"), k=50)
@@ -86,6 +91,6 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_jaccard_join, op5_warc, op6_token_bin, op7_mixing, op8_lm_scoring, op9_vector_dedup, op10_nearest, op12_lexical, op13_merkle)
+    f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_jaccard_join, op5_warc, op6_token_bin, op7_mixing, op8_lm_scoring, op9_vector_dedup, op10_nearest, op11_html_text, op12_lexical, op13_merkle)
 }
 ORACLE_SQL: dict[str, str] = {"op12_lexical": oracles.LEXICAL, "op13_merkle": oracles.MERKLE}
