@@ -1,14 +1,11 @@
-"""Scalar text and URL functions as Column expressions."""
+"""Scalar text functions as Column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: parameters that only track, as exact names and as prefixes
-TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "igshid", "ref", "ref_src")
-TRACKING_PREFIXES = ("utm_", "hsa_", "pk_", "mtm_", "vero_", "oly_", "_hs")
-
+from threadloom.functions.cleaning import VALUE
 
 def estimated_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
@@ -23,51 +20,6 @@ def clipped(text: Column, most: int = 8000) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("... [clipped]"))).otherwise(text)
 
 
-def without_quotes(text: Column, least: int = 50) -> Column:
-    """Lines before a reply header, without quoted ones; the whole text if hardly anything is left."""
-    lines = F.split(text, "\n")
-    stop = F.array_position(F.transform(lines, lambda x: F.trim(x).rlike(r"^On .* wrote:$") | F.trim(x).startswith("---Original Message---")), True)
-    kept = F.filter(F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines), lambda x: ~F.trim(x).startswith(">"))
-    out = F.trim(F.array_join(kept, "\n"))
-    return F.when(F.length(out) > least, out).otherwise(text)
-
-
-def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^https?://([^/:?#]+)", 1))
-
-
-def without_tracking(url: Column) -> Column:
-    """The URL without tracking parameters, the others in order, without a fragment."""
-    bare = F.split_part(url, F.lit("#"), F.lit(1))
-    path, query = F.split_part(bare, F.lit("?"), F.lit(1)), F.split_part(bare, F.lit("?"), F.lit(2))
-
-    def keeps(p: Column) -> Column:
-        name = F.lower(F.split_part(p, F.lit("="), F.lit(1)))
-        bad = name.isin(*TRACKING) | (name == "")
-        for x in TRACKING_PREFIXES:
-            bad = bad | name.startswith(x)
-        return ~bad
-
-    left = F.array_join(F.filter(F.split(query, "&"), keeps), "&")
-    return F.when(left == "", path).otherwise(F.concat(path, F.lit("?"), left))
-
-
-def denied(url: Column, domains: tuple[str, ...], endings: tuple[str, ...]) -> Column:
-    """Whether the host is one of the domains or below one, or the path ends in a denied way."""
-    out = F.lit(False)
-    for d in domains:
-        out = out | (host(url) == d) | host(url).endswith(f".{d}")
-    for e in endings:
-        out = out | F.lower(F.regexp_extract(url, r"^[^?#]*", 0)).endswith(e)
-    return out
-
-
 def value_tokens(text: Column) -> Column:
     """The distinct words that hold a digit, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: w.rlike("[0-9]"))))
-
-
-def first_links(text: Column, most: int = 2) -> Column:
-    """The first distinct links of a text, without prose punctuation at their ends."""
-    links = F.regexp_extract_all(text, F.lit(r"https?://[^\s\"<>]+"), F.lit(0))
-    return F.slice(F.array_distinct(F.transform(links, lambda u: F.regexp_replace(u, r"[.,;:!?)]+$", ""))), 1, most)
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(VALUE), F.lit(0))))

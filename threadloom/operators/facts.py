@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.functions.cleaning import STOP_WORDS, query_terms, singular
+from threadloom.functions.cleaning import STOP_WORDS, VALUE, query_terms, singular
 from threadloom.operators.search import bm25, dot
 
 FLOOR, CAP, RRF_K, OWNER_BOOST, COLLAPSE, MAX_LOAD = 0.5, 500, 60, 0.02, 0.97, 8000
@@ -56,10 +57,8 @@ def find_facts(facts: DataFrame, query: str, vector: list[float], floor: float =
 
 def _content(text: str) -> tuple[frozenset[str], frozenset[str]]:
     """(telling words, words that hold a digit)."""
-    import re
-
     words = re.findall(r"[a-z0-9]+", text.lower())
-    return frozenset(w for w in words if len(w) >= 3 and w not in STOP_WORDS), frozenset(re.findall(r"[a-z]*\d[a-z0-9]*", text.lower()))
+    return frozenset(w for w in words if len(w) >= 3 and w not in STOP_WORDS), frozenset(re.findall(VALUE, text.lower()))
 
 
 def collapse_near_duplicates(found: DataFrame, threshold: float = COLLAPSE) -> DataFrame:

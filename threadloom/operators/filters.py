@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# fixed values: types of calendar entries, senders and phrases of invitations
+CALENDAR_TYPES = ("text/calendar", "application/ics")
+INVITING_ADDRESS = "calendar-notification@google.com"
+INVITING_DOMAINS = ("evite.com", "paperlesspost.com", "punchbowl.com", "partiful.com", "eventbrite.com", "splashthat.com", "anyvite.com", "greenvelope.com", "withjoy.com", "rsvpify.com")
+INVITING = (
+    "rsvp", "you're invited", "you are invited", "youre invited", "respond by", "please respond", "regrets only", "are you attending", "will you attend", "accept or decline", "accept this invitation",
+    "decline this invitation", "confirm your attendance", "let us know if you can make it", "let us know if you can attend",
+)
+
 
 def candidates(
     messages: DataFrame, attachments: DataFrame, user: str | None = None, sender: str | None = None, to: str | None = None, subject: str | None = None, after: str | None = None, before: str | None = None,
@@ -69,10 +78,19 @@ def bulk_threads(messages: DataFrame) -> DataFrame:
     return messages.groupBy("thread_id").agg(F.bool_and(looks_bulk(F.col("labels"))).alias("bulk"), F.count(F.lit(1)).alias("n")).where("bulk").select("thread_id", "n")
 
 
-def invitations(messages: DataFrame, domains: tuple[str, ...]) -> DataFrame:
-    """Messages that may be invitations: a calendar word in the subject, or a sender at or below one of the domains."""
-    domain = F.lower(F.regexp_extract("from_addr", r"@([^>\s]+)", 1))
-    known = F.lit(False)
-    for d in domains:
-        known = known | (domain == d) | domain.endswith(f".{d}")
-    return messages.where(F.lower("subject").rlike(r"\b(invitation|invited|rsvp|calendar)\b") | known)
+def invitations(messages: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Messages that may be invitations: an attached calendar entry, a sender at or below an inviting domain, or an inviting phrase in subject or body."""
+    kind, name = F.lower(F.coalesce("mime_type", F.lit(""))), F.lower(F.coalesce("filename", F.lit("")))
+    entry = name.endswith(".ics")
+    for start in CALENDAR_TYPES:
+        entry = entry | kind.startswith(start)
+    invited = attachments.where(entry).select(F.col("message_id").alias("id"), F.lit(True).alias("__entry")).distinct()
+    sender = F.lower(F.coalesce("from_addr", F.lit("")))
+    domain = F.regexp_extract(sender, r"[\w.+-]+@([\w.-]+)", 1)
+    shaped = F.coalesce("__entry", F.lit(False)) | sender.contains(INVITING_ADDRESS)
+    for d in INVITING_DOMAINS:
+        shaped = shaped | (domain == d) | domain.endswith(f".{d}")
+    said = F.lower(F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), F.coalesce("body_text", F.lit(""))))
+    for phrase in INVITING:
+        shaped = shaped | said.contains(phrase)
+    return messages.join(invited, "id", "left").where(shaped).select(messages.columns)

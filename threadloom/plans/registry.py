@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.sources.mail import with_views
+from threadloom.sources.mail import given, with_views
 
 
 class Registry:
@@ -27,24 +27,15 @@ class Registry:
 
         return add
 
-    def worked(self, name: str, given: list[tuple], columns: str, wanted: list[tuple], names: str):
-        """Register a function of a small table of given rows whose results are written out, as worked by hand."""
+    def over(self, given_sql: str, sql: str, *views: str):
+        """Register a function of one table, ``given_sql`` over base tables and ``views``; ``sql`` reads that table as ``g``.
 
-        def add(f):
-            def run(spark: SparkSession, sf: str) -> DataFrame:
-                return f(spark.createDataFrame(given, columns))
+        Both engines make ``g`` by the same text; what is compared is what becomes of it.
+        """
 
-            self.queries[name] = run
-            rows = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in wanted)
-            self.oracle[name] = f"SELECT * FROM (VALUES {rows}) t({names})"
+        def add(f):
+            self.queries[f.__name__] = lambda spark, sf: f(given(spark, sf, given_sql, *views))
+            self.oracle[f.__name__] = with_views(f", g AS ({given_sql}) {sql}", *views) if views else f"WITH g AS ({given_sql}) {sql}"
             return f
 
         return add
-
-
-def _literal(v: object) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v).lower()
-    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::BIGINT" if isinstance(v, int) else f"{v}::DOUBLE"

@@ -77,15 +77,6 @@ def bulk_threads(spark: SparkSession, sf: str) -> DataFrame:
     return filters.bulk_threads(table(spark, sf, "messages").withColumn("thread_id", F.col("id")))
 
 
-@_R.worked(
-    "invitations",
-    [(1, "A <a@calendar.example.com>", "x"), (2, "B <b@other.com>", "Invitation: lunch"), (3, "C <c@notexample.com>", "re"), (4, "D <d@example.com>", "y")],
-    "id long, from_addr string, subject string", [(1,), (2,), (4,)], "id",
-)
-def _invitations(df: DataFrame) -> DataFrame:
-    return filters.invitations(df, ("example.com",)).select("id")
-
-
 _W = "list_filter(regexp_split_to_array(lower({f}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')"
 
 
@@ -124,64 +115,25 @@ def text_search(spark: SparkSession, sf: str) -> DataFrame:
 QUESTION = "what are the tion and eron blees"
 
 
-def _fact_sql() -> str:
+def fact_scores(floor: float = 0.1) -> str:
+    """SQL for the facts a search finds, as a query with views of its own before it."""
     terms = facts.fact_terms(QUESTION)
     counts = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{k}" for k, t in enumerate(terms))
     sums = ", ".join(f"count(*) FILTER (WHERE t{k} > 0) OVER () AS d{k}" for k in range(len(terms)))
     score = " + ".join(f"ln(1 + (n - d{k} + 0.5) / (d{k} + 0.5)) * t{k} * 2.2 / (t{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(terms)))
     length = f"(sqrt(list_sum(list_transform([{','.join(map(str, QUERY_VECTOR))}]::DOUBLE[], lambda x: x * x))) + 1e-8)"
     own = "(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) + 1e-8)"
-    return f""", sem AS (SELECT *, row_number() OVER (ORDER BY cosine DESC, id) AS sem FROM (SELECT *, round({_DOT.format(v='embedding')} / {own} / {length}, 6) AS cosine FROM propositions)),
+    return f"""WITH sem AS (SELECT *, row_number() OVER (ORDER BY cosine DESC, id) AS sem FROM (SELECT *, round({_DOT.format(v='embedding')} / {own} / {length}, 6) AS cosine FROM propositions)),
     bm AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS word FROM (SELECT id, round({score}, 6) AS s FROM (SELECT *, count(*) OVER () AS n, avg(dl) OVER () AS avgdl, {sums} FROM
       (SELECT id, len(w) AS dl, {counts} FROM (SELECT id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM propositions)))) WHERE s > 0),
     f AS (SELECT sem.id, text, cosine, word IS NOT NULL AS bm25, contains(lower(text), 'hands') AS owner, round(1 / (60 + sem) + coalesce(1 / (60 + word), 0) + CASE WHEN contains(lower(text), 'hands') THEN 0.02 ELSE 0 END, 9)::DOUBLE AS rrf
-      FROM sem LEFT JOIN bm USING (id) WHERE cosine >= 0.1 OR word IS NOT NULL)
+      FROM sem LEFT JOIN bm USING (id) WHERE cosine >= {floor} OR word IS NOT NULL)
     SELECT id, cosine, bm25, owner, rrf FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY rrf DESC, id) AS nth FROM f) WHERE nth = 1 ORDER BY rrf DESC, id LIMIT 500"""
 
 
-@_R.query(_fact_sql(), "messages", "propositions")
+@_R.query(", " + fact_scores().removeprefix("WITH "), "messages", "propositions")
 def facts_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     found = facts.find_facts(table(spark, sf, "propositions"), QUESTION, QUERY_VECTOR, floor=0.1, owner=("hands",))
     return found.select("id", "cosine", "bm25", "owner", "rrf")
 
 
-_FACTS = [
-    (1, "Sam owns a car with plate 7ABC123", [1.0, 0.0, 0.0, 0.0]), (2, "Sam's car has plate 7ABC123", [1.0, 0.0, 0.0, 0.0]), (3, "The car of Sam bears plate 7ABC123", [1.0, 0.0, 0.0, 0.0]),
-    (4, "Sam's car was bought in 2022", [0.9, 0.4, 0.0, 0.0]), (5, "Sam's car was bought in 2024", [0.9, 0.4, 0.0, 0.0]), (6, "Weather is fine", [0.0, 0.0, 1.0, 0.0]),
-]
-
-
-@_R.worked("facts_collapsed", _FACTS, "id long, text string, embedding array<double>", [(1, 2), (4, 0), (5, 0)], "id, dup_count")
-def _collapsed(df: DataFrame) -> DataFrame:
-    found = facts.find_facts(df, "cars plates", [1.0, 0.0, 0.0, 0.0])
-    return facts.collapse_near_duplicates(found).select("id", "dup_count")
-
-
-@_R.worked(
-    "guest_sql",
-    [(1, "SELECT count(*) AS n FROM m"), (2, "DELETE FROM m"), (3, "SELECT 1; SELECT 2"), (4, "SELECT 'DROP' AS x FROM m LIMIT 1"), (5, "IN/* */SERT INTO m"), (6, "SELECT * FROM m LIMIT -1"), (7, "SELECT * FROM m"), (8, "SELECT broken FROM m"), (9, "SELECT id FROM m WHERE subject LIKE '%x%'"), (10, "")],
-    "nth long, sql string",
-    [(1, 1, False, False), (2, 0, False, True), (3, 0, False, True), (4, 1, False, False), (5, 0, False, True), (6, 0, False, True), (7, 500, True, False), (8, 0, False, True), (9, 0, False, True), (10, 0, False, True)],
-    "nth, rows, truncated, failed",
-)
-def _guest(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    rows = df.orderBy("nth").collect()
-    mine = spark.range(2000).select("id", F.lit("a").alias("user_id"), F.lit("s").alias("subject"))
-    got = gate.answers(spark, [r["sql"] for r in rows], {"m": mine}, user="a")
-    return spark.createDataFrame([(r["nth"], len(a.rows), a.truncated, a.error is not None) for r, a in zip(rows, got, strict=True)], "nth long, rows long, truncated boolean, failed boolean")
-
-
-@_R.worked(
-    "query_words",
-    [("what cars do I own",), ("7ABC123",), ("plates and batteries",), ("boxes glasses address",)],
-    "q string",
-    [("what cars do I own", "cars", "car", 0.0), ("7ABC123", "7abc123", "", 0.0), ("plates and batteries", "plates batteries", "plate battery", 0.0), ("boxes glasses address", "boxes glasses address", "box glass", 0.0)],
-    "q, terms, singulars, boost",
-)
-def _words(df: DataFrame) -> DataFrame:
-    out = []
-    for r in df.collect():
-        terms = cleaning.query_terms(r["q"])
-        out.append((r["q"], " ".join(terms), " ".join(s for t in terms if (s := cleaning.singular(t))), cleaning.temporal_boost(r["q"])))
-    return df.sparkSession.createDataFrame(out, "q string, terms string, singulars string, boost double")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.functions import text as tx
+from threadloom.functions import cleaning
 from threadloom.operators import joins, merges, rollups, search
 from threadloom.plans.mail_queries import _BM25, _DOT, _HAS, AS_OF, QUERY_VECTOR, TERMS, USER
 from threadloom.sources.mail import table, with_views
@@ -133,18 +133,17 @@ def bm25_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where(F.concat(F.lit(" "), words, F.lit(" ")).contains(" of the ")).select("doc_id")
 
 
-@query(
-    """SELECT page_id, array_to_string(list_filter(links, (x, i) -> list_position(links, x) = i)[1:2], ' ') AS links
-    FROM (SELECT page_id, list_transform(regexp_extract_all(html, 'https?://[^\\s"<>]+'), lambda u: regexp_replace(u, '[.,;:!?)]+$', '')) AS links FROM pages)""".replace("(x, i) -> list_position(links, x) = i", "lambda x, i: list_position(links, x) = i")
-)
-def primary_links(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", F.array_join(tx.first_links(F.col("html")), " ").alias("links"))
+@query("SELECT doc_id, md5(CASE WHEN length(trim(text, ' ' || chr(10))) > 50 THEN trim(text, ' ' || chr(10)) ELSE text || chr(10) || '> quoted' || chr(10) || 'On Monday, 5 January x wrote:' || chr(10) || 'older' END) AS body FROM documents")
+def quoted_reply_strip(spark: SparkSession, sf: str) -> DataFrame:
+    mail = F.concat(F.col("text"), F.lit("\n> quoted\nOn Monday, 5 January x wrote:\nolder"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(cleaning.before_replies(mail)).alias("body"))
 
 
-@query("SELECT doc_id, md5(CASE WHEN length(trim(text)) > 50 THEN trim(text) ELSE text || chr(10) || '> quoted' || chr(10) || 'On Monday x wrote:' || chr(10) || 'older' END) AS body FROM documents")
-def quoted_reply_strip(spark: SparkSession, sf: str) -> DataFrame:
-    mail = F.concat(F.col("text"), F.lit("\n> quoted\nOn Monday x wrote:\nolder"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(tx.without_quotes(mail)).alias("body"))
+@query("SELECT page_id, url || ' https://second.example/' || page_id AS links FROM pages WHERE NOT contains(url, 'track.') UNION ALL SELECT page_id, 'https://second.example/' || page_id || ' https://third.example' FROM pages WHERE contains(url, 'track.')")
+def primary_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The first two telling links of a text with the page's own link twice, a noisy one and two more."""
+    text = F.concat(F.col("url"), F.lit(" http://x.example/pixel.gif?a "), F.col("url"), F.lit(", https://second.example/"), F.col("page_id"), F.lit(". https://third.example"))
+    return table(spark, sf, "pages").select("page_id", F.array_join(cleaning.primary_links(text), " ").alias("links"))
 
 
 _RANKED = f"""ranked AS (SELECT m.id, m.from_addr, m.subject, round({_DOT.format(v='e.embedding')}, 6) AS score, count(*) OVER (PARTITION BY m.thread_id) AS size

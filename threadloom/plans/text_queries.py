@@ -1,89 +1,18 @@
-"""Queries for links, cleaning, prompts, replies, chunks and message parsing."""
+"""Queries for prompts, texts, chunks and what of a result is shown."""
 
 from __future__ import annotations
 
-import base64
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import chunking, cleaning, urls
 from threadloom.operators import gate
 from threadloom.plans.registry import Registry
-from threadloom.sources import files, mime
+from threadloom.sources import files
 from threadloom.sources.mail import table
 
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.oracle
-_joined = lambda c: F.array_join(c, " ")
-
-
-@_R.worked(
-    "url_trimmed",
-    [("https://a.b/c.",), ("https://a.b/Foo_(x)",), ("https://a.b/c)",), ("https://a.b/c).,)",), ("https://a.b/[d]]>",), ("https://a.b/c?!\"'",), ("https://a.b",)],
-    "url string",
-    [("https://a.b/c.", "https://a.b/c"), ("https://a.b/Foo_(x)", "https://a.b/Foo_(x)"), ("https://a.b/c)", "https://a.b/c"), ("https://a.b/c).,)", "https://a.b/c"), ("https://a.b/[d]]>", "https://a.b/[d]"), ("https://a.b/c?!\"'", "https://a.b/c"), ("https://a.b", "https://a.b")],
-    "url, bare",
-)
-def _trimmed(df: DataFrame) -> DataFrame:
-    return df.select("url", urls.trimmed(F.col("url")).alias("bare"))
-
-
-_V2 = "https://urldefense.proofpoint.com/v2/url?u=https-3A__example.com_a-3Fb-3D1&d=x"
-_V3 = "https://urldefense.com/v3/__https://example.com/path?x=1__;!!abc$"
-_SAFE = "https://nam02.safelinks.protection.outlook.com/?url=https%3A%2F%2Fexample.com%2Fq%3Fa%3Db&data=1"
-_NEST = "https://x.safelinks.protection.outlook.com/?data=1&url=https%3A%2F%2Furldefense.com%2Fv3%2F__https%3A%2F%2Finner.example%2Fz__%3B%21%21k%24"
-
-
-@_R.worked(
-    "url_unwrapped",
-    [(_V2,), (_V3,), (_SAFE,), (_NEST,), ("https://www.google.com/url?q=https://example.com/g&sa=D",), ("https://site.example/share?url=https%3A%2F%2Fother.example",), ("https://plain.example/x",)],
-    "url string",
-    [(_V2, "https://example.com/a?b=1"), (_V3, "https://example.com/path?x=1"), (_SAFE, "https://example.com/q?a=b"), (_NEST, "https://inner.example/z"), ("https://www.google.com/url?q=https://example.com/g&sa=D", "https://example.com/g"),
-     ("https://site.example/share?url=https%3A%2F%2Fother.example", "https://site.example/share?url=https%3A%2F%2Fother.example"), ("https://plain.example/x", "https://plain.example/x")],
-    "url, target",
-)
-def _unwrapped(df: DataFrame) -> DataFrame:
-    return df.select("url", urls.unwrapped(F.col("url")).alias("target"))
-
-
-@_R.worked(
-    "url_without_trackers",
-    [("https://a.b/c?utm_source=x&id=1&GCLID=2&z=3#top",), ("https://a.b/c?utm_source=x",), ("https://a.b/c?id=1&b=",), ("https://a.b/c",)],
-    "url string",
-    [("https://a.b/c?utm_source=x&id=1&GCLID=2&z=3#top", "https://a.b/c?id=1&z=3#top"), ("https://a.b/c?utm_source=x", "https://a.b/c"), ("https://a.b/c?id=1&b=", "https://a.b/c?id=1&b="), ("https://a.b/c", "https://a.b/c")],
-    "url, clean",
-)
-def _without_trackers(df: DataFrame) -> DataFrame:
-    return df.select("url", urls.without_trackers(F.col("url")).alias("clean"))
-
-
-@_R.worked(
-    "url_crawl_denied",
-    [("https://click.shop.example/x",), ("https://www.youtube.com/watch",), ("https://a.b/unsubscribe?u=1",), ("https://a.b/pic.JPG?x=1",), ("https://a.b/story",), ("https://bit.ly/x",), ("https://notyoutube.com/x",)],
-    "url string",
-    [("https://click.shop.example/x", True, False, False), ("https://www.youtube.com/watch", True, False, False), ("https://a.b/unsubscribe?u=1", False, True, False), ("https://a.b/pic.JPG?x=1", False, False, True),
-     ("https://a.b/story", False, False, False), ("https://bit.ly/x", True, False, False), ("https://notyoutube.com/x", False, False, False)],
-    "url, host, path, ending",
-)
-def _denied(df: DataFrame) -> DataFrame:
-    u = F.col("url")
-    return df.select("url", urls.host_denied(u).alias("host"), urls.path_denied(u).alias("path"), urls.ending_denied(u).alias("ending"))
-
-
-_MANY = " ".join(f"https://a.b/{k}" for k in range(12))
-
-
-@_R.worked(
-    "url_crawlable",
-    [(1, "See https://a.b/c?utm_x=1, (https://a.b/c) and https://t.co/z or https://d.e/f.", ["INBOX"]), (2, _MANY, ["CATEGORY_UPDATES"]), (3, "only " + _SAFE, None), (4, None, None), (5, " ".join(f"https://a.b/{k}" for k in range(60)), [])],
-    "id long, body string, labels array<string>",
-    [(1, "https://a.b/c https://d.e/f"), (2, ""), (3, "https://example.com/q?a=b"), (4, ""), (5, "")],
-    "id, links",
-)
-def _crawlable(df: DataFrame) -> DataFrame:
-    return df.select("id", _joined(urls.crawlable(F.col("body"), F.col("labels"))).alias("links"))
 
 
 @_R.query("SELECT page_id, substr(concat('URL: ', url), 1, 500) AS name, url AS back, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages")
@@ -92,69 +21,6 @@ def url_stub_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", name.alias("name"), urls.url_of_stub(name).alias("back"), urls.host_of(F.col("url")).alias("host"))
 
 
-@_R.worked(
-    "drive_ids",
-    [("x https://docs.google.com/document/d/1AbCdEfGhIjKlMnOpQrStUv/edit and https://drive.google.com/open?id=1AbCdEfGhIjKlMnOpQrStUv",), ("https://drive.google.com/file/d/short/view",), (None,)],
-    "body string",
-    [("1AbCdEfGhIjKlMnOpQrStUv",), ("",), ("",)],
-    "ids",
-)
-def _drive_ids(df: DataFrame) -> DataFrame:
-    return df.select(F.coalesce(_joined(urls.drive_ids(F.col("body"))), F.lit("")).alias("ids"))
-
-
-_LONG = "This line is long enough to be kept as the body of the reply it is."
-
-
-@_R.worked(
-    "quoted_replies",
-    [(1, f"{_LONG}\n> quoted\nOn Mon, Jan 5, 2026 Someone wrote:\nold"), (2, "short\n> all quoted"), (3, f"{_LONG}\n----- original message -----\nold"), (4, f"{_LONG}\nOn x wrote:\nstill")],
-    "id long, body string",
-    [(1, _LONG), (2, "short\n> all quoted"), (3, _LONG), (4, f"{_LONG}\nOn x wrote:\nstill")],
-    "id, own",
-)
-def _quoted(df: DataFrame) -> DataFrame:
-    return df.select("id", cleaning.before_replies(F.col("body")).alias("own"))
-
-
-@_R.worked(
-    "bodies_tidied",
-    [(1, "Content-Type: text/plain\nHello​​​ there https://a.b/c?d\n\n\n\nbye  "), (2, None), (3, "a​b")],
-    "id long, body string",
-    [(1, "Hello there [link]\n\nbye"), (2, ""), (3, "a​b")],
-    "id, tidy",
-)
-def _tidied(df: DataFrame) -> DataFrame:
-    return df.select("id", cleaning.tidied(F.col("body")).alias("tidy"))
-
-
-@_R.worked("bodies_unquoted", [(1, "a\n  > b\nc\r\n>d"), (2, None)], "id long, body string", [(1, "a\nc"), (2, "")], "id, own")
-def _unquoted(df: DataFrame) -> DataFrame:
-    return df.select("id", cleaning.unquoted(F.col("body")).alias("own"))
-
-
-@_R.worked(
-    "links_primary",
-    [(1, "https://a.b/x. https://a.b/unsubscribe https://a.b/p.png https://a.b/x, https://c.d/y) https://e.f"), (2, "none")],
-    "id long, body string",
-    [(1, "https://a.b/x https://c.d/y"), (2, "")],
-    "id, links",
-)
-def _links(df: DataFrame) -> DataFrame:
-    return df.select("id", _joined(cleaning.primary_links(F.col("body"))).alias("links"))
-
-
-@_R.worked(
-    "attachments_packed",
-    [(1, [("a", "x" * 100), ("b", "y" * 300), ("c", " ")], 400), (2, [("a", "x" * 100)], 150), (3, [], 1000)],
-    "id long, parts array<struct<name: string, text: string>>, budget int",
-    [(1, f"\n\n[Attachment: b]\n{'y' * 170}\n\n[Attachment: a]\n{'x' * 100}"), (2, ""), (3, "")],
-    "id, packed",
-)
-def _packed(df: DataFrame) -> DataFrame:
-    return df.select("id", cleaning.packed_attachments(F.col("parts"), F.col("budget")).alias("packed"))
-
-
 _BODY_SQL = "trim(regexp_replace(regexp_replace(body_text, 'https?://\\S+', '[link]', 'gi'), '\\n\\s*\\n\\s*\\n+', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))"
 _CUT_SQL = f"CASE WHEN length({_BODY_SQL}) > 15000 THEN left({_BODY_SQL}, 11000) || chr(10) || chr(10) || '[...]' || chr(10) || chr(10) || right({_BODY_SQL}, 4000) ELSE {_BODY_SQL} END"
 _PROMPT_SQL = f"'From: ' || from_addr || chr(10) || 'Subject: ' || subject || chr(10) || chr(10) || {_CUT_SQL}"
@@ -184,107 +50,6 @@ def token_limited(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", cleaning.limited(F.col("text"), 100).alias("head"))
 
 
-@_R.worked(
-    "replies_cleaned",
-    [(1, 'Summary: "x"'), (2, '"He pays."'), (3, "thought\nThinking Process: 1.\n(This is the response.) It is due."), (4, "thought only"), (5, "TL;DR: done"), (6, "plain")],
-    "id long, reply string",
-    [(1, '"x"'), (2, "He pays."), (3, "It is due."), (4, ""), (5, "done"), (6, "plain")],
-    "id, clean",
-)
-def _replies(df: DataFrame) -> DataFrame:
-    return df.select("id", cleaning.cleaned_reply(F.col("reply")).alias("clean"))
-
-
-@_R.worked(
-    "links_repaired",
-    [("see [a b](https://x.y/z] now",), ("end [c](https://x.y/q",), ("fine [d](https://x.y)",)],
-    "text string",
-    [("see [a b](https://x.y/z) now",), ("end [c](https://x.y/q)",), ("fine [d](https://x.y)",)],
-    "fixed",
-)
-def _repaired(df: DataFrame) -> DataFrame:
-    return df.select(cleaning.repaired_links(F.col("text")).alias("fixed"))
-
-
-@_R.worked(
-    "facts_parsed",
-    [(1, '```json\n{"facts": ["a b", " ", 3, " c "]}\n```'), (2, 'Sure: {"facts": ["x"]} ok'), (3, "no json"), (4, '{"facts": "x"}'), (5, None)],
-    "id long, reply string",
-    [(1, "a b|c"), (2, "x"), (3, ""), (4, ""), (5, "")],
-    "id, facts",
-)
-def _facts(df: DataFrame) -> DataFrame:
-    return df.select("id", F.array_join(cleaning.facts_of(F.col("reply")), "|").alias("facts"))
-
-
-@_R.worked("expansions_safe", [("  Home Owners Assoc ",), ("from:evil@x.com",), ("a b c d e",), ("R&D dept.",)], "text string", [("home owners assoc",), (None,), (None,), ("r&d dept.",)], "safe")
-def _safe(df: DataFrame) -> DataFrame:
-    return df.select(cleaning.safe_expansion(F.col("text")).alias("safe"))
-
-
-@_R.worked("grades_parsed", [("a 3\nb 1\na 2\nc 9\nd x\ne",)], "reply string", [("a", 2), ("b", 1)], "id, grade")
-def _grades(df: DataFrame) -> DataFrame:
-    return df.select(F.explode(cleaning.grades_of(F.col("reply"))).alias("id", "grade")).withColumn("grade", F.col("grade").cast("long"))
-
-
-_EVENT = json.dumps({"message": {"content": [{"type": "text", "text": "x"}, {"type": "tool_use", "name": "search", "input": {"q": "a"}}]}})
-
-
-@_R.worked("tool_uses", [(1, _EVENT), (2, "{bad"), (3, "{}")], "id long, event string", [(1, "search", '{"q":"a"}')], "id, name, args")
-def _uses(df: DataFrame) -> DataFrame:
-    return df.select("id", F.explode(cleaning.tool_uses(F.col("event"))).alias("u")).select("id", "u.name", "u.args")
-
-
-@_R.worked(
-    "citations_checked",
-    [(1, "as [ref:ab12] and 0123456789abcdef says [ref:zz]", ["ab12cd", "0123456789abcdef"])],
-    "id long, text string, known array<string>",
-    [(1, "ab12", True), (1, "zz", False), (1, "0123456789abcdef", True)],
-    "id, ref, known",
-)
-def _citations(df: DataFrame) -> DataFrame:
-    each = df.select("id", F.explode(cleaning.citations(F.col("text"))).alias("ref"), F.col("known").alias("refs"))
-    return each.select("id", "ref", F.exists("refs", lambda k: k.startswith(F.col("ref"))).alias("known"))
-
-
-_encoded = lambda text: base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
-_MESSAGES = [
-    {"id": "m1", "threadId": "t1", "internalDate": "1700000000000", "historyId": "7", "labelIds": ["INBOX"], "payload": {"mimeType": "multipart/mixed", "headers": [{"name": "FROM", "value": "A <a@b>"}, {"name": "Subject", "value": "Hi"}], "parts": [
-        {"mimeType": "multipart/alternative", "parts": [{"mimeType": "text/plain", "body": {"data": _encoded("héllo")}}, {"mimeType": "text/html", "body": {"data": _encoded("<p>héllo</p>")}}]},
-        {"mimeType": "application/pdf", "filename": "x.pdf", "body": {"attachmentId": "att1", "size": 12}}]}},
-    {"id": "m2", "internalDate": "0", "payload": {"mimeType": "text/plain", "headers": [{"name": "Received", "value": "by x"}, {"name": "Received", "value": "by y; Sat, 4 Apr 2026 16:31:03 -0700 (PDT)"}, {"name": "Date", "value": "Fri, 3 Apr 2026 01:02:03 +0000"}], "body": {"data": _encoded("plain")}}},
-    {"id": "m3", "payload": {"mimeType": "text/plain", "headers": [{"name": "Date", "value": "3 Apr 2026 01:02:03 GMT"}], "body": {}}},
-    {"id": "m4", "payload": {"headers": [{"name": "Date", "value": "04-03-2026"}]}},
-]
-
-
-@_R.worked(
-    "messages_parsed",
-    [(json.dumps(m),) for m in _MESSAGES],
-    "raw string",
-    [("m1", "t1", "A <a@b>", "Hi", "héllo", "<p>héllo</p>", "2023-11-14 22:13:20", "INBOX", 7, "x.pdf"), ("m2", "m2", "", "", "plain", "", "2026-04-04 23:31:03", "", 0, ""), ("m3", "m3", "", "", "", "", "2026-04-03 01:02:03", "", 0, ""), ("m4", "m4", "", "", "", "", "1970-01-01 00:00:00", "", 0, "")],
-    "id, thread_id, from_addr, subject, body_text, body_html, sent, labels, history_id, files",
-)
-def _parsed(df: DataFrame) -> DataFrame:
-    at = F.date_format(F.to_utc_timestamp("date", F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
-    names = F.array_join(F.transform("attachments", lambda a: a["filename"]), " ")
-    return mime.parse(df).select("id", "thread_id", "from_addr", "subject", "body_text", "body_html", at.alias("sent"), _joined(F.col("labels")).alias("labels"), "history_id", names.alias("files"))
-
-
-_ICS = "BEGIN:VCALENDAR\nBEGIN:VEVENT\nSUMMARY:Team\n  lunch\nDTSTART:20260405T120000Z\nATTENDEE;CN=x:mailto:a@b\nATTENDEE:mailto:c@d\nDESCRIPTION:Bring food\\, please\nEND:VEVENT\nEND:VCALENDAR"
-
-
-@_R.worked(
-    "files_extracted",
-    [("a.txt", bytearray(b" hello \n"), "text/plain"), ("b.bin", bytearray(b"x"), None), ("c.csv", bytearray(b"a,b\n1,2\n"), "application/octet-stream"), ("d.ics", bytearray(_ICS.encode()), "text/calendar"), ("e.html", bytearray(b"<p>short</p>"), "text/html"), ("f.zip", bytearray(b"broken"), "application/zip")],
-    "path string, content binary, mime string",
-    [("a.txt", "text", "hello"), ("b.bin", None, None), ("c.csv", "table", "a,b\n1,2"), ("d.ics", "calendar", "Event: Team lunch\nStart: 20260405T120000Z\nAttendees: mailto:a@b, mailto:c@d\nDescription: Bring food, please"), ("e.html", "html", None), ("f.zip", "archive", None)],
-    "path, kind, text",
-)
-def _extracted(df: DataFrame) -> DataFrame:
-    return files.extracted(df, mime="mime")
-
-
 @_R.query()
 def pages_main_text(spark: SparkSession, sf: str) -> DataFrame:
     """Title and main text of every page; tests hold it against pages whose parts are known."""

@@ -141,11 +141,6 @@ def embedded_by_function(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("item_id", F.when(bad, F.col("vector").isNull() & (F.col("error") == "refused")).otherwise(F.col("error").isNull() & (F.size("vector") == 8)).alias("fine"))
 
 
-@_R.worked("lines_carried", [(1, 0, "a\nb"), (1, 1, "c\nd"), (2, 0, "x"), (2, 1, "\n")], "file long, seq long, piece string", [(1, 0, "a"), (1, 1, "bc"), (2, 0, "x")], "file, nth, line")
-def _carried(df: DataFrame) -> DataFrame:
-    return upkeep.whole_lines(df, "file", "seq", "piece").withColumn("nth", F.col("nth").cast("long"))
-
-
 @_R.query()
 def reindex_triggered(spark: SparkSession, sf: str) -> DataFrame:
     """Types of events with enough new rows to rebuild an index, as a stream says; a test holds it against counts."""

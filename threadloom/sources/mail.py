@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,11 @@ def with_views(sql: str, *names: str) -> str:
     for n in names:
         order += [x for x in (*_NEEDS.get(n, ()), n) if x not in order]
     return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in order) + " " + sql
+
+
+def given(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """What ``sql``, which Spark and DuckDB both read, makes of base tables and the named views."""
+    for base in _BASE:
+        if re.search(rf"\b{base}\b", with_views(sql, *names) if names else sql):
+            table(spark, sf_dir, base).createOrReplaceTempView(base)
+    return spark.sql(with_views(sql, *names) if names else sql)

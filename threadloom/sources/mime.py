@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How deep parts may lie in parts; deeper ones are left out.
-DEPTH = 6
+#: How deep parts may lie in parts; mail programs themselves stop well before.  A message that goes deeper has ``cut`` set.
+DEPTH = 24
 _LEAF = "partId: string, mimeType: string, filename: string, body: struct<attachmentId: string, size: bigint, data: string>"
 
 
 def _part(depth: int) -> str:
-    return f"struct<{_LEAF}{f', parts: array<{_part(depth - 1)}>' if depth else ''}>"
+    return f"struct<{_LEAF}{f', parts: array<{_part(depth - 1)}>' if depth else ', parts: array<string>'}>"
 
 
 SCHEMA = f"struct<id: string, threadId: string, internalDate: string, historyId: string, labelIds: array<string>, payload: struct<headers: array<struct<name: string, value: string>>, {_LEAF}, parts: array<{_part(DEPTH)}>>>"
-_FLAT = "array<struct<mime: string, name: string, attachment: string, size: bigint, data: string>>"
+_FLAT = "array<struct<mime: string, name: string, attachment: string, size: bigint, data: string, deeper: boolean>>"
 
 
 def _leaves(part: Column, depth: int) -> Column:
     """The parts that hold no others, in order."""
-    own = F.array(F.struct(part["mimeType"].alias("mime"), part["filename"].alias("name"), part["body"]["attachmentId"].alias("attachment"), part["body"]["size"].alias("size"), part["body"]["data"].alias("data"))).cast(_FLAT)
+    own = F.array(F.struct(part["mimeType"].alias("mime"), part["filename"].alias("name"), part["body"]["attachmentId"].alias("attachment"), part["body"]["size"].alias("size"), part["body"]["data"].alias("data"), (F.lit(not depth) & part["parts"].isNotNull()).alias("deeper"))).cast(_FLAT)
     if not depth:
         return own
     return F.when(part["parts"].isNull(), own).otherwise(F.flatten(F.transform(part["parts"], lambda p: _leaves(p, depth - 1))))
@@ -78,4 +78,5 @@ def parse(raw: DataFrame, column: str = "raw") -> DataFrame:
         F.coalesce(F.col("m.historyId").cast("bigint"), F.lit(0)).alias("history_id"),
         F.transform(F.filter("parts", lambda p: p["attachment"].isNotNull()), lambda p: F.struct(F.coalesce(p["name"], F.lit("")).alias("filename"), p["mime"].alias("mime_type"), p["attachment"].alias("attachment_id"), F.coalesce(p["size"], F.lit(0)).alias("size"))).alias("attachments"),
         F.col("raw_json"),
+        F.coalesce(F.exists("parts", lambda p: p["deeper"]), F.lit(False)).alias("cut"),
     )
