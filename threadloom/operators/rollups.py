@@ -34,7 +34,7 @@ def thread_summary(messages: DataFrame) -> DataFrame:
 
 
 def thread_summary_incremental(messages: DataFrame, touched: DataFrame) -> DataFrame:
-    """Recompute only the touched threads: sorted distinct senders, least subject at the earliest date."""
+    """Recompute only the touched threads: sorted distinct senders and labels, least subject at the earliest date."""
     own = messages.join(touched.select("user_id", "thread_id").distinct(), ["user_id", "thread_id"], "left_semi")
     return own.groupBy("user_id", "thread_id").agg(
         F.count(F.lit(1)).alias("message_count"),
@@ -42,9 +42,14 @@ def thread_summary_incremental(messages: DataFrame, touched: DataFrame) -> DataF
         F.max("date").alias("date_last"),
         F.min_by("subject", F.struct("date", "subject")).alias("subject"),
         F.array_sort(F.collect_set("from_addr")).alias("participants"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("all_labels"),
     )
 
 
+#: What a guarded write of a thread's summary compares.
+SUMMARY_COLUMNS = ["message_count", "date_first", "date_last", "subject", "participants", "all_labels"]
+
+
 def merge_changed(old: DataFrame, new: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
     """Rows of ``new`` that aren't in ``old`` or differ there in a compared column, null-safely."""
     before = old.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in compared], F.lit(True).alias("__there"))

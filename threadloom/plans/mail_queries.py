@@ -57,37 +57,38 @@ _priority("starred", "st AND NOT iu")
 _priority("everything_else", "ib AND NOT iu AND NOT st")
 
 
+_LABELS = "array_to_string(list_sort(list_distinct(list_filter(flatten(list(string_split(labels_csv, ','))), lambda x: x <> ''))), '|') AS all_labels"
+_SUMMARY = f"""count(*) AS message_count, min(date) AS date_first, max(date) AS date_last, arg_min(subject, (date, subject)) AS subject, array_to_string(list_sort(list_distinct(list(from_addr))), '|') AS participants, {_LABELS}"""
+
+
+def _flat(summaries: DataFrame) -> DataFrame:
+    return summaries.select(*(F.array_join(c, "|").alias(c) if t == "array<string>" else F.col(c) for c, t in summaries.dtypes))
+
+
 @query(
-    """SELECT user_id, thread_id, count(*) AS message_count, min(date) AS date_first, max(date) AS date_last, arg_min(subject, (date, id)) AS subject,
-      array_to_string(list(from_addr ORDER BY date, id), '|') AS all_from_addrs,
-      array_to_string(list_sort(list_distinct(list_filter(flatten(list(string_split(labels_csv, ','))), lambda x: x <> ''))), '|') AS all_labels
+    f"""SELECT user_id, thread_id, count(*) AS message_count, min(date) AS date_first, max(date) AS date_last, arg_min(subject, (date, id)) AS subject, array_to_string(list(from_addr ORDER BY date, id), '|') AS all_from_addrs,
+      array_to_string(list_filter(list(from_addr ORDER BY date, id), lambda x, i: list_position(list(from_addr ORDER BY date, id), x) = i), '|') AS participants, {_LABELS}
     FROM messages GROUP BY user_id, thread_id""",
     "messages",
 )
 def thread_summary_full(spark: SparkSession, sf: str) -> DataFrame:
-    s = rollups.thread_summary(table(spark, sf, "messages"))
-    return s.drop("participants").withColumn("all_from_addrs", F.array_join("all_from_addrs", "|")).withColumn("all_labels", F.array_join("all_labels", "|"))
+    return _flat(rollups.thread_summary(table(spark, sf, "messages")))
 
 
-@query(
-    """SELECT user_id, thread_id, count(*) AS message_count, min(date) AS date_first, max(date) AS date_last, arg_min(subject, (date, subject)) AS subject,
-      array_to_string(list_sort(list_distinct(list(from_addr))), '|') AS participants
-    FROM messages m WHERE (user_id, thread_id) IN (SELECT (user_id, thread_id) FROM messages WHERE history_id > 500) GROUP BY user_id, thread_id""",
-    "messages",
-)
+@query(f"SELECT user_id, thread_id, {_SUMMARY} FROM messages m WHERE (user_id, thread_id) IN (SELECT (user_id, thread_id) FROM messages WHERE history_id % 7 = 3) GROUP BY user_id, thread_id", "messages")
 def thread_summary_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The threads that a seventh of the messages touch, from all their messages."""
     m = table(spark, sf, "messages")
-    return rollups.thread_summary_incremental(m, m.where("history_id > 500")).withColumn("participants", F.array_join("participants", "|"))
+    return _flat(rollups.thread_summary_incremental(m, m.where("history_id % 7 = 3")))
 
 
-@query(
-    """SELECT thread_id, user_id, n FROM (SELECT thread_id, user_id, count(*) AS n, count(*) FILTER (WHERE history_id < 800) AS old FROM messages GROUP BY thread_id, user_id) WHERE n <> old""",
-    "messages",
-)
+@query(f""", old AS (SELECT user_id, thread_id, {_SUMMARY} FROM messages WHERE history_id % 10 <> 0 GROUP BY user_id, thread_id), new AS (SELECT user_id, thread_id, {_SUMMARY} FROM messages GROUP BY user_id, thread_id) SELECT * FROM new EXCEPT SELECT * FROM old""", "messages")
 def thread_summary_noop_guard(spark: SparkSession, sf: str) -> DataFrame:
-    count = lambda m: m.groupBy("thread_id", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    """The summaries a guarded merge writes after a tenth of the messages came in late: those that differ in any column."""
     m = table(spark, sf, "messages")
-    return rollups.merge_changed(count(m.where("history_id < 800")), count(m), ["thread_id", "user_id"], ["n"])
+    every = m.select("user_id", "thread_id").distinct()
+    old, new = (rollups.thread_summary_incremental(x, every) for x in (m.where("history_id % 10 <> 0"), m))
+    return _flat(rollups.merge_changed(old, new, ["user_id", "thread_id"], rollups.SUMMARY_COLUMNS))
 
 
 @query(

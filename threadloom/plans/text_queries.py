@@ -9,7 +9,7 @@ from threadloom.functions import chunking, cleaning, urls
 from threadloom.operators import gate
 from threadloom.plans.registry import Registry
 from threadloom.sources import files
-from threadloom.sources.mail import table
+from threadloom.sources.mail import table, with_views
 
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.oracle
@@ -67,7 +67,7 @@ def message_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("id", kind.alias("chunk_type"), F.substring(chunk, 1, 500).alias("chunk_text"))
 
 
-@_R.query("SELECT doc_id, length(text) AS length, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '…' ELSE text END AS text FROM documents")
+@_R.query("SELECT doc_id, length(text) AS length, CASE WHEN length(text) > 500 THEN substr(text, 1, 468) || '… [truncated: original ' || length(text) || ' chars]' ELSE text END AS text FROM documents")
 def cells_clipped(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("length"), "text")
     return gate.clipped_cells(d, 500)
@@ -81,3 +81,37 @@ def detail_refs(spark: SparkSession, sf: str) -> DataFrame:
 @_R.query("SELECT id, subject, substr(body_text, 1, 200) AS snippet FROM messages", "messages")
 def detail_snippets(spark: SparkSession, sf: str) -> DataFrame:
     return gate.detail(table(spark, sf, "messages"), "snippet", "id", "subject", "body_text")
+
+
+@_R.query("SELECT m.id, subject, coalesce(a.filename, substr(body_text, 1, 200)) AS summary FROM messages m LEFT JOIN attachments a ON a.message_id = m.id", "messages", "attachments")
+def detail_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages with what sums them up (here their link's name), or their first characters."""
+    own = table(spark, sf, "attachments").select(F.col("message_id").alias("id"), F.col("filename").alias("summary"))
+    return gate.detail(table(spark, sf, "messages").join(own, "id", "left"), "summary", "id", "subject", "body_text", summary="summary")
+
+
+@_R.query("SELECT thread_id, array_to_string(list(id ORDER BY date DESC, id)[:2], ' ') AS matches, count(*) > 2 AS matches_truncated FROM messages GROUP BY thread_id", "messages")
+def detail_first_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Each thread's two newest messages and whether there are more."""
+    own = table(spark, sf, "messages").groupBy("thread_id").agg(F.sort_array(F.collect_list(F.struct("date", (-F.col("history_id")).alias("less"), "id")), False).alias("m"))
+    return gate.first_matches(own.select("thread_id", F.transform("m", lambda x: x["id"]).alias("matches")), "matches", 2).withColumn("matches", F.array_join("matches", " "))
+
+
+_GUEST = """WITH late AS (SELECT thread_id, max(date) AS last, count(*) AS n FROM messages GROUP BY thread_id HAVING count(*) > 1)
+SELECT m.id, replace(m.subject, 'a', 'A') AS subject, l.n, coalesce(a.size_bytes, 0) AS size FROM messages m JOIN late l ON l.thread_id = m.thread_id AND m.date = l.last LEFT JOIN attachments a ON a.message_id = m.id
+WHERE NOT EXISTS (SELECT 1 FROM attachments x WHERE x.message_id = m.id AND x.crawl_attempts > 6) AND length(m.body_text) > (SELECT avg(length(body_text)) / 4 FROM messages)"""
+_TENANTS = ("u0", "u1", "u2")
+
+
+@_R.query("WITH t AS (SELECT NULL) SELECT 1")
+def guest_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """One query of guests' own, as each tenant sees it."""
+    tables = {n: table(spark, sf, n) for n in ("messages", "attachments")}
+    parts = [gate.query(spark, _GUEST, tables, user).withColumn("tenant", F.lit(user)) for user in _TENANTS]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+# the same text over each tenant's rows alone
+ORACLE_SQL["guest_sql"] = with_views("", "messages", "attachments") + "".join(f", messages_{u} AS (SELECT * FROM messages WHERE user_id = '{u}'), attachments_{u} AS (SELECT * FROM attachments WHERE user_id = '{u}')" for u in _TENANTS) + " " + " UNION ALL ".join(
+    "SELECT *, '{u}' AS tenant FROM ({q})".format(u=u, q=_GUEST.replace("FROM messages", f"FROM messages_{u}").replace("attachments a", f"attachments_{u} a").replace("attachments x", f"attachments_{u} x")) for u in _TENANTS
+)

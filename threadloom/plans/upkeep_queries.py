@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.operators import models, rollups
+from threadloom.operators import models, rollups, search
 from threadloom.plans.registry import Registry
+from threadloom.sources import history
 from threadloom.sources.mail import table
+from threadloom.sources.tail import LineTail
 from threadloom.streaming import upkeep
 from threadloom.streaming.folders import new_folder
+from threadloom.streaming.versions import Versions
 
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.oracle
@@ -44,19 +50,28 @@ def upsert_if_owner(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_R.query(
-    """SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS nth FROM events) e WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) OR (ts < TIMESTAMP '2024-01-30' - INTERVAL 7 DAY AND nth > 3)"""
+    """SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS nth FROM events) e WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) OR (ts < TIMESTAMP '2024-01-30' - INTERVAL 7 DAY AND nth > 3)"""
 )
 def artifacts_past_retention(spark: SparkSession, sf: str) -> DataFrame:
     parents = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"))
-    return upkeep.past_retention(table(spark, sf, "events"), parents, "user_id", "ts", F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00'"), 7, keep=3).select("event_id")
+    return upkeep.past_retention(table(spark, sf, "events"), parents, "user_id", "ts", F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00'"), 7, keep=3, id="event_id").select("event_id")
 
 
-@_R.query("SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN t ELSE cast(length(html) AS varchar(20)) END AS text FROM pages JOIN (SELECT url AS u, max(cast(length(html) AS varchar(20))) AS t FROM pages GROUP BY url) ON u = url")
+@_R.query(
+    """WITH p AS (SELECT p_partkey AS id, p_brand AS filename, concat('u', cast(p_partkey % 3 AS varchar(20))) AS user_id, p_name FROM part), done AS (SELECT filename, min(id) AS stub, arg_min(p_name, id) AS text FROM p WHERE id % 5 = 2 GROUP BY filename)
+    SELECT id, user_id, nth = 1 AS representative, text FROM (SELECT p.*, text, row_number() OVER (PARTITION BY filename, user_id ORDER BY CASE WHEN id <> stub THEN 1 ELSE 0 END, id) AS nth FROM p JOIN done USING (filename)) WHERE nth <= 4"""
+)
 def crawled_fanned_out(spark: SparkSession, sf: str) -> DataFrame:
-    """The text crawled once for a link fills all stubs of that link."""
-    p = table(spark, sf, "pages").select("page_id", "url", F.length("html").cast("string").alias("text"))
-    made = p.groupBy("url").agg(F.max("text").alias("text"))
-    return upkeep.fan_out(p.withColumn("text", F.when(F.col("page_id") % 3 != 0, F.col("text"))), made, "url", "text")
+    """What was worked out for one stub of a link fills one row of every owner and at most three more."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("filename"), F.concat(F.lit("u"), F.col("p_partkey") % 3).alias("user_id"), F.col("p_name").alias("text"))
+    return upkeep.fan_out(p.drop("text"), p.where("id % 5 = 2").select("id", "filename", "text"), "filename", "text", "id", "user_id", 3)
+
+
+@_R.query("SELECT o_orderkey, 'u0' AS owner, (o_orderkey - 1000) // 500 AS chunk FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 5000 AND o_orderkey % 3 = 0")
+def backfilled_owner(spark: SparkSession, sf: str) -> DataFrame:
+    """A column filled in chunks of keys, only where it is still open."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, "known").alias("owner"))
+    return upkeep.backfilled(o, "owner", F.lit("u0"), "o_orderkey", 500, 1000, 5000)
 
 
 @_R.query("SELECT o_orderkey // 1000 AS chunk, min(o_orderkey) AS low, max(o_orderkey) AS high, count(*) AS n FROM orders GROUP BY 1")
@@ -65,48 +80,116 @@ def backfill_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_R.query(
-    """WITH b AS (SELECT vec_id // 50 AS bucket, count(*) AS n, count(*) FILTER (WHERE vec_id % 499 = 17) AS changed FROM embeddings GROUP BY 1)
-    SELECT vec_id, bucket IN (SELECT bucket FROM b WHERE n = 50 AND changed = 0) AS sealed FROM (SELECT vec_id, vec_id // 50 AS bucket FROM embeddings)"""
+    """WITH b AS (SELECT vec_id // 50 AS bucket, count(*) FILTER (WHERE vec_id % 499 = 17 OR vec_id % 997 = 100) AS changed FROM embeddings GROUP BY 1)
+    SELECT vec_id, label, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS total, changed = 0 AS sealed FROM embeddings JOIN b ON bucket = vec_id // 50"""
 )
 def index_delta(spark: SparkSession, sf: str) -> DataFrame:
-    """Which rows lie in buckets that stay, after a few vectors of an index changed."""
-    new = table(spark, sf, "embeddings").select("vec_id", "label")
-    old = new.withColumn("label", F.when(F.col("vec_id") % 499 == 17, -1).otherwise(F.col("label")))
-    stay, rebuild = upkeep.delta_buckets(old, new, "vec_id", 50)
-    return stay.select("vec_id", F.lit(True).alias("sealed")).union(rebuild.select("vec_id", F.lit(False)))
+    """An index brought up to the table after a few vectors changed, came and went; buckets without any are the first version's files."""
+    new = table(spark, sf, "embeddings")
+    k = F.col("vec_id")
+    gone = new.where("vec_id = 3").withColumn("vec_id", F.lit(100_000_007).cast("long"))
+    old = new.where(k % 997 != 100).withColumn("label", F.when(k % 499 == 17, -1).otherwise(F.col("label"))).union(gone)
+    versions = Versions(spark, new_folder(spark, "index"))
+    upkeep.refresh_index(versions, old, "vec_id", 50)
+    now = upkeep.refresh_index(versions, new, "vec_id", 50, most_stale=0.05)
+    sealed = [b for b in now.buckets if now.made_by(b) == 0]
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return versions.current()[1].select("vec_id", "label", total.alias("total"), F.floor(k / 50).isin(sealed).alias("sealed"))
 
 
-@_R.query("SELECT user_id, thread_id, count(*) AS message_count, max(date) AS date_last FROM messages GROUP BY user_id, thread_id", "messages")
+@_R.query(
+    """SELECT user_id, thread_id, count(*) AS message_count, min(date) AS date_first, max(date) AS date_last, arg_min(subject, (date, subject)) AS subject, array_to_string(list_sort(list_distinct(list(from_addr))), '|') AS participants,
+      array_to_string(list_sort(list_distinct(list_filter(flatten(list(string_split(labels_csv, ','))), lambda x: x <> ''))), '|') AS all_labels FROM messages GROUP BY user_id, thread_id""",
+    "messages",
+)
 def summaries_reconciled(spark: SparkSession, sf: str) -> DataFrame:
     """Thread summaries kept up by a stream of messages in small batches, stopped and resumed, with the base table growing under it."""
     home = new_folder(spark, "reconcile")
-    own = table(spark, sf, "messages").drop("labels")
-    versions = upkeep.Versions(spark, f"{home}/summaries")
+    own = table(spark, sf, "messages")
+    versions = Versions(spark, f"{home}/summaries")
     for part in (0, 1):
         own.where(F.col("history_id") % 2 == part).repartition(2).write.mode("append").parquet(f"{home}/messages")
         stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/messages")
-        upkeep.reconcile(stream, versions, f"{home}/checkpoint", lambda: spark.read.schema(own.schema).parquet(f"{home}/messages"))
-    return versions.current()[1].select("user_id", "thread_id", "message_count", "date_last")
+        upkeep.reconcile(stream, versions, f"{home}/checkpoint", lambda: spark.read.schema(own.schema).parquet(f"{home}/messages"), buckets=8)
+    return versions.current()[1].withColumn("participants", F.array_join("participants", "|")).withColumn("all_labels", F.array_join("all_labels", "|"))
 
 
-@_R.query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@_R.query("SELECT w, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents) GROUP BY w")
 def counts_in_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts that batches of a stream leave as runs, added up."""
+    """In how many documents each word is, counted as documents stream in: a run for each batch, added up after every fourth, a batch told twice."""
     home = new_folder(spark, "runs")
-    e = table(spark, sf, "events")
-    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    upkeep.added_counts(stream, "event_type", f"{home}/runs", f"{home}/checkpoint")
-    return upkeep.summed_runs(spark, f"{home}/runs", "event_type")
-
-
-@_R.query("SELECT conv_id, turn, text FROM conversations WHERE turn < 2")
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    d.repartition(7, "doc_id").write.parquet(f"{home}/in")
+    words = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in").select(F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("w"))
+    runs = upkeep.Runs(Versions(spark, f"{home}/runs"), "w", most=4)
+    runs.follow(words, f"{home}/checkpoint")
+    source = next(iter(runs.versions.pointer().done))
+    assert not runs.add(runs.counts(), source, 3), "a batch that is in stays in once"
+    return runs.counts()
+
+
+def _grown(df: DataFrame, folder: str, part: int, of: int) -> None:
+    """Write each partition's JSON lines to a file of its own as far as it had come after ``part`` of ``of`` writes, wherever that cuts a line."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        lines = [line for batch in batches for line in batch["line"]]
+        data = "".join(f"{line}\n" for line in lines).encode()
+        if lines:
+            system, root = fs.FileSystem.from_uri(folder)
+            system.create_dir(root)
+            with system.open_output_stream(f"{root}/part-{TaskContext.get().partitionId()}.jsonl") as out:
+                out.write(data[: len(data) * part // of])
+        yield pd.DataFrame({"n": [len(lines)]})
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("line")).mapInPandas(run, "n long").agg(F.sum("n")).collect()
+
+
+def _tailed(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    home = new_folder(spark, name)
+    spark.dataSource.register(LineTail)
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text").repartitionByRange(3, "conv_id").sortWithinPartitions("conv_id", "turn")
+    for part in (1, 2, 3):
+        _grown(rows, f"{home}/in", part, 3)
+        lines = spark.readStream.format("line_tail").option("path", f"{home}/in").option("range", 20_000).load()
+        lines.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("file string, at long, line string").parquet(f"{home}/out")
+
+
+@_R.query("SELECT conv_id, turn, text FROM conversations")
 def json_lines_tailed(spark: SparkSession, sf: str) -> DataFrame:
-    """Events written as JSON lines, read as a stream."""
-    home = new_folder(spark, "lines")
-    table(spark, sf, "conversations").where("turn < 2").select("conv_id", "turn", "text").write.json(f"{home}/in")
-    lines = upkeep.json_lines(spark, f"{home}/in", "conv_id long, turn long, text string")
-    lines.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("conv_id long, turn long, text string").parquet(f"{home}/out")
+    """Conversations written as JSON lines in three writes that end inside a line, followed by a stream that stops and goes on in between."""
+    return _tailed(spark, sf, "lines").select(F.from_json("line", "conv_id long, turn long, text string").alias("e")).select("e.*")
+
+
+@_R.query("SELECT count(*) AS lines, count(DISTINCT conv_id) AS conversations, sum(length(text))::BIGINT AS characters FROM conversations")
+def lines_carried(spark: SparkSession, sf: str) -> DataFrame:
+    """No line of a followed file is lost, torn or read twice: each begins where the one before it ended."""
+    own = _tailed(spark, sf, "carried").withColumn("e", F.from_json("line", "conv_id long, turn long, text string"))
+    before = F.lag(F.col("at") + F.octet_length("line") + 1, 1, 0).over(W.partitionBy("file").orderBy("at"))
+    fits = own.withColumn("fits", (F.col("at") == before) & F.col("e.conv_id").isNotNull())
+    return fits.agg(F.count_if("fits").alias("lines"), F.countDistinct("e.conv_id").alias("conversations"), F.sum(F.length("e.text")).alias("characters"))
+
+
+_MAIL = "id string, thread_id string, user_id string, date string, history_id long"
+
+
+@_R.query("SELECT id, thread_id, user_id, date, row_number() OVER (ORDER BY date, id) AS history_id FROM messages", "messages")
+def mail_followed(spark: SparkSession, sf: str) -> DataFrame:
+    """A mailbox followed by its history in three stops; before the last one the mailbox forgot what changed since, so recent mail is swept."""
+    home = new_folder(spark, "mailbox")
+    order = W.orderBy("date", "id")
+    m = table(spark, sf, "messages").select("id", "thread_id", "user_id", "date", F.row_number().over(order).cast("long").alias("history_id"))
+    m = m.withColumn("part", F.when(F.col("date") < "2024-01-10", 0).when(F.col("date") < "2024-01-20", 1).otherwise(2)).persist()
+    for part in (0, 1, 2):
+        m.where(F.col("part") == part).drop("part").repartition(2).write.mode("append").parquet(f"{home}/mail")
+        if part == 2:
+            oldest = m.where("part < 2").agg(F.max("history_id")).first()[0] + 100
+            history.forget(f"{home}/mail", oldest)
+        history.follow(spark, f"{home}/mail", f"{home}/stored", f"{home}/checkpoint", _MAIL)
+    m.unpersist()
+    return spark.read.schema(_MAIL).parquet(f"{home}/stored")
 
 
 @_R.query(

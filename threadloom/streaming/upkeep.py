@@ -1,106 +1,118 @@
-"""Tables kept up with a stream of changes: each batch recomputes what it touches and writes only what differs.
-
-A maintained table is a folder of versions; the largest number among its pointers, which
-are added last, is the current one.  So readers never see half a version, and a batch that
-runs again changes nothing.
-"""
+"""Tables kept up with a stream of changes: each batch recomputes what it touches and writes only what differs."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadloom.operators import merges, rollups
+from threadloom.streaming.versions import Pointer, Versions, upsert_buckets
 
 
-class Versions:
-    """A table's versions under one folder and the pointer to the current one."""
+SUMMARY_KEYS = ["user_id", "thread_id"]
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
 
-    def current(self) -> tuple[int, DataFrame] | None:
-        """(version, table), or None before the first."""
-        try:
-            pointed = self.spark.read.json(f"{self.folder}/pointer", schema="version long")
-            row = pointed.orderBy(F.desc("version")).first()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-        return None if row is None else (row[0], self.spark.read.parquet(f"{self.folder}/v{row[0]}"))
+def reconcile(messages: DataFrame, versions: Versions, checkpoint: str, base: Callable[[], DataFrame], buckets: int = 64) -> None:
+    """Follow a stream of messages with the thread summaries of ``base()``, all that has come since the last stop, and return.
 
-    def publish(self, table: DataFrame, version: int, *partitions: str) -> None:
-        """Write a version, then add a pointer to it.  A version written again is the same one."""
-        table.write.mode("overwrite").partitionBy(*partitions).parquet(f"{self.folder}/v{version}")
-        self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").json(f"{self.folder}/pointer")
+    The threads a batch touches are summed up anew from the base table, so late and repeated
+    messages, a repeated batch and a new checkpoint do no harm; the buckets of those
+    that differ are replaced.  Threads that the table lacks (their batch came under
+    another checkpoint, say) are made good at the end.
+    """
 
-    def superseded(self, versions: list[int], keep: int = 1) -> list[int]:
-        """Of the versions there are, those that a clean-up may remove: older than the newest ``keep`` before the current one."""
-        now = self.current()
-        older = sorted(v for v in versions if now is not None and v < now[0])
-        return older[: max(0, len(older) - keep)]
+    def batch(touched: DataFrame, number: int) -> None:
+        write_summaries(versions, rollups.thread_summary_incremental(base(), touched.select(*SUMMARY_KEYS).distinct()), buckets)
 
+    messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    now = versions.current()
+    if now is not None:
+        missing = base().select(*SUMMARY_KEYS).distinct().join(now[1], SUMMARY_KEYS, "left_anti")
+        write_summaries(versions, rollups.thread_summary_incremental(base(), missing), buckets)
 
-def reconcile(messages: DataFrame, versions: Versions, checkpoint: str, base: Callable[[], DataFrame]) -> None:
-    """Follow a stream of messages with the thread summaries of ``base()``, all that has come since the last stop, and return.
 
-    The threads a batch touches are summed up anew from the base table (so late and
-    repeated messages do no harm) and merged where they differ.  The cursor is the
-    stream's own checkpoint: it moves past what was processed and no further.
-    """
+def write_summaries(versions: Versions, fresh: DataFrame, buckets: int) -> None:
+    """Replace the buckets in which a summary differs from the table in any compared column."""
+    now = versions.current()
+    changed = fresh if now is None else rollups.merge_changed(now[1], fresh, SUMMARY_KEYS, rollups.SUMMARY_COLUMNS)
+    changed = changed.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        upsert_buckets(versions, changed, SUMMARY_KEYS, buckets, lambda old, new: new if old is None else merges.upsert(old, new, SUMMARY_KEYS))
+    finally:
+        changed.unpersist()
 
-    def batch(touched: DataFrame, number: int) -> None:
-        own = touched.select("user_id", "thread_id").distinct()
-        fresh = rollups.thread_summary_incremental(base(), own)
-        now = versions.current()
-        if now is None:
-            versions.publish(fresh, number)
-            return
-        if now[0] >= number and number:
-            return
-        changed = rollups.merge_changed(now[1], fresh, ["user_id", "thread_id"], ["message_count", "date_first", "date_last", "subject", "participants"])
-        if not changed.isEmpty():
-            versions.publish(merges.upsert(now[1], changed, ["user_id", "thread_id"]), number)
 
-    query = messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+class Runs:
+    """Additive counts of a stream: each batch adds a run, runs are added up when there are too many, all is counted anew when it is old."""
+
+    def __init__(self, versions: Versions, key: str, most: int = 40):
+        self.versions, self.key, self.most = versions, key, most
 
+    def add(self, counts: DataFrame, source: str, batch: int) -> bool:
+        """Keep a batch's (key, n) unless that batch of ``source`` is in; says whether it was new."""
+        before = self.versions.pointer()
+        if before.done.get(source, -1) >= batch:
+            return False
+        run = max(before.buckets, default=-1) + 1
+        before = self.versions.publish(counts, F.lit(run), [run], before, source, batch)
+        if len(before.buckets) > self.most:
+            now = self.versions.pointer()
+            self.versions.publish(self.counts(), F.lit(run + 1), [*now.buckets, run + 1], now)
+        return True
 
-def added_counts(stream: DataFrame, key: str, folder: str, checkpoint: str) -> None:
-    """Append each batch's counts of ``key`` as a run; a batch that runs again overwrites its own run."""
+    def rebuild(self, counts: DataFrame, source: str, batch: int) -> None:
+        """Replace all runs by ``counts`` of everything up to ``batch``."""
+        now = self.versions.pointer()
+        run = max(now.buckets, default=-1) + 1
+        self.versions.publish(counts, F.lit(run), [*now.buckets, run], now, source, batch)
 
-    def batch(rows: DataFrame, number: int) -> None:
-        rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/run={number}")
+    def counts(self) -> DataFrame:
+        """All runs as one."""
+        return self.versions.current()[1].groupBy(self.key).agg(F.sum("n").alias("n"))
 
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    def follow(self, stream: DataFrame, checkpoint: str) -> None:
+        """Add the rows that have come, batch by batch, and return; batches are known by the checkpoint's own id."""
 
+        def batch(rows: DataFrame, number: int) -> None:
+            told = rows.sparkSession.read.text(f"{checkpoint}/metadata").first()[0]
+            self.add(rows.groupBy(self.key).agg(F.count(F.lit(1)).alias("n")), json.loads(told)["id"], number)
 
-def summed_runs(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """All runs as one; written to a new folder this is their compaction."""
-    return spark.read.option("basePath", folder).parquet(f"{folder}/run=*").groupBy(key).agg(F.sum("n").alias("n"))
+        stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def delta_buckets(old: DataFrame, new: DataFrame, id: str, size: int, most_stale: float = 0.02) -> tuple[DataFrame, DataFrame]:
-    """Of an index in buckets of ``size`` ids: (rows of sealed buckets that stay as they are, rows of buckets to rebuild).
+def refresh_index(versions: Versions, rows: DataFrame, id: str, size: int, most_stale: float = 0.02) -> Pointer:
+    """Bring an index in buckets of ``size`` ids up to ``rows``: only buckets that differ are written, their files alone are new.
 
-    A bucket is sealed when it is full and unchanged; if more than ``most_stale`` of
-    the old rows are gone or differ, everything is rebuilt.
+    Buckets are compared by count and digests, not row by row; where more than
+    ``most_stale`` of the indexed rows are gone or differ, everything is written.
     """
-    bucket = F.floor(F.col(id) / size)
-    columns = [c for c in old.columns if c != id]
-    digest = lambda df, name: df.select(id, F.xxhash64(*columns).alias(name))
-    both = digest(old, "before").join(digest(new, "after"), id, "full").withColumn("bucket", bucket)
-    state = both.groupBy("bucket").agg(F.count_if(F.col("before").isNotNull() & ~F.col("before").eqNullSafe(F.col("after"))).alias("stale"), F.count("before").alias("was"), F.count("after").alias("now"), F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("changed"))
-    whole = state.agg((F.sum("stale") > most_stale * F.greatest(F.sum("was"), F.lit(1))).alias("all"))
-    sealed = state.join(F.broadcast(whole)).where((F.col("changed") == 0) & (F.col("now") == size) & ~F.col("all")).select("bucket")
-    dealt = new.withColumn("bucket", bucket)
-    return dealt.join(sealed, "bucket", "left_semi").select(*new.columns), dealt.join(sealed, "bucket", "left_anti").select(*new.columns)
+    bucket = F.floor(F.col(id) / size).cast("int")
+
+    def digests(df: DataFrame, name: str) -> DataFrame:
+        row = F.xxhash64(*sorted(df.columns))
+        return df.groupBy(bucket.alias("bucket")).agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(38,0)")).alias("sum"), F.bit_xor(row).alias("xor")).alias(name))
+
+    before = versions.pointer()
+    old = versions.read(before)
+    if old is None:
+        return versions.publish(rows, bucket, [r[0] for r in rows.select(bucket).distinct().collect()], before)
+    both = digests(old, "was").join(digests(rows, "now"), "bucket", "full").where(~F.col("was").eqNullSafe(F.col("now"))).select("bucket").collect()
+    touched = [r[0] for r in both]
+    if not touched:
+        return before
+    own = versions.read(before, touched)
+    row = lambda df: df.select(id, F.xxhash64(*sorted(df.columns)).alias("__row"))
+    stale = 0 if own is None else row(own).join(row(rows), [id, "__row"], "left_anti").count()
+    if stale > most_stale * old.count():
+        touched = sorted({*before.buckets, *(r[0] for r in rows.select(bucket).distinct().collect())})
+    return versions.publish(rows.where(bucket.isin(touched)), bucket, touched, before)
 
 
 def replace_for_tenant(old: DataFrame, new: DataFrame, tenant: str = "user_id") -> DataFrame:
@@ -125,17 +137,29 @@ def conditional_upsert(old: DataFrame, new: DataFrame, key: str, owner: str, kep
     return both.select(key, *[F.when(mine, value(c)).otherwise(F.col(c)).alias(c) for c in old.columns if c != key])
 
 
-def past_retention(rows: DataFrame, parents: DataFrame, key: str, at: str, now: Column, days: int, keep: int = 0) -> DataFrame:
-    """Rows whose parent is gone or that are older than ``days``, but for each parent's newest ``keep``."""
-    nth = F.row_number().over(W.partitionBy(key).orderBy(F.desc(at)))
+def past_retention(rows: DataFrame, parents: DataFrame, key: str, at: str, now: Column, days: int, keep: int = 0, id: str = "id") -> DataFrame:
+    """Rows whose parent is gone or that are older than ``days``, but for each parent's newest ``keep``; of one time the smaller id is newer."""
+    nth = F.row_number().over(W.partitionBy(key).orderBy(F.desc(at), id))
     told = rows.withColumn("__nth", nth).join(parents.select(key, F.lit(True).alias("__has")).distinct(), key, "left")
     old = (F.col(at) < now - F.make_dt_interval(days=F.lit(days))) & (F.col("__nth") > keep)
     return told.where(F.col("__has").isNull() | old).select(rows.columns)
 
 
-def fan_out(rows: DataFrame, copies: DataFrame, key: str, column: str) -> DataFrame:
-    """Fill ``column`` of all rows that share a key from the one that was worked out for it."""
-    return rows.join(copies.select(key, F.col(column).alias("__fill")), key, "left").withColumn(column, F.coalesce(column, "__fill")).drop("__fill").select(rows.columns)
+def fan_out(rows: DataFrame, made: DataFrame, key: str, column: str, id: str, owner: str, most: int) -> DataFrame:
+    """(id, column) to write once ``made`` (id, key, column) has been worked out for some rows of a key.
+
+    Each owner's share of a key is filled by one representative: the row that was worked on,
+    else the smallest id; of the others at most ``most`` are filled too, by id, the rest stay open.
+    """
+    done = made.groupBy(key).agg(F.min_by(column, id).alias(column), F.min(id).alias("__stub"))
+    open_rows = rows.join(done, key)
+    nth = F.row_number().over(W.partitionBy(key, owner).orderBy((F.col(id) != F.col("__stub")).cast("int"), id))
+    return open_rows.withColumn("__nth", nth).where(F.col("__nth") <= most + 1).select(id, owner, (F.col("__nth") == 1).alias("representative"), column)
+
+
+def backfilled(rows: DataFrame, column: str, value: Column, key: str, chunk: int, low: int, high: int) -> DataFrame:
+    """The rows of one chunk of keys that a backfill has to write: those whose column is still null, filled; ``low`` and ``high`` bound the run."""
+    return rows.where((F.col(key) >= low) & (F.col(key) < high) & F.col(column).isNull()).withColumn(column, value).withColumn("chunk", F.floor((F.col(key) - low) / chunk))
 
 
 def backfill_chunks(rows: DataFrame, key: str, size: int) -> DataFrame:
@@ -166,18 +190,3 @@ def reindex_triggers(stream: DataFrame, key: str, least: int, wait_ms: int) -> D
                 state.setTimeoutDuration(wait_ms)
 
     return stream.select(key).groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, n long, reason string", "seen long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def json_lines(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Events appended to a folder as files of JSON lines; a line that is no JSON gives nulls."""
-    text = spark.readStream.text(folder)
-    return text.select(F.from_json("value", schema).alias("e")).select("e.*")
-
-
-def whole_lines(pieces: DataFrame, group: str, seq: str, text: str) -> DataFrame:
-    """(group, nth, line) of a text that came in pieces: a line begun in one piece ends in a later one, an unfinished last line waits."""
-    own = pieces.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(seq, text))).alias("p"))
-    joined = F.array_join(F.transform("p", lambda x: x[text]), "")
-    lines = F.split(joined, "\n")
-    return own.select(group, F.posexplode(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("nth", "line"))
-
