@@ -78,7 +78,7 @@ def top_values(spark: SparkSession, sf: str) -> DataFrame:
 def topic_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Topics by repeated halving with their sizes; tests hold it against the rule."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    members = topics.assign(e, topics.fit_tree(e))
+    members = topics.assign(e, topics.fit(e))
     parent = F.regexp_extract("topic", r"^(.*)\.[01]$", 1)
     return members.groupBy("topic").agg(F.count(F.lit(1)).alias("messages")).withColumn("parent", F.when(parent != "", parent))
 
@@ -125,19 +125,41 @@ def vector_above_floor(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").where(cosine(F.col("embedding"), QUERY_VECTOR) >= 0.1).select("vec_id")
 
 
-@_R.query("SELECT l_returnflag, true AS near_distinct, true AS near_median FROM lineitem GROUP BY l_returnflag")
+@_R.query("SELECT vec_id AS id, 1::BIGINT AS leaves, true AS way FROM embeddings")
+def topic_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Every message lies in one leaf of the tree and in all that lead to it."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    members = topics.assign(e, topics.fit(e))
+    leaf = topics.leaves(members).withColumn("leaf", F.lit(True))
+    own = members.join(F.broadcast(leaf), "topic", "left").groupBy("id").agg(F.count("leaf").alias("leaves"), F.count(F.lit(1)).alias("n"), F.max_by("topic", F.length("topic")).alias("last"))
+    return own.select("id", "leaves", (F.col("n") == F.size(F.split("last", r"\."))).alias("way"))
+
+
+@_R.query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS near_parts, round(quantile_cont(l_extendedprice, 0.5), 2) AS median, true AS near_median FROM lineitem GROUP BY l_returnflag")
 def sketches(spark: SparkSession, sf: str) -> DataFrame:
-    """Approximate counts and quantiles stay near the exact ones."""
+    """Exact counts and medians, and whether the sketches' stay within three times their stated error."""
     g = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.countDistinct("l_partkey").alias("e"), F.percentile_approx("l_extendedprice", F.lit(0.5), F.lit(1000)).alias("q"), F.percentile("l_extendedprice", F.lit(0.5)).alias("m")
-    )
-    return g.select("l_returnflag", (F.abs(F.col("a") / F.col("e") - 1) < 0.1).alias("near_distinct"), (F.abs(F.col("q") / F.col("m") - 1) < 0.05).alias("near_median"))
+        F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.countDistinct("l_partkey").alias("parts"), F.percentile("l_extendedprice", F.lit(0.5)).alias("median"),
+        F.percentile_approx("l_extendedprice", F.lit(0.5), F.lit(1000)).alias("q"), F.percentile("l_extendedprice", F.lit(0.497)).alias("low"), F.percentile("l_extendedprice", F.lit(0.503)).alias("high"),
+    )
+    return g.select("l_returnflag", "parts", (F.abs(F.col("a") / F.col("parts") - 1) <= 0.06).alias("near_parts"), F.round("median", 2).alias("median"), F.col("q").between(F.col("low"), F.col("high")).alias("near_median"))
 
 
-@_R.query("SELECT l_returnflag, true AS near FROM lineitem GROUP BY l_returnflag")
+@_R.query("SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) FILTER (WHERE l_linestatus = 'O') AS open_parts, true AS near_hll, true AS near_theta, true AS near_kll FROM lineitem GROUP BY l_returnflag")
 def sketches_merged(spark: SparkSession, sf: str) -> DataFrame:
-    """HyperLogLog sketches of parts add up to the whole's count."""
-    parts = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.hll_sketch_agg("l_suppkey", F.lit(12)).alias("s"))
-    whole = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_suppkey").alias("e"))
-    merged = parts.groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("a"))
-    return merged.join(whole, "l_returnflag").select("l_returnflag", (F.abs(F.col("a") / F.col("e") - 1) < 0.1).alias("near"))
+    """Sketches of parts merged: HyperLogLog and theta counts and a KLL median beside the exact values, within three times their stated errors."""
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    parts = l.groupBy("l_returnflag", "l_linestatus").agg(
+        F.hll_sketch_agg("l_suppkey", F.lit(12)).alias("hll"), F.expr("theta_sketch_agg(CASE WHEN l_linestatus = 'O' THEN l_partkey END, 12)").alias("theta"), F.expr("kll_sketch_agg_double(l_quantity)").alias("kll")
+    )
+    merged = parts.groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("h"), F.expr("theta_sketch_estimate(theta_union_agg(theta, 12))").alias("t"), F.expr("kll_sketch_get_quantile_double(kll_merge_agg_double(kll), 0.5D)").alias("k"))
+    whole = l.groupBy("l_returnflag").agg(F.countDistinct("l_suppkey").alias("suppliers"), F.countDistinct(F.when(F.col("l_linestatus") == "O", F.col("l_partkey"))).alias("open_parts"), F.percentile("l_quantity", F.lit(0.46)).alias("low"), F.percentile("l_quantity", F.lit(0.54)).alias("high"))
+    near = lambda a, e: F.abs(F.col(a) - F.col(e)) <= 0.05 * F.col(e)
+    return merged.join(whole, "l_returnflag").select("l_returnflag", "suppliers", "open_parts", near("h", "suppliers").alias("near_hll"), near("t", "open_parts").alias("near_theta"), F.col("k").between(F.col("low"), F.col("high")).alias("near_kll"))
+
+
+@_R.query("SELECT source AS item, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, item LIMIT 3")
+def sketch_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The commonest sources by a bounded counter, which is exact while there are fewer values than it tracks."""
+    found = table(spark, sf, "documents").agg(F.expr("approx_top_k(source, 40, 10000)").alias("top"))
+    return found.select(F.inline("top")).select("item", F.col("count").alias("n")).orderBy(F.desc("n"), "item").limit(3)
