@@ -149,13 +149,6 @@ def test_not_in_nulls(spark):
     assert filters.not_in(own, "a", other(), "b").count() == 3
 
 
-def test_text_search_phrase(spark):
-    m = spark.createDataFrame([("1", "draw request", "a", "b", "x"), ("2", "request to draw", "a", "b", "x"), ("3", "none", "a", "b", "x"), ("4", None, "a", "b", None)], "id string, subject string, from_addr string, to_addr string, body_text string")
-    a = spark.createDataFrame([(9, "3", "file", "the draw is here"), (10, "4", None, None)], "id long, message_id string, filename string, extracted_text string")
-    got = {r["id"]: r["score"] for r in search.text_search(m, a, ["draw", "request"]).collect()}
-    assert set(got) == {"1", "2", "3"} and got["1"] == 1.0 and got["1"] > got["2"]
-
-
 def test_fact_values():
     assert facts.conflicting("bought in 2022", "bought in 2024") and not facts.conflicting("plate 7ABC123", "7abc123 is the plate")
     assert facts.fact_terms("what cars do I own") == ["cars", "car"]

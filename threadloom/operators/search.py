@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.sources.word_index import WordIndex
+
 K1, B = 1.2, 0.75
 MESSAGE_FIELDS, ATTACHMENT_FIELDS = ("subject", "from_addr", "to_addr", "body_text"), ("filename", "extracted_text")
 # fixed values: the blend's weights and the label scores
@@ -96,17 +98,15 @@ def bm25(docs: DataFrame, terms: list[str], id: str, text: str) -> DataFrame:
     return _scored(_counted(docs, id, [F.col(text)], terms), 1, len(terms)).select("id", F.round("any", 6).alias("score"))
 
 
-def text_search(messages: DataFrame, attachments: DataFrame, terms: list[str], phrase_weight: float = 1.5) -> DataFrame:
-    """(id, score) of messages with a term in any field of theirs or of their attachments.
+def text_search(messages: WordIndex, attachments: WordIndex, owners: DataFrame, terms: list[str], phrase_weight: float = 1.5) -> DataFrame:
+    """(id, score) of messages with a term in any field of theirs or of their attachments (``owners``: id, message_id).
 
     A message's score is the best of its own and its attachments', each by its words or,
     weighted, by the phrase they make, scaled to 0..1 over all that match.
     """
     best = F.greatest(F.col("any"), phrase_weight * F.col("phrase")).alias("score")
-    own = _scored(_counted(messages, "id", [F.col(f) for f in MESSAGE_FIELDS], terms), len(MESSAGE_FIELDS), len(terms)).select("id", best)
-    held = _scored(_counted(attachments, "id", [F.col(f) for f in ATTACHMENT_FIELDS], terms), len(ATTACHMENT_FIELDS), len(terms)).select("id", best)
-    held = attachments.select("id", "message_id").join(held, "id").select(F.col("message_id").alias("id"), "score")
-    found = own.union(held).groupBy("id").agg(F.max("score").alias("score"))
+    held = owners.select("id", "message_id").join(attachments.scores(terms).where("any > 0").select("id", best), "id").select(F.col("message_id").alias("id"), "score")
+    found = messages.scores(terms).where("any > 0").select("id", best).union(held).groupBy("id").agg(F.max("score").alias("score"))
     return min_max(found, "score", 1.0).withColumn("score", F.round("score", 6))
 
 

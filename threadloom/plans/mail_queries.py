@@ -10,6 +10,7 @@ from threadloom.functions import text as tx
 from threadloom.functions import urls
 from threadloom.operators import rollups, search
 from threadloom.sources.mail import table, with_views
+from threadloom.sources.word_index import WordIndex, index_of
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -218,21 +219,30 @@ def vector_restricted(spark: SparkSession, sf: str) -> DataFrame:
     return search.vector_topk(table(spark, sf, "msg_embeddings").join(m, "message_id", "left_semi"), QUERY_VECTOR, 10)
 
 
-_BM25 = f"""SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM (
+def bm25_sql(terms: list[str]) -> str:
+    """SQL for BM25 of ``terms`` over ``toks`` (id, words)."""
+    return f"""SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM (
     SELECT t.*, count(*) OVER (PARTITION BY term) AS df, w.n, w.avgdl FROM (
-      SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(words) AS dl, unnest(list_filter(words, lambda x: list_contains({TERMS}, x))) AS term FROM toks) GROUP BY id, dl, term) t,
+      SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(words) AS dl, unnest(list_filter(words, lambda x: list_contains({terms}, x))) AS term FROM toks) GROUP BY id, dl, term) t,
       (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM toks) w) GROUP BY id"""
+
+
+_BM25 = bm25_sql(TERMS)
 _TOKS = "toks AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS words FROM documents)"
 
 
+def _documents(spark: SparkSession, sf: str) -> WordIndex:
+    return index_of(spark, "documents", table(spark, sf, "documents"), "doc_id", ["text"])
+
+
 @query(f"WITH {_TOKS} {_BM25}")
 def bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return search.bm25(table(spark, sf, "documents"), TERMS, "doc_id", "text")
+    return _documents(spark, sf).bm25(TERMS)
 
 
 @query(f"WITH {_TOKS}, s AS ({_BM25}) SELECT id, round(CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1.0 END, 6) AS score FROM s")
 def bm25_normalized(spark: SparkSession, sf: str) -> DataFrame:
-    scored = search.bm25(table(spark, sf, "documents"), TERMS, "doc_id", "text")
+    scored = _documents(spark, sf).bm25(TERMS)
     return search.min_max(scored, "score", 1.0).withColumn("score", F.round("score", 6))
 
 
@@ -245,7 +255,7 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     def ranked(df: DataFrame) -> DataFrame:
         return df.orderBy(F.desc("score"), "id").limit(200).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
 
-    b = ranked(search.bm25(table(spark, sf, "documents"), TERMS, "doc_id", "text"))
+    b = ranked(_documents(spark, sf).bm25(TERMS))
     v = ranked(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.round(search.dot(F.col("embedding"), QUERY_VECTOR), 6).alias("score")))
     return search.fuse(b, v)
 

@@ -10,6 +10,7 @@ from threadloom.operators import facts, filters, gate, search
 from threadloom.plans.mail_queries import _DOT, _HAS, QUERY_VECTOR, USER
 from threadloom.plans.registry import Registry
 from threadloom.sources.mail import table
+from threadloom.sources.word_index import index_of
 
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.oracle
@@ -109,7 +110,8 @@ _SUMS = [
 )
 def text_search(spark: SparkSession, sf: str) -> DataFrame:
     """Messages by words and phrase over all their fields and those of their attachments, scaled to 0..1."""
-    return search.text_search(table(spark, sf, "messages"), table(spark, sf, "attachments"), PAIR)
+    m, a = table(spark, sf, "messages"), table(spark, sf, "attachments")
+    return search.text_search(index_of(spark, "messages", m, "id", search.MESSAGE_FIELDS), index_of(spark, "attachments", a, "id", search.ATTACHMENT_FIELDS), a, PAIR)
 
 
 QUESTION = "what are the tion and eron blees"

@@ -7,13 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import cleaning
-from threadloom.operators import joins, merges, rollups, search
-from threadloom.plans.mail_queries import _BM25, _DOT, _HAS, AS_OF, QUERY_VECTOR, TERMS, USER
+from threadloom.operators import engine, filters, joins, merges, rollups, search
+from threadloom.plans.mail_queries import _DOT, _HAS, AS_OF, QUERY_VECTOR, TERMS, USER, bm25_sql
 from threadloom.sources.mail import table, with_views
+from threadloom.sources.word_index import index_of
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-PHRASE = "the"
 PRICES = [("1", 1.0), ("1-U", 2.5), ("2-", 2.0), ("4-NOT", 4.0), ("4", 3.0)]
 
 
@@ -182,38 +182,68 @@ _SCALED = "CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(s
 _HAS_ANY = "list_contains(labels, '{}')".format
 
 
-@query(
-    f""", own AS (SELECT * FROM messages WHERE user_id = '{USER}'), toks AS (SELECT id, regexp_extract_all(lower(body_text), '[\\p{{L}}\\p{{N}}_]+') AS words FROM own), s AS ({_BM25}),
-    b AS (SELECT id, {_SCALED.format('1.0')} AS score FROM s),
-    v AS (SELECT id, {_SCALED.format('0.0')} AS score FROM (SELECT message_id AS id, max(round({_DOT.format(v='embedding')}, 6)) AS score FROM msg_embeddings WHERE message_id IN (SELECT id FROM own) GROUP BY 1)),
+def _blended_sql(passes: list[list[str]], phrase: str, boost: float, only: str) -> str:
+    """SQL for every matching thread's score, as views; ``only`` says which messages may match."""
+    scored = ", ".join(f"s{k} AS (SELECT id, {_SCALED.format('1.0')} AS score FROM ({bm25_sql(p)}) WHERE id IN (SELECT id FROM own WHERE {only}))" for k, p in enumerate(passes))
+    return f""", own AS (SELECT * FROM messages WHERE user_id = '{USER}'), toks AS (SELECT id, regexp_extract_all(lower(body_text), '[\\p{{L}}\\p{{N}}_]+') AS words FROM own), {scored},
+    b AS (SELECT id, max(score) AS score FROM ({' UNION ALL '.join(f'SELECT * FROM s{k}' for k in range(len(passes)))}) GROUP BY id),
+    v AS (SELECT id, {_SCALED.format('0.0')} AS score FROM (SELECT message_id AS id, max(round({_DOT.format(v='embedding')}, 6)) AS score FROM msg_embeddings WHERE message_id IN (SELECT id FROM own WHERE {only}) GROUP BY 1)),
     hit AS (SELECT coalesce(b.id, v.id) AS id, coalesce(v.score, 0) AS sim, coalesce(b.score, 0) AS bm25 FROM b FULL JOIN v ON b.id = v.id),
     th AS (SELECT thread_id, max(sim) AS sim, max(bm25) AS bm25, count(*) AS matched FROM hit JOIN own USING (id) GROUP BY 1),
     per AS (SELECT from_addr, round(ln(count(*) + 1) / ln(max(count(*)) OVER () + 1), 6) AS score, row_number() OVER (ORDER BY count(*) DESC, from_addr) AS nth FROM own GROUP BY 1),
-    sm AS (SELECT thread_id, count(*) AS n, max(date) AS date_last, arg_min(subject, (date, id)) AS subject, list_distinct(flatten(list(string_split(labels_csv, ',')))) AS labels,
+    sm AS (SELECT thread_id, count(*) AS n, max(date) AS date_last, arg_min(subject, (date, id)) AS subject, arg_min(from_addr, (date, id)) AS sender, list_distinct(flatten(list(string_split(labels_csv, ',')))) AS labels,
       max(per.score) AS contact, bool_or(per.nth = 1) AS replied FROM own JOIN per USING (from_addr) GROUP BY 1),
     x AS (SELECT *, exp(-0.693 * greatest((epoch(TIMESTAMP '2024-01-31') - epoch(CAST(substr(date_last, 1, 19) AS TIMESTAMP))) / 86400, 0) / 60) AS fresh,
-      greatest(0.0, least(1.0, {' + '.join(f"CASE WHEN {_HAS_ANY(k)} THEN {w} ELSE 0 END" for k, w in search.LABEL_SCORES.items())}))::DOUBLE AS label FROM th JOIN sm USING (thread_id))
-    SELECT thread_id, round({_W['sim']} * sim + {_W['bm25']} * bm25 + {_W['recency']} * fresh + {_W['labels']} * label + CASE WHEN replied THEN {_W['replied']} ELSE 0 END + {_W['density']} * least(matched / n, 1)
+      greatest(0.0, least(1.0, {' + '.join(f"CASE WHEN {_HAS_ANY(k)} THEN {w} ELSE 0 END" for k, w in search.LABEL_SCORES.items())}))::DOUBLE AS label FROM th JOIN sm USING (thread_id)),
+    blended AS (SELECT thread_id, n, subject, sender, round(({_W['sim']} - {boost}) * sim + {_W['bm25']} * bm25 + ({_W['recency']} + {boost}) * fresh + {_W['labels']} * label + CASE WHEN replied THEN {_W['replied']} ELSE 0 END + {_W['density']} * least(matched / n, 1)
       + {_W['tsize']} * CASE WHEN n > 1 THEN least(ln(n) / ln(50), 1) ELSE 0 END + {_W['contact']} * contact
-      + {_W['fresh']} * greatest(sim, CASE WHEN max(bm25) OVER () > 0 THEN bm25 / max(bm25) OVER () ELSE 0 END, CASE WHEN contains(lower(subject), '{PHRASE}') THEN 1 ELSE 0 END) * fresh, 6)::DOUBLE AS score FROM x""",
-    "messages",
-    "msg_embeddings",
-)
-def search_blend(spark: SparkSession, sf: str) -> DataFrame:
-    """Every matching thread of a tenant with its blended score."""
+      + {_W['fresh']} * greatest(sim, CASE WHEN max(bm25) OVER () > 0 THEN bm25 / max(bm25) OVER () ELSE 0 END, CASE WHEN contains(lower(subject), '{phrase}') THEN 1 ELSE 0 END) * fresh, 6)::DOUBLE AS score FROM x)"""
+
+
+def _box(spark: SparkSession, sf: str) -> engine.Mailbox:
     own = table(spark, sf, "messages").where(F.col("user_id") == USER)
-    bm25 = search.min_max(search.bm25(own, TERMS, "id", "body_text"), "score", 1.0).select("id", F.col("score").alias("bm25"))
-    near = table(spark, sf, "msg_embeddings").select(F.col("message_id").alias("id"), "embedding").join(own.select("id"), "id", "left_semi")
-    best = near.groupBy("id").agg(F.max(F.round(search.dot(F.col("embedding"), QUERY_VECTOR), 6)).alias("sim"))
-    hits = bm25.join(search.min_max(best, "sim", 0.0), "id", "full").join(own.select("id", "thread_id", "from_addr"), "id")
-    matched = hits.groupBy("thread_id").agg(F.coalesce(F.max("sim"), F.lit(0.0)).alias("sim"), F.coalesce(F.max("bm25"), F.lit(0.0)).alias("bm25"), F.count(F.lit(1)).alias("matched"))
-
-    contacts = rollups.contact_frequency(own).select("email", F.col("score").alias("contact"))
-    owner = own.groupBy("from_addr").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "from_addr").limit(1).select("from_addr", F.lit(True).alias("is_owner"))
-    senders = own.withColumn("email", rollups.email_of(F.col("from_addr"))).join(contacts, "email", "left").join(F.broadcast(owner), "from_addr", "left")
-    people = senders.groupBy("thread_id").agg(F.coalesce(F.max("contact"), F.lit(0.0)).alias("contact"), F.coalesce(F.bool_or("is_owner"), F.lit(False)).alias("replied"))
-    threads = matched.join(rollups.thread_summary(own), "thread_id").join(people, "thread_id")
-    return search.blend(threads, AS_OF, PHRASE).select("thread_id", F.round("score", 6).alias("score"))
+    near = table(spark, sf, "msg_embeddings").where(F.col("user_id") == USER)
+    return engine.Mailbox(own, near, index_of(spark, f"bodies-{USER}", own, "id", ["body_text"]))
+
+
+@query(_blended_sql([["the", "of", "tion"]], " ".join(TERMS), 0.0, "true") + " SELECT thread_id, score FROM blended", "messages", "msg_embeddings")
+def search_blend(spark: SparkSession, sf: str) -> DataFrame:
+    """Every matching thread of a tenant with its blended score; "and" is an operator's word and not searched for."""
+    found = engine.blended(_box(spark, sf), engine.Question(" ".join(TERMS), QUERY_VECTOR, as_of=AS_OF))
+    return found.select("thread_id", F.round("score", 6).alias("score"))
+
+
+ASKED, ALIASES = "latest the of", {"the": ["er", "tion"]}
+_ASKED_SQL = _blended_sql([["latest", "the", "er", "tion", "of"], ["latest", "the", "of"]], ASKED, 0.3, "contains(lower(from_addr), 'src1')")
+_SHOWN_SQL = """, once AS (SELECT * FROM (SELECT *, row_number() OVER g AS nth, count(*) OVER (PARTITION BY sender, pattern, n = 1) AS many FROM (SELECT *, regexp_replace(regexp_replace(trim(lower(subject)), '^(re|fwd|fw):\\s*', ''), '[0-9]+', '#', 'g') AS pattern FROM blended)
+      WINDOW g AS (PARTITION BY sender, pattern, n = 1 ORDER BY score DESC, thread_id)) WHERE n > 1 OR many < 3 OR nth = 1),
+    head AS (SELECT *, row_number() OVER (ORDER BY score DESC, thread_id) AS k, max(score) OVER () AS best FROM (SELECT * FROM once ORDER BY score DESC, thread_id LIMIT 40)),
+    shown AS (SELECT thread_id, score, k FROM head WHERE best <= 0 OR score >= 0.4 * best OR ((SELECT count(*) FROM head WHERE best <= 0 OR score >= 0.4 * best) < 3 AND k <= 3) ORDER BY score DESC, thread_id LIMIT 20)"""
+
+
+@query(_ASKED_SQL + " SELECT thread_id, score FROM blended", "messages", "msg_embeddings")
+def search_asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores where only some senders' mail may match, a word has aliases, and the question asks for recent mail."""
+    box = _box(spark, sf)
+    only = filters.candidates(box.messages, table(spark, sf, "attachments"), sender="src1")
+    return engine.blended(box, engine.Question(ASKED, QUERY_VECTOR, ALIASES, only, AS_OF)).select("thread_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    _ASKED_SQL + _SHOWN_SQL + """, close AS (SELECT count(*) > 3 AND max(score) FILTER (WHERE k <= 5) - min(score) FILTER (WHERE k <= 5) < 0.05 AS again FROM (SELECT score, row_number() OVER (ORDER BY score DESC, thread_id) AS k FROM shown))
+    SELECT thread_id, score, row_number() OVER (ORDER BY CASE WHEN again AND ends THEN 0 ELSE 1 END, CASE WHEN again AND ends THEN thread_id END DESC, score DESC, thread_id) AS place FROM (SELECT *, thread_id LIKE '%1' OR thread_id LIKE '%2' OR thread_id LIKE '%3' AS ends FROM shown), close""",
+    "messages", "msg_embeddings",
+)
+def search_threads(spark: SparkSession, sf: str) -> DataFrame:
+    """What such a search shows, ordered anew by another ranking (here: some threads by number) if the best lie close together."""
+    box = _box(spark, sf)
+    only = filters.candidates(box.messages, table(spark, sf, "attachments"), sender="src1")
+
+    def rerank(found: DataFrame) -> DataFrame:
+        some = found.where(F.col("thread_id").rlike("[123]$")).select("thread_id")
+        return some.withColumn("place", -F.col("thread_id").cast("long"))
+
+    return engine.ranked(box, engine.Question(ASKED, QUERY_VECTOR, ALIASES, only, AS_OF), rerank=rerank)
 
 
 @query("SELECT start, count(*) AS n FROM (SELECT date_trunc('hour', ts) - to_hours(k) AS start FROM events, (VALUES (0), (1)) v(k)) GROUP BY start")
