@@ -418,9 +418,10 @@ def _vectors():
     return rows
 
 
-def test_vector_dedup(spark):
+@pytest.mark.parametrize("block", [8, 4096])
+def test_vector_dedup(spark, block):
     rows = _vectors()
-    got = {r["vec_id"]: r for r in vec_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=16).collect()}
+    got = {r["vec_id"]: r for r in vec_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=16, block=block).collect()}
     fine = [(i, np.array(v, float), c) for i, v, c in rows if v and None not in v and np.isfinite(v).all() and any(v) and c is not None]
     links = {i: [j for j, w, d in fine if j != i and c == d and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98] for i, v, c in fine}
     for i, *_ in rows:
@@ -433,22 +434,55 @@ def test_vector_dedup(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(links.get(i, [])), min(seen), min(seen) == i)
 
 
-def test_nearest(spark):
-    rows = [r for r in _vectors() if r[0] not in (308, 309)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = ivfpq.search(table, F.col("vec_id") % 20 == 0, k=20).collect()
+def _nearest_hits(rows, got, k=20):
+    """(found, all) of the true nearest, over queries of distinct ids."""
     fine = [(i, np.array(v, float)) for i, v, _ in rows if v and None not in v and np.isfinite(v).all() and any(v)]
     hits = total = 0
     for i, v in fine:
         if i % 20 == 0:
-            want = sorted(((-(v @ w), j) for j, w in fine if j != i))[:20]
+            want = sorted(((-(v @ w), j) for j, w in fine if j != i and len(v) == len(w)))[:k]
             own = sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])
-            assert [r["rank"] for r in own] == list(range(1, 21))
-            hits, total = hits + len({j for _, j in want} & {r["vec_id"] for r in own}), total + 20
+            assert [r["rank"] for r in own] == list(range(1, len(want) + 1))
+            assert all(round(float(v @ dict(fine)[r["vec_id"]]), 9) == round(r["score"], 9) for r in own)
+            hits, total = hits + len({j for _, j in want} & {r["vec_id"] for r in own}), total + len(want)
+    return hits, total
+
+
+def test_nearest(spark):
+    rows = _vectors() + [(400, [2.0], 0), (401, [3.0], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    hits, total = _nearest_hits(rows, ivfpq.search(table, F.col("vec_id") % 20 == 0, k=20).collect())
     assert hits >= 0.95 * total
     assert ivfpq.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_by_the_index(spark):
+    """A sample smaller than the table, fewer lists visited than there are, lists of several blocks."""
+    rng = np.random.RandomState(4)
+    centres = rng.normal(size=(120, 24))
+    rows = [(k, (centres[k % 120] + 0.35 * rng.normal(size=24)).tolist(), 0) for k in range(9000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    x = np.array([r[1] for r in rows])
+    index = ivfpq.Index(x[:4000], len(rows), 20)
+    assert index.probes < len(index.centroids) == 125
+    got = ivfpq.search(table, F.col("vec_id") % 200 == 0, k=20, sample=4000).collect()
+    hits = total = 0
+    for i in range(0, 9000, 200):
+        s = x @ x[i]
+        s[i] = -np.inf
+        want = set(np.lexsort((np.arange(9000), -s))[:20].tolist())
+        own = [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])]
+        assert len(own) == 20
+        hits, total = hits + len(want & set(own)), total + 20
+    assert hits >= 0.95 * total
+
+
+def test_nearest_of_repeated_ids(spark):
+    rows = [(k, [float(k), 1.0], 0) for k in range(1, 7)] + [(20, [1.0, 0.0], 0), (20, [1.0, 0.0], 0), (20, [-1.0, 0.0], 0)]
+    got = ivfpq.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 20 == 0, k=2).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 1, -1.0), (1, 6, 6.0), (2, 2, -2.0), (2, 5, 5.0)]
+
+
 def test_one_kept_table_per_worker():
     from threadloom.llm import shared
 

@@ -12,7 +12,9 @@ visit it, so a task holds one block and lets any number of queries pass by, and
 vector is copied for them.  Ties go to the smaller id.  Null, zero or non-finite vectors
 and null ids take no part; vectors of different lengths are searched apart, each length
 with an index of its own; fewer candidates than ``k`` are all returned; rows that
-repeat the query's id are not its candidates; an empty table gives an empty table.
+repeat the query's id are not its candidates.  Query rows of equal id and vector are one
+query, rows of equal id and other vectors are searched each for itself, so ranks of that id come again
+(told apart by nothing, as the id is all that is asked for).  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 from threadloom.llm.shared import cut
 from threadloom.llm.vec_dedup import matrix
 
-#: Vectors the index may be fitted to, the least number of lists, parts of a vector, recall sought on the sample.
+#: Vectors the index may be fitted to, the least number of lists, vectors of the sample a list's centroid needs, parts of a vector, recall sought on the sample.
 SAMPLE = 20_000
 LISTS = 64
+PER_CENTROID = 32
 PARTS = 16
 RECALL = 0.98
 #: Vectors of a list block, queries ranked at once, the least number of a block's vectors that are ranked exactly.
@@ -65,7 +68,7 @@ class Index:
         x = x.astype(np.float32)
         self.dim = dim
         self.edges = np.linspace(0, dim, min(PARTS, dim) + 1).astype(int)
-        self.centroids = kmeans(x, max(LISTS, int(np.sqrt(total) / 8)))
+        self.centroids = kmeans(x, max(LISTS, min(int(4 * np.sqrt(total)), len(x) // PER_CENTROID)))
         own = self.nearest(x)
         rest = x - self.centroids[own]
         self.books = [kmeans(rest[:, a:b], 256, seed=5 + a) for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
@@ -94,7 +97,7 @@ class Index:
         return int(ranks[min(len(ranks) - 1, int(np.ceil(RECALL * len(ranks))))]) + 1
 
 
-_FOUND = ["query_id", "vec_id", "score"]
+_FOUND = ["query_id", "row", "vec_id", "score"]
 
 
 class _Block:
@@ -111,7 +114,7 @@ class _Block:
         self.margin = MARGIN * np.sqrt(((self.x - coded) ** 2).sum(1).mean() / index.dim)
 
     def best(self, asker: np.ndarray, q_all: np.ndarray, k: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, vector, score) of the ``k`` best in the block of each query."""
+        """(number of the query, vector, score) of the ``k`` best in the block of each query."""
         index, ids = self.index, self.ids
         out, take = [], min(depth, len(ids))
         q = q_all.astype(np.float32)
@@ -130,7 +133,7 @@ class _Block:
             at = np.flatnonzero(chosen[r] & (guess[r] > -np.inf))
             s = self.x[at] @ q_all[r]
             best = np.lexsort((ids[at], -s))[:k]
-            out.append((np.full(len(best), asker[r]), ids[at][best], s[best]))
+            out.append((np.full(len(best), r), ids[at][best], s[best]))
         return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
 
@@ -158,11 +161,11 @@ def _searched(sent, k: int, depth: int):
                     continue
                 if block is None:
                     block = _Block(index, of[0], parts)
-                asker = rows.column(3).to_numpy()
-                q, _ = matrix(rows.column(4), index.dim)
+                asker, row = rows.column("id").to_numpy(), rows.column("row").to_numpy()
+                q, _ = matrix(rows.column("vector"), index.dim)
                 for i in range(0, len(asker), QUERIES):
-                    found = block.best(asker[i : i + QUERIES], q[i : i + QUERIES], k, depth)
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, found)], _FOUND)
+                    nth, near, score = block.best(asker[i : i + QUERIES], q[i : i + QUERIES], k, depth)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (asker[i + nth], row[i + nth], near, score)], _FOUND)
 
     return run
 
@@ -201,15 +204,16 @@ def _search(rows: DataFrame, dim: int, total: int, k: int, sample: int, depth: i
             v = matrix(batch.column(1), dim)[0].astype(np.float32)
             lists = index.order(v)[:, : index.probes].astype(np.int32)
             edge = pa.array(np.arange(len(v) + 1, dtype=np.int32) * lists.shape[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(edge, pa.array(lists.ravel()))], ["query_id", "vector", "lists"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(edge, pa.array(lists.ravel()))], ["query_id", "vector", "row", "lists"])
 
     stored = cut(rows.mapInArrow(assign, "vec_id long, vector array<double>, asks boolean, list int, codes binary"))
     salts = {r["list"]: -(-r["n"] // LIST_BLOCK) for r in stored.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     many = F.element_at(F.array(*(F.lit(int(salts.get(c, 1))) for c in range(len(index.centroids)))), F.col("list") + 1)
-    base = stored.select("list", F.pmod(F.xxhash64("vec_id"), many).cast("int").alias("salt"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "vector", "codes")
-    asked = stored.where("asks").select(F.col("vec_id").alias("query_id"), "vector").mapInArrow(visit, "query_id long, vector array<double>, lists array<int>")
-    asked = asked.select("query_id", "vector", F.explode("lists").alias("list")).select("list", F.explode(F.sequence(F.lit(0), many - 1)).alias("salt"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "vector", F.lit(None).cast("binary").alias("codes"))
+    base = stored.select("list", F.pmod(F.xxhash64("vec_id"), many).cast("int").alias("salt"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("row"), "vector", "codes")
+    asking = stored.where("asks").select(F.col("vec_id").alias("query_id"), F.xxhash64("vector").alias("row"), "vector").dropDuplicates(["query_id", "row"])
+    asked = asking.select("query_id", "vector", "row").mapInArrow(visit, "query_id long, vector array<double>, row long, lists array<int>")
+    asked = asked.select("query_id", "row", "vector", F.explode("lists").alias("list")).select("list", F.explode(F.sequence(F.lit(0), many - 1)).alias("salt"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "row", "vector", F.lit(None).cast("binary").alias("codes"))
     both = base.union(asked).repartition("list", "salt").sortWithinPartitions("list", "salt", "kind", "id")
-    found = both.mapInArrow(_searched(sent, k, depth), "query_id long, vec_id long, score double")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = both.mapInArrow(_searched(sent, k, depth), "query_id long, row long, vec_id long, score double")
+    place = F.row_number().over(W.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

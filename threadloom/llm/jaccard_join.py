@@ -24,7 +24,8 @@ group emits all its pairs.
 
 Null or empty text: no shingles, no links.  Fewer words than a shingle has: the
 whole sequence is the one shingle.  Rows with a null key get their count and a null
-component.  Equal rows are equal sets.  Empty table: empty result.
+component.  Equal rows are equal sets.  Empty table: empty result.  Shingles are known by
+64-bit hashes of their words and sets by 64-bit hashes of their shingles: exact up to collisions of these.
 """
 
 from __future__ import annotations

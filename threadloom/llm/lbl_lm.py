@@ -9,7 +9,8 @@ The model predicts the class of the next token: the commonest words, the end, an
 add up to a prediction, whose product with a class vector plus a bias is the class's
 score.  It is trained by noise-contrastive estimation in numpy, each task going once
 over its own training documents from the same start; the parameters are then averaged
-by tokens.  Log normalisers of all context pairs come from matrix products, so token
+by tokens; so the fit depends on how rows are dealt to tasks, and another split of
+the same table gives slightly other scores, while the same split gives the same.  Log normalisers of all context pairs come from matrix products, so token
 probabilities are normalised.  A word outside the classes has its class's probability
 times its add-one share of that class.
 

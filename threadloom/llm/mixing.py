@@ -29,7 +29,8 @@ from threadloom.llm.shared import free_name
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 CAP = 2
-SALTS = 256
+#: The least number of buckets of a source's size class, and how many rows of the table ask for one more.
+SALTS, ROWS_PER_SALT = 256, 1_000_000
 SEED = "mix"
 NAMES = ("source_size", "target", "copies")
 
@@ -63,13 +64,15 @@ def _hash(text: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
-def sample(df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", seed: str = SEED, salts: int = SALTS, ties: tuple[Column, ...] = (), names: tuple[str, str, str] = NAMES) -> DataFrame:
+def sample(df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", seed: str = SEED, salts: int | None = None, ties: tuple[Column, ...] = (), names: tuple[str, str, str] = NAMES) -> DataFrame:
     """``df`` with its source's size and target and the copies the mix takes of the row, under ``names``.
 
     Columns of ``df`` that already have such a name give way to them.  ``ties`` order rows
-    of equal key and size.  ``df`` is read
-    twice: once for the bucket counts, once for the rows.
+    of equal key and size.  ``df`` is counted, and read
+    twice: once for the bucket counts, once for the rows.  The number of buckets (``salts``)
+    grows with the table, so a bucket's rows don't; the table alone decides it.
     """
+    salts = salts or max(SALTS, -(-df.count() // ROWS_PER_SALT))
     df = df.drop(*names)
     none, name, band, salt, place, of = (free_name(df, x) for x in ("__none", "__source", "__band", "__salt", "__place", "__of"))
     bits = F.bin(F.col(size))
@@ -77,7 +80,7 @@ def sample(df: DataFrame, key: str = "doc_id", source: str = "source", size: str
         df.withColumn(none, F.col(source).isNull())
         .withColumn(name, F.coalesce(F.col(source).cast("string"), F.lit("")))
         .withColumn(band, F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.rpad(F.substring(bits, 1, 4), 4, "0")))
-        .withColumn(salt, F.coalesce(_hash(F.col(key).cast("string"), 4) % salts, F.lit(0)))
+        .withColumn(salt, F.coalesce(_hash(F.col(key).cast("string"), 8) % salts, F.lit(0)))
     )
     bucket = [none, name, band, salt]
     counted = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("words"))

@@ -158,8 +158,8 @@ def _count_block(threshold: float):
     return run
 
 
-def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """(key, n_links, component_id, kept) of each row of ``df``."""
+def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """(key, n_links, component_id, kept) of each row of ``df``; a component's vectors are compared in blocks of ``block``."""
     rows = cut(_nodes(df, key, vector, label))
     reps = cut(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")))
     vectors = reps.select("node", "label", "vector")
@@ -169,7 +169,7 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
         found.append(cut(ordered.mapInArrow(_windows(threshold, window), "a long, b long")))
     comps = cut(components(reduce(DataFrame.union, found)))
     size = comps.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = reps.join(comps, "node").join(size, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = reps.join(comps, "node").join(size, "root").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = cut(members.select("root", "node", "copies", "vector", "blocks", "own"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sides = members.select("root", "node", "copies", "vector", F.col("own").alias("i"), other.alias("j"), F.lit(0).alias("side")).union(members.select("root", "node", "copies", "vector", other.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))
