@@ -464,7 +464,7 @@ def test_nearest_by_the_index(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
     x = np.array([r[1] for r in rows])
     index = ivfpq.Index(x[:4000], len(rows), 20)
-    assert index.probes < len(index.centroids) == 125
+    assert index.probes < len(index.centroids)
     got = ivfpq.search(table, F.col("vec_id") % 200 == 0, k=20, sample=4000).collect()
     hits = total = 0
     for i in range(0, 9000, 200):
