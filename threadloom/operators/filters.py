@@ -71,6 +71,14 @@ def contact_matches(contacts: DataFrame, messages: DataFrame, name: str = "email
     return contacts.select(F.lower(name).alias(name)).distinct().join(seen, name)
 
 
+def bulk(messages: DataFrame) -> DataFrame:
+    """Messages labelled as bulk mail, or with a header (structs name, value; may be null) that tells how to unsubscribe."""
+    from threadloom.functions.urls import looks_bulk
+
+    listed = F.coalesce(F.exists("headers", lambda h: F.lower(h["name"]) == "list-unsubscribe"), F.lit(False))
+    return messages.where(looks_bulk(F.col("labels")) | listed)
+
+
 def bulk_threads(messages: DataFrame) -> DataFrame:
     """Threads all of whose messages are bulk mail."""
     from threadloom.functions.urls import looks_bulk

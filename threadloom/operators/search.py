@@ -60,6 +60,23 @@ def funnel_topk(embeddings: DataFrame, query: list[float], k: int, pool: int, di
     return vector_topk(near, query, k, id)
 
 
+def hash_sample(rows: DataFrame, id: str, limit: int) -> DataFrame:
+    """About ``limit`` rows by a multiplicative hash of an integer id that any engine computes alike: every k-th of them, k = ceil(rows / limit)."""
+    every = max(1, -(-rows.count() // limit))
+    return rows.where(F.expr(f"(pmod({id} * 2654435761, 4294967296) DIV 65536) % {every} = 0"))
+
+
+def prefix_lookup(rows: DataFrame, column: str, prefix: str, most: int = 5) -> DataFrame:
+    """(outcome, found) of ids that begin with a prefix: one, many (the first ``most``), none, or invalid (no hexadecimal text of 4 to 20)."""
+    import re
+
+    fine = re.fullmatch(r"[0-9a-f]{4,20}", prefix) is not None
+    first = rows.where(F.col(column).startswith(prefix) if fine else F.lit(False)).select(column).distinct().orderBy(column).limit(most)
+    found = first.agg(F.array_sort(F.collect_list(column)).alias("found"))
+    outcome = F.when(F.lit(not fine), "invalid").when(F.size("found") == 0, "none").when(F.size("found") == 1, "one").otherwise("many")
+    return found.select(F.lit(prefix).alias("prefix"), outcome.alias("outcome"), F.array_join("found", " ").alias("found"))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 

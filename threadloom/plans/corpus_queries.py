@@ -49,11 +49,15 @@ def aliases_from_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 @_R.query(
     f"""WITH w AS (SELECT DISTINCT doc_id, lower(x) AS term, x = upper(x) AS caps FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(substr(text, 1, 0), '') || chr(10) || {_TEXT}, '[A-Za-z]{{2,5}}\\b')) AS x FROM documents))
-    SELECT term, caps_df, other_df FROM (SELECT term, count(*) FILTER (WHERE caps) AS caps_df, count(*) FILTER (WHERE NOT caps) AS other_df FROM w GROUP BY term) WHERE caps_df >= 5 AND caps_df / (caps_df + other_df) >= 0.7 ORDER BY caps_df DESC, term LIMIT 4000"""
+    SELECT f.term, caps_df, other_df, contexts FROM (SELECT term, caps_df, other_df FROM (SELECT term, count(*) FILTER (WHERE caps) AS caps_df, count(*) FILTER (WHERE NOT caps) AS other_df FROM w GROUP BY term) WHERE caps_df >= 5 AND caps_df / (caps_df + other_df) >= 0.7 ORDER BY caps_df DESC, term LIMIT 4000) f
+    JOIN (SELECT term, array_to_string(list(doc_id ORDER BY doc_id)[1:3], ' ') AS contexts FROM w WHERE caps GROUP BY term) USING (term)"""
 )
 def caps_vocabulary_gated(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.lit("").alias("subject"), _text().alias("body"))
-    return aliases.caps_vocabulary(d, "doc_id", "subject", "body").select("term", "caps_df", "other_df")
+    """Words mostly in capitals with the documents their first passages are from; each passage holds its word."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("#"), F.col("doc_id"), F.lit("#")).alias("subject"), _text().alias("body"))
+    got = aliases.caps_vocabulary(d, "doc_id", "subject", "body")
+    source = F.transform("contexts", lambda c: F.when(c.rlike("…") & F.contains(c, F.upper("term")), F.regexp_extract(c, "#([0-9]+)#", 1)).otherwise("missing"))
+    return got.select("term", "caps_df", "other_df", F.array_join(source, " ").alias("contexts"))
 
 
 @_R.query(

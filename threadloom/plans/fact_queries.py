@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.operators import spelling
 from threadloom.sources.mail import table, with_views
 
 QUERIES: dict = {}
@@ -27,11 +28,17 @@ def sender_parts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "messages").select("id", F.trim(F.split_part("from_addr", F.lit("<"), F.lit(1))).alias("name"), F.lower(address).alias("email"), F.split_part(address, F.lit("@"), F.lit(2)).alias("domain"))
 
 
-@query("SELECT id, CASE WHEN list_contains(string_split(labels_csv, ','), 'CATEGORY_PROMOTIONS') THEN 'Promotional email.' WHEN list_contains(string_split(labels_csv, ','), 'CATEGORY_SOCIAL') THEN 'Social notification.' END AS summary FROM messages", "messages")
+@query(
+    """SELECT id, CASE WHEN list_contains(string_split(labels_csv, ','), 'CATEGORY_PROMOTIONS') THEN 'Promotional email from ' || trim(split_part(from_addr, '<', 1)) || '.' WHEN list_contains(string_split(labels_csv, ','), 'CATEGORY_SOCIAL') THEN 'Social notification from ' || trim(split_part(from_addr, '<', 1)) || '.' END AS summary FROM messages""",
+    "messages",
+)
 def auto_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """A canned text for bulk mail, null for what needs a summary of its own."""
+    """A canned text for bulk mail with who sent it, null for what needs a summary of its own."""
+    name = F.trim(F.split_part("from_addr", F.lit("<"), F.lit(1)))
+    sender = F.when(name != "", name).otherwise(F.split_part("from_addr", F.lit("@"), F.lit(1)))
     promoted, social = (F.array_contains("labels", x) for x in ("CATEGORY_PROMOTIONS", "CATEGORY_SOCIAL"))
-    return table(spark, sf, "messages").select("id", F.when(promoted, "Promotional email.").when(social, "Social notification.").alias("summary"))
+    told = lambda what: F.concat(F.lit(f"{what} from "), sender, F.lit("."))
+    return table(spark, sf, "messages").select("id", F.when(promoted, told("Promotional email")).when(social, told("Social notification")).alias("summary"))
 
 
 @query("SELECT thread_id, count(DISTINCT l) AS labels, array_to_string(list_sort(list_distinct(list(l))), ' ') AS names FROM (SELECT thread_id, unnest(string_split(labels_csv, ',')) AS l FROM messages) WHERE l <> '' GROUP BY thread_id", "messages")
@@ -43,16 +50,6 @@ def label_union(spark: SparkSession, sf: str) -> DataFrame:
 _WORDS = "SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark"
 
 
-@query(
-    f"""WITH t AS ({_WORDS}), d AS (SELECT w, count(*) AS df FROM t GROUP BY w HAVING count(*) BETWEEN 2 AND 12)
-    SELECT x.w AS a, y.w AS b, count(*) AS both, round(count(*) / (p.df + q.df - count(*)), 6)::DOUBLE AS jaccard FROM t x JOIN t y ON x.item_id = y.item_id AND x.w < y.w JOIN d p ON p.w = x.w JOIN d q ON q.w = y.w
-    GROUP BY x.w, y.w, p.df, q.df HAVING count(*) / (p.df + q.df - count(*)) >= 0.25"""
-)
-def alias_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
-    """Words that appear together: only those in 2 to 12 texts pair, as the SQL has it; ``alias_cooccurrence_all`` has no upper bound."""
-    return _cooccurring(table(spark, sf, "benchmark"), 12)
-
-
 @query(
     f"""WITH t AS ({_WORDS}), d AS (SELECT w, count(*) AS df FROM t GROUP BY w HAVING count(*) >= 2)
     SELECT x.w AS a, y.w AS b, count(*) AS both, round(count(*) / (p.df + q.df - count(*)), 6)::DOUBLE AS jaccard FROM t x JOIN t y ON x.item_id = y.item_id AND x.w < y.w JOIN d p ON p.w = x.w JOIN d q ON q.w = y.w
@@ -98,16 +95,13 @@ def facts_pending(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT o_orderkey, arg_min(word, (levenshtein(o_word, word), word)) AS fixed FROM (SELECT o_orderkey, lower(c_mktsegment) || 'x' AS o_word FROM orders JOIN customer ON c_custkey = o_custkey), (SELECT DISTINCT lower(c_mktsegment) AS word FROM customer) WHERE levenshtein(o_word, word) <= 2 GROUP BY o_orderkey"
+    """WITH w AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,24}')) AS w FROM documents) GROUP BY 1), d AS (SELECT * FROM w WHERE n >= 20)
+    SELECT w.word, arg_min(d.word, (levenshtein(w.word, d.word), -d.n, d.word)) AS fixed, min(levenshtein(w.word, d.word))::INTEGER AS edits FROM w JOIN d ON abs(length(w.word) - length(d.word)) <= 2 AND levenshtein(w.word, d.word) <= 2 WHERE w.n < 20 GROUP BY w.word"""
 )
 def spell_correct(spark: SparkSession, sf: str) -> DataFrame:
-    """The nearest dictionary word within two edits; each distinct word is looked up once, among words of nearly its length."""
-    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lower("c_mktsegment").alias("segment"))
-    asked = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(customers, "o_custkey").select("o_orderkey", F.concat("segment", F.lit("x")).alias("typed"))
-    known = customers.select(F.col("segment").alias("word")).distinct().withColumn("size", F.length("word"))
-    near = F.explode(F.sequence(F.length("typed") - 2, F.length("typed") + 2))
-    tried = asked.select("typed").distinct().select("typed", near.alias("size")).join(known, "size").withColumn("d", F.levenshtein("typed", "word", 2)).where("d >= 0")
-    return asked.join(tried.groupBy("typed").agg(F.min_by("word", F.struct("d", "word")).alias("fixed")), "typed").select("o_orderkey", "fixed")
+    """Every rare word of the documents that is within two edits of a common one."""
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,24}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return spelling.corrected(words.where("n < 20"), words.where("n >= 20"))
 
 
 @query("SELECT id, operation, round(sum(estimated_cost_usd) OVER (PARTITION BY user_id, operation ORDER BY timestamp, id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS last_ten FROM costs", "costs")

@@ -324,9 +324,10 @@ def delta_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "messages").select("id", bucket.alias("bucket"), F.count(F.lit(1)).over(W.partitionBy(bucket)).alias("size"))
 
 
-@query("SELECT id FROM messages WHERE CAST(id AS BIGINT) * 7919 % 1009 < 101", "messages")
+@query("WITH c AS (SELECT greatest(1, ceil(count(*) / 300.0))::BIGINT AS k FROM documents) SELECT doc_id FROM documents, c WHERE (doc_id * 2654435761 % 4294967296) // 65536 % k = 0")
 def hash_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "messages").where("CAST(id AS BIGINT) * 7919 % 1009 < 101").select("id")
+    """About 300 documents, the same ones each time: one in so many by a hash of the id."""
+    return search.hash_sample(table(spark, sf, "documents").select("doc_id"), "doc_id", 300)
 
 
 @query("SELECT user_id, count(*) AS n, sum(length(payload))::BIGINT AS bytes FROM (SELECT agent_name AS user_id, payload FROM agent_events) GROUP BY user_id", "agent_events")

@@ -43,11 +43,24 @@ def not_in_orders(spark: SparkSession, sf: str) -> DataFrame:
     return filters.not_in(table(spark, sf, "customer").select("c_custkey"), "c_custkey", big, "o_custkey")
 
 
-@_R.query("SELECT c_custkey FROM customer WHERE c_nationkey = 1 AND c_custkey NOT IN (SELECT CASE WHEN o_custkey > 5 THEN o_custkey END FROM orders)")
+@_R.query(
+    """SELECT 'null' AS side, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_custkey > 5 THEN o_custkey END FROM orders)
+    UNION ALL SELECT 'none', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE false) UNION ALL SELECT 'some', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey > 5)"""
+)
 def not_in_null(spark: SparkSession, sf: str) -> DataFrame:
-    """A null on the other side leaves nothing."""
-    other = table(spark, sf, "orders").select(F.when(F.col("o_custkey") > 5, F.col("o_custkey")).alias("k"))
-    return filters.not_in(table(spark, sf, "customer").where("c_nationkey = 1").select("c_custkey"), "c_custkey", other, "k")
+    """How many customers pass where the other side holds a null (none do), nothing, or some keys."""
+    own, o = table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders")
+    sides = {"null": o.select(F.when(F.col("o_custkey") > 5, F.col("o_custkey")).alias("k")), "none": o.where("false").select(F.col("o_custkey").alias("k")), "some": o.where("o_custkey > 5").select(F.col("o_custkey").alias("k"))}
+    counts = [filters.not_in(own, "c_custkey", other, "k").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("side"), "n") for name, other in sides.items()]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@_R.query("SELECT id FROM messages WHERE history_id % 4 = 0 OR " + " OR ".join(_HAS(x) for x in ("CATEGORY_PROMOTIONS", "CATEGORY_UPDATES", "CATEGORY_SOCIAL", "CATEGORY_FORUMS")), "messages")
+def bulk_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Bulk mail by its labels, or by a header that tells how to unsubscribe."""
+    header = lambda name: F.struct(F.lit(name).alias("name"), F.lit("<mailto:x>").alias("value"))
+    headers = F.when(F.col("history_id") % 4 == 0, F.array(header("From"), header("LIST-Unsubscribe"))).when(F.col("history_id") % 4 == 1, F.array(header("From"), header("List-Id")))
+    return filters.bulk(table(spark, sf, "messages").withColumn("headers", headers)).select("id")
 
 
 @_R.query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderpriority = '1-URGENT')")

@@ -27,7 +27,7 @@ STATEMENTS: dict[str, tuple[str, str, str | None]] = {
     "setop_union": ("customer supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", None),
     "setop_intersect": ("customer supplier", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", None),
     "setop_except": ("orders lineitem", "SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity > 10", None),
-    "recursive_cte": ("nation", "WITH RECURSIVE t(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM t WHERE n < 20) SELECT n, total FROM t", None),
+    "recursive_cte": ("customer", "WITH RECURSIVE up(k, above, depth, worth) AS (SELECT c_custkey, c_custkey, 0, c_acctbal FROM customer UNION ALL SELECT k, floor(above / 2), depth + 1, c_acctbal FROM up JOIN customer ON c_custkey = floor(above / 2) WHERE above > 1) SELECT k, max(depth) AS depth, round(sum(worth), 2) AS worth FROM up GROUP BY k", "WITH RECURSIVE up(k, above, depth, worth) AS (SELECT c_custkey, c_custkey, 0, c_acctbal FROM customer UNION ALL SELECT k, above // 2, depth + 1, c_acctbal FROM up JOIN customer ON c_custkey = above // 2 WHERE above > 1) SELECT k, max(depth) AS depth, round(sum(worth), 2) AS worth FROM up GROUP BY k"),
     "scalar_subquery": ("orders", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)", None),
     "pivot_counts": ("orders", "SELECT * FROM (SELECT o_orderstatus, o_orderpriority FROM orders) PIVOT (count(*) AS n FOR o_orderstatus IN ('O' AS open, 'F' AS finished))", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'O') AS open, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished FROM orders GROUP BY 1"),
     "percentile_exact": ("lineitem", "SELECT l_returnflag, percentile(l_quantity, 0.5) AS med FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS med FROM lineitem GROUP BY l_returnflag"),

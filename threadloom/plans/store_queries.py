@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,9 +118,18 @@ def latest_per_thread(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.latest_per(table(spark, sf, "messages"), ["user_id", "thread_id"], F.desc("date"), F.desc("id")).select("user_id", "thread_id", "id", "date")
 
 
-@query("SELECT DISTINCT thread_id FROM messages WHERE starts_with(thread_id, '0000001') ORDER BY thread_id LIMIT 5", "messages")
+_PREFIXES = ("0000001", "00000012", "ffff", "000", "0000xyz")
+
+
+@query(
+    " UNION ALL ".join(f"""SELECT '{p}' AS prefix, CASE WHEN NOT regexp_full_match('{p}', '[0-9a-f]{{4,20}}') THEN 'invalid' WHEN count(*) = 0 THEN 'none' WHEN count(*) = 1 THEN 'one' ELSE 'many' END AS outcome,
+      CASE WHEN regexp_full_match('{p}', '[0-9a-f]{{4,20}}') THEN coalesce(array_to_string(list(thread_id ORDER BY thread_id)[:5], ' '), '') ELSE '' END AS found FROM (SELECT DISTINCT thread_id FROM messages WHERE starts_with(thread_id, '{p}'))""" for p in _PREFIXES).replace("SELECT '0000001'", " SELECT '0000001'", 1),
+    "messages",
+)
 def thread_lookup_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "messages").where(F.col("thread_id").startswith("0000001")).select("thread_id").distinct().orderBy("thread_id").limit(5)
+    """Threads by the beginning of their id: found one, several, none, or no id at all."""
+    m = table(spark, sf, "messages")
+    return reduce(DataFrame.union, (search.prefix_lookup(m, "thread_id", p) for p in _PREFIXES))
 
 
 @query("SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS asked, count(DISTINCT role) AS roles, max(turn) AS last_turn FROM conversations GROUP BY conv_id")

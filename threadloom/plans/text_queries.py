@@ -50,6 +50,22 @@ def token_limited(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", cleaning.limited(F.col("text"), 100).alias("head"))
 
 
+@_R.query("SELECT doc_id, string_agg(chunk, chr(10) || chr(10) ORDER BY place) = text AS whole, count(*) = 1 AS one FROM (SELECT doc_id, text, 0 AS place, text AS chunk FROM documents WHERE length(text) // 4 <= 500) GROUP BY doc_id, text")
+def chunks_lateral(spark: SparkSession, sf: str) -> DataFrame:
+    """``chunk_text`` in SQL: texts of at most 500 tokens are one chunk, themselves."""
+    chunking.register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("documents")
+    return spark.sql("SELECT doc_id, concat_ws('', collect_list(t.chunk)) = first(text) AS whole, count(*) = 1 AS one FROM documents, LATERAL chunk_text(text) t WHERE length(text) DIV 4 <= 500 GROUP BY doc_id")
+
+
+@_R.query("SELECT page_id, k::INTEGER AS place, CASE k WHEN 0 THEN url ELSE 'https://more.example/' || page_id END AS url FROM pages, (VALUES (0), (1)) v(k)")
+def urls_lateral(spark: SparkSession, sf: str) -> DataFrame:
+    """``extract_urls`` in SQL over texts with each page's address twice and another one."""
+    chunking.register(spark)
+    table(spark, sf, "pages").createOrReplaceTempView("pages")
+    return spark.sql("SELECT page_id, t.place, t.url FROM (SELECT page_id, concat('See ', url, ', ', url, '; https://more.example/', page_id, '.') AS body FROM pages), LATERAL extract_urls(body) t")
+
+
 @_R.query()
 def pages_main_text(spark: SparkSession, sf: str) -> DataFrame:
     """Title and main text of every page; tests hold it against pages whose parts are known."""

@@ -208,20 +208,20 @@ def summarize_queue(spark: SparkSession, sf: str) -> DataFrame:
     return due.select("id", "date").orderBy(F.desc("date"), "id")
 
 
-@_R.query("SELECT item_id, true AS fine FROM benchmark")
+@_R.query("SELECT item_id, CASE WHEN contains(text, 'hand') THEN NULL ELSE length(text) END AS length, CASE WHEN contains(text, 'hand') THEN NULL ELSE length(replace(text, 'e', '')) END AS others, CASE WHEN contains(text, 'hand') THEN NULL ELSE 1.0 END::DOUBLE AS unit, CASE WHEN contains(text, 'hand') THEN 'refused' END AS error FROM benchmark")
 def embedded_by_function(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts through an injected embedder that fails on some items of a batch: those alone have errors."""
+    """Facts through an injected embedder that fails on some items of a batch: those alone have errors, the others their own vectors."""
     plain = models.hash_embedder(8)
 
     def embed(texts: list[str]) -> list[list[float]]:
         if any("hand" in t for t in texts):
             raise ValueError("refused")
-        return plain(texts)
+        return [[float(len(t)), float(len(t.replace("e", "")))] + v for t, v in zip(texts, plain(texts), strict=True)]
 
     b = table(spark, sf, "benchmark").select("item_id", "text")
     got = models.called(b, "text", embed, "vector", "array<double>", batch=5)
-    bad = F.col("text").contains("hand")
-    return got.select("item_id", F.when(bad, F.col("vector").isNull() & (F.col("error") == "refused")).otherwise(F.col("error").isNull() & (F.size("vector") == 8)).alias("fine"))
+    unit = F.round(F.sqrt(F.aggregate(F.slice("vector", 3, 8), F.lit(0.0), lambda s, x: s + x * x)), 9)
+    return got.select("item_id", F.get("vector", F.lit(0)).cast("long").alias("length"), F.get("vector", F.lit(1)).cast("long").alias("others"), unit.alias("unit"), "error")
 
 
 @_R.query()
