@@ -66,9 +66,23 @@ def urls_lateral(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("SELECT page_id, t.place, t.url FROM (SELECT page_id, concat('See ', url, ', ', url, '; https://more.example/', page_id, '.') AS body FROM pages), LATERAL extract_urls(body) t")
 
 
-@_R.query()
+def _plain_sql(source: str) -> str:
+    """SQL for a page's text: tags are gaps, the character references these pages hold are read, white space is collapsed."""
+    out = f"regexp_replace({source}, '<[^>]*>', ' ', 'g')"
+    for mark, sign in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;?", "&")):
+        out = f"regexp_replace({out}, '{mark}', '{sign}', 'g')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+_SEEN = "regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->|<title>.*?</title>', '', 'gs')"
+
+
+@_R.query(
+    f"""WITH p AS (SELECT page_id, {_plain_sql("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title, {_plain_sql("regexp_extract(html, '<article>(.*?)</article>', 1, 's')")} AS own, {_plain_sql(_SEEN)} AS whole FROM pages)
+    SELECT page_id, title || chr(10) || chr(10) || CASE WHEN length(own) >= 250 THEN own ELSE whole END AS text FROM p"""
+)
 def pages_main_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Title and main text of every page; tests hold it against pages whose parts are known."""
+    """Title and main text of every page, the whole body where the main part is short."""
     return files.main_texts(table(spark, sf, "pages"))
 
 

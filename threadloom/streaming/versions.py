@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -105,9 +106,25 @@ class Versions:
         out.write(bytearray(told.encode()))
         out.close()
         target = self._path(f"{home}/{number}")
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
+        try:
+            if not self._put(draft, target):
+                raise Taken(f"version {number} was made by another writer")
+        finally:
             self._fs.delete(draft, False)
-            raise Taken(f"version {number} was made by another writer")
+
+    def _put(self, draft, target) -> bool:
+        """Give a file its name unless something has it; HDFS renames so, a local disk makes a link so."""
+        if self._fs.getUri().getScheme() != "file":
+            return self._fs.rename(draft, target)
+        nio = self.spark._jvm.java.nio.file
+        local = lambda p: nio.Path.of(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(self.spark._jvm.java.lang.String, 0))
+        try:
+            nio.Files.createLink(local(target), local(draft))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+        return True
 
     def clean(self, keep: int = 1) -> list[str]:
         """Remove pointers older than the newest ``keep + 1``, and bucket folders that none of those names; says what went."""
