@@ -139,14 +139,14 @@ def topic_members(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("id", "leaves", (F.col("n") == F.size(F.split("last", r"\."))).alias("way"))
 
 
-@_R.query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS near_parts, round(quantile_cont(l_extendedprice, 0.5), 2) AS median, true AS near_median FROM lineitem GROUP BY l_returnflag")
+@_R.query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS near_parts, round(quantile_cont(l_extendedprice, 0.5), 3) AS median, true AS near_median FROM lineitem GROUP BY l_returnflag")
 def sketches(spark: SparkSession, sf: str) -> DataFrame:
     """Exact counts and medians, and whether the sketches' stay within three times their stated error."""
     g = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
         F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.countDistinct("l_partkey").alias("parts"), F.percentile("l_extendedprice", F.lit(0.5)).alias("median"),
         F.percentile_approx("l_extendedprice", F.lit(0.5), F.lit(1000)).alias("q"), F.percentile("l_extendedprice", F.lit(0.497)).alias("low"), F.percentile("l_extendedprice", F.lit(0.503)).alias("high"),
     )
-    return g.select("l_returnflag", "parts", (F.abs(F.col("a") / F.col("parts") - 1) <= 0.06).alias("near_parts"), F.round("median", 2).alias("median"), F.col("q").between(F.col("low"), F.col("high")).alias("near_median"))
+    return g.select("l_returnflag", "parts", (F.abs(F.col("a") / F.col("parts") - 1) <= 0.06).alias("near_parts"), F.round("median", 3).alias("median"), F.col("q").between(F.col("low"), F.col("high")).alias("near_median"))
 
 
 @_R.query("SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) FILTER (WHERE l_linestatus = 'O') AS open_parts, true AS near_hll, true AS near_theta, true AS near_kll FROM lineitem GROUP BY l_returnflag")

@@ -289,11 +289,14 @@ def spell_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     SELECT term, count(*) FILTER (WHERE caps) AS caps_df, count(*) FILTER (WHERE NOT caps) AS other_df FROM t GROUP BY term HAVING count(*) FILTER (WHERE caps) > 0"""
 )
 def caps_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    """A text's words are made distinct in its own row (ids are unique), so only counts move."""
-    own = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    marked = F.array_distinct(F.transform(own, lambda t: F.concat(F.when(t.rlike("^[A-Z]{2,5}$"), "1").otherwise("0"), F.lower(t))))
-    seen = table(spark, sf, "documents").select(F.explode(marked).alias("m")).select(F.col("m").startswith("1").alias("caps"), F.substring("m", F.lit(2), F.length("m")).alias("term"))
-    return seen.groupBy("term").agg(F.count_if("caps").alias("caps_df"), F.count_if(~F.col("caps")).alias("other_df")).where("caps_df > 0")
+    """Words in capitals are found first; only for those are texts with another spelling counted."""
+    whole = lambda p: F.lit(rf"(?<![\p{{L}}\p{{N}}_]){p}(?![\p{{L}}\p{{N}}_])")
+    found = lambda p: F.array_distinct(F.regexp_extract_all("text", whole(p), F.lit(0)))
+    d = table(spark, sf, "documents").select("text")
+    raised = d.select(F.explode(found("[A-Z]{2,5}")).alias("w")).groupBy(F.lower("w").alias("term")).agg(F.count(F.lit(1)).alias("caps_df"))
+    others = F.array_distinct(F.transform(F.filter(found(r"\p{L}{2,5}"), lambda w: ~w.rlike("^[A-Z]+$")), F.lower))
+    seen = d.select(F.explode(others).alias("term")).join(raised.select("term"), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("other_df"))
+    return raised.join(seen, "term", "left").select("term", "caps_df", F.coalesce("other_df", F.lit(0)).alias("other_df"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, (regexp_matches(regexp_extract(url, '^https?://([^/:?#]+)', 1), '(^|\\.)example\\.net$') OR url LIKE '%://e.%' OR url LIKE '%://r.%') AS denied FROM pages")
