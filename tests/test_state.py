@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators import spelling
-from threadloom.streaming import state
+from threadloom.streaming import state, upkeep
 from threadloom.streaming.windows import drained
 
 
@@ -42,6 +44,24 @@ def test_jobs_end_by_word_or_by_time(spark, tmp_path):
     assert ("b", "15", "stopped", state.REAPED) in found and ("d", "23", "stopped", state.REAPED) in found and found.count(gone) == 1
 
 
+def test_reindex_by_age(spark, tmp_path):
+    """A key with few new rows fires once they have waited long enough, at the next batch of whatever key."""
+    home = str(tmp_path / "in")
+
+    def run():
+        stream = spark.readStream.schema("k string").parquet(home)
+        fired = upkeep.reindex_triggers(stream, "k", 5, 1500)
+        fired.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start().awaitTermination()
+        return sorted((r["k"], r["n"], r["reason"]) for r in spark.read.schema("k string, n long, reason string").parquet(str(tmp_path / "out")).collect())
+
+    write = lambda *keys: spark.createDataFrame([(k,) for k in keys], "k string").coalesce(1).write.mode("append").parquet(home)
+    write(*"aabbbbb")
+    assert run() == [("b", 5, "count")]
+    time.sleep(2)
+    write("c")
+    assert run() == [("a", 2, "age"), ("b", 5, "count")]
+
+
 def test_spelling(spark):
     words = spark.createDataFrame([(w,) for w in ("hause", "hosue", "mice", "ab", "x:yz", "house", "zzzzz", "hous", "miec", "mce")], "word string")
     known = spark.createDataFrame([("house", 5), ("horse", 9), ("mouse", 7), ("mice", 2), ("nice", 2)], "word string, n long")
