@@ -8,7 +8,7 @@ that is added again counts by its new rows alone.  Sums for scoring are small
 files, one for each segment, and corrected by the tombstones.
 
 A row of null text has no words but counts as a document.  A term that fills many postings is spread
-over ``PARTS`` files of its partition by document.
+over files of its partition by document, more of them in larger segments.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from threadloom.streaming.folders import new_folder
 
-BUCKETS, PARTS = 64, 8
+#: Partitions of terms, and how many documents of a segment ask for one more file in each.
+BUCKETS, DOCS_PER_PART = 64, 250_000
 K1, B = 1.2, 0.75
 _SCHEMAS = {
     "postings": "term string, field string, id {id}, tf int, dl int, positions array<int>, segment int, bucket int",
@@ -73,9 +74,10 @@ class WordIndex:
     def add(self, docs: DataFrame, id: str) -> int:
         """Write ``docs`` as a new segment; its sums come last and make it count."""
         segment = max(self._segments(), default=-1) + 1
+        parts = -(-docs.count() // DOCS_PER_PART) or 1
         each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), words(F.coalesce(F.col(f), F.lit(""))).alias("w")) for f in self.fields)))
         split = docs.select(F.col(id).alias("id"), each.alias("f")).select("id", "f.field", "f.w", F.size("f.w").alias("dl"))
-        rows = split.select("id", "field", "dl", F.posexplode("w").alias("at", "term")).withColumn("bucket", self._bucket(F.col("term"))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+        rows = split.select("id", "field", "dl", F.posexplode("w").alias("at", "term")).withColumn("bucket", self._bucket(F.col("term"))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
         dealt = rows.repartition("bucket", "part")
         postings = dealt.groupBy("bucket", "part", "term", "field", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
         postings = postings.withColumn("segment", F.lit(segment)).drop("part").sortWithinPartitions("bucket", "term", "field")
