@@ -41,6 +41,26 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return placed.join(copies, "__bin").where(F.col(point).between(F.col(low), F.col(high))).drop("__bin")
 
 
+def range_counts(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
+    """``ranges`` with ``n``, how many points lie in ``low <= point <= high``, for those that hold any; no pair is built.
+
+    Distinct values and ends are counted up in order inside bins of ``width``, and bins (one row each) from the first on;
+    a range's count is what is up to its high end less what is before its low one.
+    """
+    fit = ranges.where(F.col(low) <= F.col(high))
+    ends = lambda c, side: fit.select(F.col(c).alias("__at")).distinct().select("__at", F.lit(side).alias("__side"), F.lit(0).cast("long").alias("__n"))
+    told = points.where(F.col(point).isNotNull()).groupBy(F.col(point).alias("__at")).agg(F.count(F.lit(1)).alias("__n")).select("__at", F.lit(1).alias("__side"), "__n")
+    at = F.col("__at").cast("double")
+    rows = ends(low, 0).union(told).union(ends(high, 2)).withColumn("__bin", F.when(F.isnan(at), F.lit(2**63 - 1)).otherwise(F.floor(at / width)))
+    inside = W.partitionBy("__bin").orderBy("__at", "__side").rowsBetween(W.unboundedPreceding, 0)
+    near = rows.withColumn("__near", F.sum("__n").over(inside)).where("__side <> 1")
+    before = W.orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
+    carried = rows.groupBy("__bin").agg(F.sum("__n").alias("__all")).select("__bin", F.coalesce(F.sum("__all").over(before), F.lit(0)).alias("__before"))
+    up = near.join(carried, "__bin").withColumn("__up", F.col("__near") + F.col("__before"))
+    of = lambda c, side, name: up.where(F.col("__side") == side).select(F.col("__at").alias(c), F.col("__up").alias(name))
+    return fit.join(of(low, 0, "__less"), low).join(of(high, 2, "__most"), high).withColumn("n", F.col("__most") - F.col("__less")).where("n > 0").select(*ranges.columns, "n")
+
+
 def longest_prefix(keys: DataFrame, prefixes: DataFrame, key: str, prefix: str, value: str, default: float) -> DataFrame:
     """The distinct keys with the ``value`` of their longest prefix, or ``default``; a key's prefixes join on equality."""
     distinct = keys.select(key).distinct()
