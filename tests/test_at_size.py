@@ -48,3 +48,9 @@ def test_range_join_builds_no_pairs(spark, tmp_path):
     df = QUERIES["range_join"](spark, str(tmp_path))
     assert df.where("n = 20000").count() == 20_000
     assert "explode" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_recursion_of_more_than_a_million_rows(spark, tmp_path):
+    spark.range(1, 80_001).select(F.col("id").alias("c_custkey"), F.lit(1.0).alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
+    r = QUERIES["recursive_cte"](spark, str(tmp_path)).agg(F.count("k").alias("n"), F.max("depth").alias("deepest"), F.sum(F.col("depth") + 1 - F.col("worth")).alias("rest")).first()
+    assert (r["n"], r["deepest"], r["rest"]) == (80_000, 16, 0.0)
