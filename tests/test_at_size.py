@@ -54,3 +54,10 @@ def test_recursion_of_more_than_a_million_rows(spark, tmp_path):
     spark.range(1, 80_001).select(F.col("id").alias("c_custkey"), F.lit(1.0).alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
     r = QUERIES["recursive_cte"](spark, str(tmp_path)).agg(F.count("k").alias("n"), F.max("depth").alias("deepest"), F.sum(F.col("depth") + 1 - F.col("worth")).alias("rest")).first()
     assert (r["n"], r["deepest"], r["rest"]) == (80_000, 16, 0.0)
+
+
+def test_words_in_capitals_at_the_end_of_longer_ones(spark, tmp_path):
+    """A word of five letters may be the end of a longer one; its passage is where that is, far into the text too."""
+    texts = ["lorem " * 100 + f"AMD{k}HKU6VBLCCCCE dolor" for k in range(6)] + ["xyzabCCCCE ABCCCCE ipsum"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert ("0 1 2", 7, 0, "cccce") in [tuple(r[k] for k in (1, 0, 2, 3)) for r in agree(spark, tmp_path, "caps_vocabulary_gated", documents=docs)]

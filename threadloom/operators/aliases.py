@@ -60,7 +60,8 @@ def caps_vocabulary(messages: DataFrame, id: str, subject: str, body: str, least
     # at most ``most`` terms
     raised = own.select("id", "subject", "text", F.explode(F.filter("found", lambda w: w == F.upper(w))).alias("word")).withColumn("term", F.lower("word"))
     shown = raised.join(F.broadcast(fit.select("term")), "term").withColumn("nth", F.row_number().over(W.partitionBy("term").orderBy("id"))).where(F.col("nth") <= contexts)
-    at = F.regexp_instr("text", F.concat(F.lit(r"(?<![A-Za-z])"), F.col("word"), F.lit(r"\b")))
+    # a word of five letters may be the end of a longer one, as ``found`` takes it
+    at = F.regexp_instr("text", F.concat(F.when(F.length("word") < 5, r"(?<![A-Za-z])").otherwise(""), F.col("word"), F.lit(r"\b")))
     passage = F.btrim(F.replace(F.substring("text", F.greatest(at - width // 2, F.lit(1)), F.lit(width)), F.lit("\n"), F.lit(" ")))
     texts = shown.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat(F.lit("[subject: "), F.substring("subject", 1, 90), F.lit("] …"), passage, F.lit("…")).alias("c")))), lambda r: r["c"]).alias("contexts"))
     return fit.join(texts, "term", "left")
