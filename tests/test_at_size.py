@@ -61,3 +61,11 @@ def test_words_in_capitals_at_the_end_of_longer_ones(spark, tmp_path):
     texts = ["lorem " * 100 + f"AMD{k}HKU6VBLCCCCE dolor" for k in range(6)] + ["xyzabCCCCE ABCCCCE ipsum"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert ("0 1 2", 7, 0, "cccce") in [tuple(r[k] for k in (1, 0, 2, 3)) for r in agree(spark, tmp_path, "caps_vocabulary_gated", documents=docs)]
+
+
+def test_citations_in_the_text_itself(spark, tmp_path):
+    """Texts that hold ids of their own: words of the letters a to f, numbers, marks, repeats, and neighbours that are letters."""
+    texts = ["so decadebe and 12345678, decadebe", "édecadebe decadebeé x_decadebe ½decadebe", "[ref:abc] [ref:q w] [ref:cafe]", "12345678 87654321 deadbeef", None, ""]
+    talks = spark.createDataFrame([(k, 0, None if k == 5 else "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    found = agree(spark, tmp_path, "citations_checked", conversations=talks)
+    assert (0, False, "decadebe", 0) in found and (1, False, "decadebe", 0) not in found and (2, True, "abc", 0) in found and not {4, 5} & {r[0] for r in found}

@@ -244,7 +244,8 @@ def tool_uses(g: DataFrame) -> DataFrame:
 
 @_R.over(
     "SELECT conv_id, turn, substr(md5(text), 1, 16) AS own, substr(md5(role), 1, 12) AS other, 'as [ref:' || substr(md5(text), 1, 6) || '] and ' || substr(md5(text), 1, 16) || ' or ' || substr(md5(role), 1, 12) || ' say [ref:zz] ' || text AS text FROM conversations",
-    "SELECT conv_id, turn, unnest([left(own, 6), 'zz', own, other]) AS ref, unnest([true, false, true, false]) AS known FROM g",
+    """SELECT conv_id, turn, ref, starts_with(own || 'ff', ref) OR starts_with('abc', ref) AS known FROM (SELECT conv_id, turn, own, unnest(list_distinct(list_concat(regexp_extract_all(text, '\\[ref:([^\\]\\s]+)\\]', 1),
+      list_filter(regexp_split_to_array(regexp_replace(text, '\\[ref:[^\\]]*\\]', ' ', 'g'), '[^\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[0-9a-f]{8,20}'))))) AS ref FROM g)""",
 )
 def citations_checked(g: DataFrame) -> DataFrame:
     each = g.select("conv_id", "turn", F.explode(cleaning.citations(F.col("text"))).alias("ref"), F.array(F.concat("own", F.lit("ff")), F.lit("abc")).alias("refs"))
