@@ -69,3 +69,10 @@ def test_citations_in_the_text_itself(spark, tmp_path):
     talks = spark.createDataFrame([(k, 0, None if k == 5 else "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
     found = agree(spark, tmp_path, "citations_checked", conversations=talks)
     assert (0, False, "decadebe", 0) in found and (1, False, "decadebe", 0) not in found and (2, True, "abc", 0) in found and not {4, 5} & {r[0] for r in found}
+
+
+def test_long_texts_in_archives(spark, tmp_path):
+    """A text of an archive is kept up to the same length as one alone."""
+    docs = spark.createDataFrame([(k, "so " * n) for k, n in ((6, 20_000), (2, 20_000), (13, 16_666), (20, 5))], "doc_id long, text string")
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("https://a.example/").alias("url"), F.lit("<p>x</p>").alias("html"))
+    assert len(agree(spark, tmp_path, "files_extracted", documents=docs, pages=pages)) == 4
