@@ -76,3 +76,10 @@ def test_long_texts_in_archives(spark, tmp_path):
     docs = spark.createDataFrame([(k, "so " * n) for k, n in ((6, 20_000), (2, 20_000), (13, 16_666), (20, 5))], "doc_id long, text string")
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("https://a.example/").alias("url"), F.lit("<p>x</p>").alias("html"))
     assert len(agree(spark, tmp_path, "files_extracted", documents=docs, pages=pages)) == 4
+
+
+def test_followed_files_begin_as_they_did(spark, tmp_path):
+    """Each write of a followed file begins with the bytes of the one before, with any number of rows."""
+    talks = spark.range(20_000).select((F.col("id") % 5_000).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("é "), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int"))).alias("text"))
+    assert len(agree(spark, tmp_path, "json_lines_tailed", conversations=talks.repartition(5))) == 20_000
+    assert agree(spark, tmp_path, "lines_carried", conversations=talks.repartition(5))[0][1:] == (5_000, 20_000)

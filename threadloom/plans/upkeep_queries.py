@@ -128,32 +128,42 @@ def counts_in_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.counts()
 
 
-def _grown(df: DataFrame, folder: str, part: int, of: int) -> None:
-    """Write each partition's JSON lines to a file of its own as far as it had come after ``part`` of ``of`` writes, wherever that cuts a line."""
+def _grown(rows: DataFrame, sizes: dict[int, int], folder: str, part: int, of: int) -> None:
+    """Write each file's lines (file, line) as far as it had come after ``part`` of ``of`` writes, wherever that cuts a line; ``sizes``: whole files' bytes."""
 
     def run(batches):
         from pyarrow import fs
 
-        lines = [line for batch in batches for line in batch["line"]]
-        data = "".join(f"{line}\n" for line in lines).encode()
-        if lines:
-            system, root = fs.FileSystem.from_uri(folder)
-            system.create_dir(root)
-            with system.open_output_stream(f"{root}/part-{TaskContext.get().partitionId()}.jsonl") as out:
-                out.write(data[: len(data) * part // of])
-        yield pd.DataFrame({"n": [len(lines)]})
-
-    df.select(F.to_json(F.struct(*df.columns)).alias("line")).mapInPandas(run, "n long").agg(F.sum("n")).collect()
-
-
-def _tailed(spark: SparkSession, sf: str, name: str) -> DataFrame:
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root)
+        at, out, left = None, None, 0
+        for batch in batches:
+            for file, own in batch.groupby("file", sort=False):
+                if file != at:
+                    if out is not None:
+                        out.close()
+                    at, out, left = file, system.open_output_stream(f"{root}/part-{file}.jsonl"), sizes[file] * part // of
+                data = "".join(f"{line}\n" for line in own["line"]).encode()[:left]
+                out.write(data)
+                left -= len(data)
+            yield pd.DataFrame({"n": [len(batch)]})
+        if out is not None:
+            out.close()
+
+    rows.mapInPandas(run, "n long").agg(F.sum("n")).collect()
+
+
+def _tailed(spark: SparkSession, sf: str, name: str, files: int = 3) -> DataFrame:
     home = new_folder(spark, name)
     spark.dataSource.register(LineTail)
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text").repartitionByRange(3, "conv_id").sortWithinPartitions("conv_id", "turn")
+    lines = table(spark, sf, "conversations").select(F.pmod(F.xxhash64("conv_id"), F.lit(files)).cast("int").alias("file"), "conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "text")).alias("line"))
+    sizes = {r["file"]: r["bytes"] for r in lines.groupBy("file").agg(F.sum(F.octet_length("line") + 1).alias("bytes")).collect()}
+    # by key and in full order, so that each write begins with the bytes of the one before
+    rows = lines.repartition(files, "file").sortWithinPartitions("file", "conv_id", "turn", "line").select("file", "line")
     for part in (1, 2, 3):
-        _grown(rows, f"{home}/in", part, 3)
-        lines = spark.readStream.format("line_tail").option("path", f"{home}/in").option("range", 20_000).load()
-        lines.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        _grown(rows, sizes, f"{home}/in", part, 3)
+        stream = spark.readStream.format("line_tail").option("path", f"{home}/in").option("range", 20_000).load()
+        stream.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("file string, at long, line string").parquet(f"{home}/out")
 
 
