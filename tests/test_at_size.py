@@ -83,3 +83,10 @@ def test_followed_files_begin_as_they_did(spark, tmp_path):
     talks = spark.range(20_000).select((F.col("id") % 5_000).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("é "), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int"))).alias("text"))
     assert len(agree(spark, tmp_path, "json_lines_tailed", conversations=talks.repartition(5))) == 20_000
     assert agree(spark, tmp_path, "lines_carried", conversations=talks.repartition(5))[0][1:] == (5_000, 20_000)
+
+
+def test_sketches_hold_a_groups_values_once(spark, tmp_path):
+    """One exact percentile of counted values for each group, rows without a flag among them."""
+    lines = spark.range(3_000).select(F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("l_returnflag"), (F.col("id") % 40).alias("l_partkey"), (F.col("id") * 7 % 900 / 4).alias("l_extendedprice"))
+    assert len(agree(spark, tmp_path, "sketches", lineitem=lines)) == 3
+    assert QUERIES["sketches"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count(" percentile(") == 1
