@@ -90,3 +90,12 @@ def test_sketches_hold_a_groups_values_once(spark, tmp_path):
     lines = spark.range(3_000).select(F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("l_returnflag"), (F.col("id") % 40).alias("l_partkey"), (F.col("id") * 7 % 900 / 4).alias("l_extendedprice"))
     assert len(agree(spark, tmp_path, "sketches", lineitem=lines)) == 3
     assert QUERIES["sketches"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count(" percentile(") == 1
+
+
+def test_aliases_are_counted_in_one_pass(spark, tmp_path):
+    """A run reads its messages once: abbreviations, terms and both come out of one table of counts."""
+    texts = [f"NASA ABC the lorem{k % 3} ipsum of{' nasa lorem' * (k % 4)} AB CD x dolor" for k in range(24)] + ["", "of", "lorem ipsum dolor", "THE a the b", None, "lorem  ipsum-dolor\nlorem ipsum"] * 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name, runs in (("aliases_discovered", 1), ("aliases_from_runs", 3)):
+        assert len(agree(spark, tmp_path, name, documents=docs)) > 8
+        assert QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("Relation [doc_id") == runs

@@ -12,24 +12,29 @@ SHORT, LEAST_SEEN, LEAST_BOTH, LEAST_JACCARD = 5, 3, 5, 0.2
 
 
 def terms_of(text: Column, short: int = SHORT) -> tuple[Column, Column]:
-    """(abbreviations of a text in lower case, its words and word pairs longer than ``short``), both distinct."""
+    """(abbreviations of a text in lower case, sorted, its words and word pairs), both distinct.
+
+    Pairs are matched in the joined words and not put together by a lambda, which Spark would
+    interpret for each word, and with it all that ``text`` is made of.
+    """
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
-    pairs = F.transform(F.slice(F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("b")), F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda p: F.concat(p["a"], F.lit(" "), p["b"]))
-    long = F.filter(F.array_distinct(F.concat(words, pairs)), lambda w: F.length(w) > short)
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"\b[A-Z]{{2,{short}}}\b"), F.lit(0)), F.lower)), long
+    pairs = F.regexp_extract_all(F.array_join(words, " "), F.lit("(?<![a-z])(?=([a-z]+ [a-z]+))"), F.lit(1))
+    abbreviations = F.split(F.lower(F.array_join(F.regexp_extract_all(text, F.lit(rf"\b[A-Z]{{2,{short}}}\b"), F.lit(0)), " ")), " ")
+    return F.array_sort(F.array_distinct(F.array_remove(abbreviations, ""))), F.array_distinct(F.concat(words, pairs))
+
 
+def counts(messages: DataFrame, text: Column, short: int = SHORT) -> DataFrame:
+    """One batch's run (abbreviations, expansion, n): in how many messages a word or pair longer than ``short`` stands beside just these abbreviations.
 
-def counts(messages: DataFrame, text: Column, short: int = SHORT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One batch's run: (term, n) of abbreviations, (expansion, n) of long terms, (term, expansion, n) of both in a message."""
+    Abbreviations are one text of words; the messages themselves count under an empty expansion.
+    So a message has one row for each of its terms, however many abbreviations it has.
+    """
     abbreviations, long = terms_of(text, short)
-    own = messages.select(abbreviations.alias("abbreviations"), long.alias("long"))
-    both = own.where(F.size("abbreviations") > 0).select(F.explode("abbreviations").alias("term"), "long").select("term", F.explode("long").alias("expansion")).where(~F.col("expansion").contains(F.col("term")))
-    n = F.count(F.lit(1)).alias("n")
-    return (
-        own.select(F.explode("abbreviations").alias("term")).groupBy("term").agg(n),
-        own.select(F.explode("long").alias("expansion")).groupBy("expansion").agg(n),
-        both.groupBy("term", "expansion").agg(n),
-    )
+    own = messages.select(F.array_join(abbreviations, " ").alias("abbreviations"), F.concat(F.array(F.lit("")), long).alias("long"))
+    # the generator reads both columns, or Spark would work out the abbreviations again for each of its rows
+    terms = F.explode(F.when(F.col("abbreviations").isNotNull(), F.col("long")))
+    rows = own.select("abbreviations", terms.alias("expansion")).where((F.col("expansion") == "") | (F.length("expansion") > short))
+    return rows.groupBy("abbreviations", "expansion").agg(F.count(F.lit(1)).alias("n"))
 
 
 def added(runs: list[DataFrame], *keys: str) -> DataFrame:
@@ -37,11 +42,18 @@ def added(runs: list[DataFrame], *keys: str) -> DataFrame:
     return reduce(DataFrame.unionByName, runs).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
-def discover(short: DataFrame, long: DataFrame, both: DataFrame, least_seen: int = LEAST_SEEN, least_both: int = LEAST_BOTH, least_jaccard: float = LEAST_JACCARD, tried: int = 20, kept: int = 3) -> DataFrame:
-    """(term, expansion, n, jaccard, nth): of an abbreviation's ``tried`` commonest companions the first ``kept`` that overlap enough."""
-    pairs = both.where(F.col("n") >= least_both).join(short.where(F.col("n") >= least_seen).withColumnRenamed("n", "df_term"), "term")
-    near = pairs.withColumn("__nth", F.row_number().over(W.partitionBy("term").orderBy(F.desc("n"), "expansion"))).where(F.col("__nth") <= tried)
-    scored = near.join(long.withColumnRenamed("n", "df_expansion"), "expansion").withColumn("jaccard", F.col("n") / (F.col("df_term") + F.col("df_expansion") - F.col("n"))).where(F.col("jaccard") >= least_jaccard)
+def discover(run: DataFrame, least_seen: int = LEAST_SEEN, least_both: int = LEAST_BOTH, least_jaccard: float = LEAST_JACCARD, tried: int = 20, kept: int = 3) -> DataFrame:
+    """(term, expansion, n, jaccard, nth): of an abbreviation's ``tried`` commonest companions the first ``kept`` that overlap enough.
+
+    An expansion in fewer than ``least_both`` messages is in no pair that counts, so only others are paired.  An
+    abbreviation's first companion is the empty one, which tells in how many messages it is.
+    """
+    frequent = run.withColumn("df_expansion", F.sum("n").over(W.partitionBy("expansion"))).where(F.col("df_expansion") >= least_both)
+    each = frequent.select(F.explode(F.split("abbreviations", " ")).alias("term"), "expansion", "n", "df_expansion").where((F.col("term") != "") & ~F.col("expansion").contains(F.col("term")))
+    pairs = each.groupBy("term", "expansion").agg(F.sum("n").alias("n"), F.max("df_expansion").alias("df_expansion")).where(F.col("n") >= least_both)
+    near = pairs.withColumn("__nth", F.row_number().over(W.partitionBy("term").orderBy(F.desc("n"), "expansion"))).where(F.col("__nth") <= tried + 1)
+    told = near.withColumn("df_term", F.max("n").over(W.partitionBy("term"))).where((F.col("df_term") >= least_seen) & (F.col("expansion") != ""))
+    scored = told.withColumn("jaccard", F.col("n") / (F.col("df_term") + F.col("df_expansion") - F.col("n"))).where(F.col("jaccard") >= least_jaccard)
     nth = F.row_number().over(W.partitionBy("term").orderBy("__nth"))
     return scored.withColumn("nth", nth).where(F.col("nth") <= kept).select("term", "expansion", "n", F.round("jaccard", 6).alias("jaccard"), "nth")
 

@@ -34,17 +34,15 @@ _FOUND = """SELECT term, expansion, n, round(jaccard, 6)::DOUBLE AS jaccard, nth
 @_R.query(f"WITH {_TERMS} {_FOUND}")
 def aliases_discovered(spark: SparkSession, sf: str) -> DataFrame:
     """Companions of abbreviations; the texts' words are invented, so little overlap is asked for."""
-    counted = aliases.counts(table(spark, sf, "documents"), _text())
-    return aliases.discover(*counted, least_jaccard=0.02)
+    return aliases.discover(aliases.counts(table(spark, sf, "documents"), _text()), least_jaccard=0.02)
 
 
 @_R.query(f"WITH {_TERMS} {_FOUND}")
 def aliases_from_runs(spark: SparkSession, sf: str) -> DataFrame:
     """The same from three runs of counts added up, as batches leave them."""
     d = table(spark, sf, "documents")
-    runs = zip(*(aliases.counts(d.where(F.col("doc_id") % 3 == k), _text()) for k in range(3)), strict=True)
-    keys = (("term",), ("expansion",), ("term", "expansion"))
-    return aliases.discover(*(aliases.added(list(r), *k) for r, k in zip(runs, keys, strict=True)), least_jaccard=0.02)
+    runs = [aliases.counts(d.where(F.col("doc_id") % 3 == k), _text()) for k in range(3)]
+    return aliases.discover(aliases.added(runs, "abbreviations", "expansion"), least_jaccard=0.02)
 
 
 @_R.query(
