@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tests.test_oracle import rows
 from threadloom.catalogue import ORACLE_SQL, QUERIES
 from threadloom.operators import joins
+from threadloom.sources.mail import table
+from threadloom.sources.word_index import WordIndex
 
 
 @pytest.fixture(scope="session")
@@ -99,3 +101,18 @@ def test_aliases_are_counted_in_one_pass(spark, tmp_path):
     for name, runs in (("aliases_discovered", 1), ("aliases_from_runs", 3)):
         assert len(agree(spark, tmp_path, name, documents=docs)) > 8
         assert QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("Relation [doc_id") == runs
+
+
+def test_index_deals_postings_not_words(spark, tmp_path):
+    """Each document's terms and length come out of one reading of it; empty and null texts have a length too."""
+    docs = spark.createDataFrame([(1, "b a b c a b"), (2, None), (3, ""), (4, "c")], "id long, t string")
+    index = WordIndex(spark, str(tmp_path / "i"), ["t"], buckets=4)
+    index.add(docs, "id")
+    assert {(r["id"], r["dl"]) for r in index._lengths(0).collect()} == {(1, 6), (2, 0), (3, 0), (4, 1)}
+    assert {(r["id"], r["term"], r["tf"], r["dl"], *r["positions"]) for r in index.postings(["a", "b", "c"]).collect()} == {(1, "a", 2, 6, 1, 4), (1, "b", 3, 6, 0, 2, 5), (1, "c", 1, 6, 3), (4, "c", 1, 1, 0)}
+
+
+def test_subjects_move_no_bodies(spark):
+    """A message's subject is made before the joins of its view."""
+    plan = table(spark, "/root/testdata/sf0.001", "messages").select("id", "subject")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" not in plan.split("Join")[0] and "split" in plan

@@ -5,7 +5,8 @@ so a query's terms are partition filters and the rest is skipped by the files' o
 statistics, rows being sorted by term.  Adding documents writes a segment beside the
 others; a deletion adds tombstones that name the segment whose rows no longer count, so a document
 that is added again counts by its new rows alone.  Sums for scoring are small
-files, one for each segment, and corrected by the tombstones.
+files, one for each segment, and corrected by the tombstones.  A document's length in each field is
+a posting of no term, in a partition of its own.
 
 A row of null text has no words but counts as a document.  A term that fills many postings is spread
 over files of its partition by document, more of them in larger segments.
@@ -15,9 +16,12 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +29,11 @@ from threadloom.streaming.folders import new_folder
 
 #: Partitions of terms, and how many documents of a segment ask for one more file in each.
 BUCKETS, DOCS_PER_PART = 64, 250_000
+#: The partition of the documents' lengths.
+LENGTHS = -1
 K1, B = 1.2, 0.75
 _SCHEMAS = {
     "postings": "term string, field string, id {id}, tf int, dl int, positions array<int>, segment int, bucket int",
-    "docs": "id {id}, field string, dl int, segment int",
     "gone": "id {id}, field string, dl int, segment int",
 }
 
@@ -37,6 +42,37 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def _postings() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (id, field, w) to (id, field, term, dl, tf, positions): one for each term of a row, and one without term for the row itself."""
+
+    def run(batches):
+        for batch in batches:
+            ids, fields, w = batch.columns
+            dl = w.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+            row = np.repeat(np.arange(len(dl)), dl)
+            at = (np.arange(len(row)) - np.repeat(np.cumsum(dl, dtype=np.int64) - dl, dl)).astype(np.int32)
+            coded = w.flatten().dictionary_encode()
+            key = row * (len(coded.dictionary) + 1) + coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            ends = np.append(first, len(order)).astype(np.int32)
+            places = pa.ListArray.from_arrays(pa.array(ends), pa.array(at[order]))
+            own, rest = row[order[first]], len(dl)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([ids.take(pa.array(own)), ids]),
+                    pa.concat_arrays([fields.take(pa.array(own)), fields]),
+                    pa.concat_arrays([coded.dictionary.take(coded.indices.take(pa.array(order[first]))), pa.nulls(rest, coded.dictionary.type)]),
+                    pa.array(np.concatenate([dl[own], dl])),
+                    pa.array(np.concatenate([np.diff(ends), np.zeros(rest, np.int32)]).astype(np.int32)),
+                    pa.concat_arrays([places, pa.nulls(rest, places.type)]),
+                ],
+                names=["id", "field", "term", "dl", "tf", "positions"],
+            )
+
+    return run
+
+
 class WordIndex:
     """An index in ``folder``; ``kind`` is the documents' id type, ``fields`` the columns they are searched by."""
 
@@ -60,6 +96,12 @@ class WordIndex:
         paths = [f"{self.folder}/{part}/{u}" for u in under] or ([f"{self.folder}/{part}"] if self._names(part) else [])
         return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{part}").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _lengths(self, *segments: int) -> DataFrame:
+        """(id, field, dl, segment) of every document of some segments."""
+        under = [f"segment={s}/bucket={LENGTHS}" for s in segments if f"bucket={LENGTHS}" in self._names(f"postings/segment={s}")]
+        rows = self._read("postings", *under) if under else self.spark.createDataFrame([], _SCHEMAS["postings"].format(id=self.kind))
+        return rows.select("id", "field", "dl", "segment")
+
     def _segments(self) -> dict[int, dict[str, list[int]]]:
         """(documents, words) by field of each finished segment."""
         out = {}
@@ -76,14 +118,13 @@ class WordIndex:
         segment = max(self._segments(), default=-1) + 1
         parts = -(-docs.count() // DOCS_PER_PART) or 1
         each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), words(F.coalesce(F.col(f), F.lit(""))).alias("w")) for f in self.fields)))
-        split = docs.select(F.col(id).alias("id"), each.alias("f")).select("id", "f.field", "f.w", F.size("f.w").alias("dl"))
-        rows = split.select("id", "field", "dl", F.posexplode("w").alias("at", "term")).withColumn("bucket", self._bucket(F.col("term"))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-        dealt = rows.repartition("bucket", "part")
-        postings = dealt.groupBy("bucket", "part", "term", "field", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
-        postings = postings.withColumn("segment", F.lit(segment)).drop("part").sortWithinPartitions("bucket", "term", "field")
-        postings.drop("segment").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
-        split.select("id", "field", "dl").write.mode("overwrite").parquet(f"{self.folder}/docs/segment={segment}")
-        sums = self._read("docs", f"segment={segment}").groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")).collect()
+        split = docs.select(F.col(id).alias("id"), each.alias("f")).select("id", "f.field", "f.w")
+        # a document's terms are told by its own task, so postings are moved and not words
+        found = split.mapInArrow(_postings(), f"id {self.kind}, field string, term string, dl int, tf int, positions array<int>")
+        placed = found.withColumn("bucket", F.when(F.col("term").isNull(), LENGTHS).otherwise(self._bucket(F.col("term"))))
+        dealt = placed.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(parts))).sortWithinPartitions("bucket", "term", "field")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
+        sums = self._lengths(segment).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")).collect()
         path, system = self._path(f"sums/{segment}")
         out = system.create(path, False)
         out.write(bytearray(json.dumps({r["field"]: [r["n"], r["words"]] for r in sums}).encode()))
@@ -92,7 +133,7 @@ class WordIndex:
 
     def delete(self, ids: DataFrame, id: str) -> None:
         """From now on the rows these documents have don't count."""
-        own = self._read("docs").join(ids.select(F.col(id).alias("id")).distinct(), "id", "left_semi")
+        own = self._lengths(*self._segments()).join(ids.select(F.col(id).alias("id")).distinct(), "id", "left_semi")
         fresh = own.join(self._read("gone").select("id", "field", "segment"), ["id", "field", "segment"], "left_anti")
         fresh.write.mode("append").parquet(f"{self.folder}/gone")
 
