@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.test_oracle import rows
 from threadloom.catalogue import ORACLE_SQL, QUERIES
 from threadloom.operators import joins
+from threadloom.plans import upkeep_queries
 from threadloom.sources.mail import table
 from threadloom.sources.word_index import WordIndex
 
@@ -116,3 +117,13 @@ def test_subjects_move_no_bodies(spark):
     """A message's subject is made before the joins of its view."""
     plan = table(spark, "/root/testdata/sf0.001", "messages").select("id", "subject")._jdf.queryExecution().optimizedPlan().toString()
     assert "split" not in plan.split("Join")[0] and "split" in plan
+
+
+def test_batches_of_more_files(spark, tmp_path, monkeypatch):
+    """Batches stay seven whatever the table's size; their files grow in number."""
+    monkeypatch.setattr(upkeep_queries, "MESSAGES_PER_FILE", 10)
+    homes = []
+    monkeypatch.setattr(upkeep_queries, "new_folder", lambda s, n: homes.append(str(tmp_path / n)) or homes[-1])
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.concat(F.lit("lorem w"), F.col("id") % 7).alias("text"))
+    assert len(agree(spark, tmp_path, "counts_in_runs", documents=docs)) == 8
+    assert len(list((tmp_path / "runs" / "in").glob("*.parquet"))) > 7 and len(list((tmp_path / "runs" / "checkpoint" / "offsets").glob("[0-9]*"))) <= 7

@@ -19,6 +19,8 @@ from threadloom.streaming.versions import Versions
 
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.oracle
+#: About how many messages ask for one more file in each batch of a stream.
+MESSAGES_PER_FILE = 4_000
 
 
 @_R.query("SELECT o_orderkey, o_custkey % 3 AS tenant, o_totalprice * CASE WHEN o_custkey % 3 = 1 THEN 2 ELSE 1 END AS price FROM orders WHERE o_custkey % 3 <> 1 OR o_orderstatus = 'F'")
@@ -107,9 +109,11 @@ def summaries_reconciled(spark: SparkSession, sf: str) -> DataFrame:
     home = new_folder(spark, "reconcile")
     own = table(spark, sf, "messages")
     versions = Versions(spark, f"{home}/summaries")
+    # two batches a part, of more files the more messages there are
+    files = -(-own.count() // MESSAGES_PER_FILE) or 1
     for part in (0, 1):
-        own.where(F.col("history_id") % 2 == part).repartition(2).write.mode("append").parquet(f"{home}/messages")
-        stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/messages")
+        own.where(F.col("history_id") % 2 == part).repartition(2 * files).write.mode("append").parquet(f"{home}/messages")
+        stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", files).parquet(f"{home}/messages")
         upkeep.reconcile(stream, versions, f"{home}/checkpoint", lambda: spark.read.schema(own.schema).parquet(f"{home}/messages"), buckets=8)
     return versions.current()[1].withColumn("participants", F.array_join("participants", "|")).withColumn("all_labels", F.array_join("all_labels", "|"))
 
@@ -119,8 +123,10 @@ def counts_in_runs(spark: SparkSession, sf: str) -> DataFrame:
     """In how many documents each word is, counted as documents stream in: a run for each batch, added up after every fourth, a batch told twice."""
     home = new_folder(spark, "runs")
     d = table(spark, sf, "documents").select("doc_id", "text")
-    d.repartition(7, "doc_id").write.parquet(f"{home}/in")
-    words = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in").select(F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("w"))
+    # seven batches, of more files the more documents there are
+    files = -(-d.count() // MESSAGES_PER_FILE) or 1
+    d.repartition(7 * files, "doc_id").write.parquet(f"{home}/in")
+    words = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", files).parquet(f"{home}/in").select(F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("w"))
     runs = upkeep.Runs(Versions(spark, f"{home}/runs"), "w", most=4)
     runs.follow(words, f"{home}/checkpoint")
     source = next(iter(runs.versions.pointer().done))

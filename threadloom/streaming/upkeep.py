@@ -61,17 +61,17 @@ class Runs:
         if before.done.get(source, -1) >= batch:
             return False
         run = max(before.buckets, default=-1) + 1
-        before = self.versions.publish(counts, F.lit(run), [run], before, source, batch)
+        before = self.versions.publish(counts, F.lit(run), [run], before, source, batch, spread=self.key)
         if len(before.buckets) > self.most:
             now = self.versions.pointer()
-            self.versions.publish(self.counts(), F.lit(run + 1), [*now.buckets, run + 1], now)
+            self.versions.publish(self.counts(), F.lit(run + 1), [*now.buckets, run + 1], now, spread=self.key)
         return True
 
     def rebuild(self, counts: DataFrame, source: str, batch: int) -> None:
         """Replace all runs by ``counts`` of everything up to ``batch``."""
         now = self.versions.pointer()
         run = max(now.buckets, default=-1) + 1
-        self.versions.publish(counts, F.lit(run), [*now.buckets, run], now, source, batch)
+        self.versions.publish(counts, F.lit(run), [*now.buckets, run], now, source, batch, spread=self.key)
 
     def counts(self) -> DataFrame:
         """All runs as one."""

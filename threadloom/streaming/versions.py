@@ -83,14 +83,17 @@ class Versions:
         table = self.read(now)
         return None if table is None else (now.number, table)
 
-    def publish(self, rows: DataFrame, bucket: F.Column, touched: list[int], before: Pointer, source: str | None = None, batch: int = -1) -> Pointer:
+    def publish(self, rows: DataFrame, bucket: F.Column, touched: list[int], before: Pointer, source: str | None = None, batch: int = -1, spread: str | None = None) -> Pointer:
         """Make the version after ``before``: ``rows`` are all rows of the ``touched`` buckets, the others stay as they are.
 
-        A touched bucket without rows is dropped.  ``source`` and ``batch`` are kept beside the version.
+        A touched bucket without rows is dropped.  A bucket is one file, or as many as its
+        size asks for, dealt by the column ``spread``.  ``source`` and ``batch`` are kept beside the version.
         """
         number = before.number + 1
         home = f"{number}-{uuid.uuid4().hex[:12]}"
-        rows.withColumn(BUCKET, bucket.cast("int")).repartition(max(1, min(len(touched), 200)), BUCKET).write.partitionBy(BUCKET).parquet(f"{self.folder}/data/{home}")
+        marked = rows.withColumn(BUCKET, bucket.cast("int"))
+        dealt = marked.repartition(BUCKET, spread) if spread else marked.repartition(max(1, min(len(touched), 200)), BUCKET)
+        dealt.write.partitionBy(BUCKET).parquet(f"{self.folder}/data/{home}")
         made = {int(n.partition("=")[2]) for n in self._names(f"data/{home}") if n.startswith(f"{BUCKET}=")}
         buckets = {b: v for b, v in before.buckets.items() if b not in touched} | dict.fromkeys(made, home)
         done = before.done | ({source: batch} if source is not None else {})
