@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.test_oracle import rows
 from threadloom.catalogue import ORACLE_SQL, QUERIES
-from threadloom.operators import joins
+from threadloom.operators import gate, joins
 from threadloom.plans import upkeep_queries
 from threadloom.sources.mail import table
 from threadloom.sources.word_index import WordIndex
@@ -127,3 +127,35 @@ def test_batches_of_more_files(spark, tmp_path, monkeypatch):
     docs = spark.range(30).select(F.col("id").alias("doc_id"), F.concat(F.lit("lorem w"), F.col("id") % 7).alias("text"))
     assert len(agree(spark, tmp_path, "counts_in_runs", documents=docs)) == 8
     assert len(list((tmp_path / "runs" / "in").glob("*.parquet"))) > 7 and len(list((tmp_path / "runs" / "checkpoint" / "offsets").glob("[0-9]*"))) <= 7
+
+
+def joined(df):
+    """Columns that come out of any join of the plan, those of scalar subqueries too."""
+    found = set()
+    gate._walk(df._jdf.queryExecution().optimizedPlan(), lambda p: found.update(a.name() for a in gate._seq(p.output())) if gate._name(p) == "Join" else None, lambda e: None)
+    return found
+
+
+def test_guests_move_no_bodies(spark, tmp_path):
+    """Messages are joined once for all tenants; what a tenant's query joins are ids, dates and sizes."""
+    docs = spark.range(120).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 11 > 0, F.concat(F.lit("a Ba"), F.col("id"), F.lit(". "), F.repeat(F.lit("lorem "), (F.col("id") * 7 % 50).cast("int")))).alias("text"), F.lit("s").alias("source"))
+    events = spark.range(10, 130).select(F.col("id").alias("event_id"), F.expr("timestamp_seconds(id DIV 4 % 2 * id * 60)").alias("ts"), F.when(F.col("id") % 13 > 0, F.floor(F.col("id") / 2) % 4).alias("user_id"), F.lit("view").alias("event_type"))
+    pages = spark.range(35).select(F.col("id").alias("page_id"), F.lit("https://a.example/").alias("url"), F.when(F.col("id") % 5 > 0, F.repeat(F.lit("é"), F.col("id").cast("int"))).alias("html"))
+    labels = spark.range(0, 120, 2).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    found = agree(spark, tmp_path, "guest_sql", documents=docs, events=events, pages=pages, labels=labels)
+    assert {r[-1] for r in found} == {"u0", "u1", "u2"}
+    columns = joined(QUERIES["guest_sql"](spark, str(tmp_path)))
+    assert {"id", "thread_id", "size_bytes"} <= columns and not columns & {"text", "html", "body_text", "extracted_text"}
+
+
+def test_sizes_move_no_pages(spark):
+    """An attachment's size is made before the joins of its view."""
+    assert "html" not in joined(table(spark, "/root/testdata/sf0.001", "attachments").select("id", "size_bytes"))
+
+
+def test_tables_by_owner(spark, tmp_path):
+    """Every row of every owner comes back as it was, also of those without one and with an empty name, and a tenant sees its own."""
+    df = spark.createDataFrame([(k, u, "x" * k, [u or "-"]) for k, u in enumerate(["b", None, "", "a", "1", "01", "b"])], "id long, user_id string, t string, l array<string>")
+    back = gate.by_owner(df.repartition(3), str(tmp_path / "m"))
+    assert back.dtypes == df.dtypes and sorted(back.collect(), key=lambda r: r["id"]) == sorted(df.collect(), key=lambda r: r["id"])
+    assert [[r[0] for r in gate.answer(spark, "SELECT id FROM m ORDER BY id", {"m": back}, user=u).rows] for u in ("b", "", "1", "c")] == [[0, 6], [2], [4], []]

@@ -10,6 +10,7 @@ from threadloom.operators import gate
 from threadloom.plans.registry import Registry
 from threadloom.sources import files
 from threadloom.sources.mail import table, with_views
+from threadloom.streaming.folders import new_folder
 
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.oracle
@@ -135,8 +136,9 @@ _TENANTS = ("u0", "u1", "u2")
 
 @_R.query("WITH t AS (SELECT NULL) SELECT 1")
 def guest_sql(spark: SparkSession, sf: str) -> DataFrame:
-    """One query of guests' own, as each tenant sees it."""
-    tables = {n: table(spark, sf, n) for n in ("messages", "attachments")}
+    """One query of guests' own, as each tenant sees it; messages are joined once and not for each tenant and mention."""
+    messages = gate.by_owner(table(spark, sf, "messages"), f"{new_folder(spark, 'guests')}/messages")
+    tables = {"messages": messages, "attachments": table(spark, sf, "attachments", messages=messages)}
     parts = [gate.query(spark, _GUEST, tables, user).withColumn("tenant", F.lit(user)) for user in _TENANTS]
     return parts[0].union(parts[1]).union(parts[2])
 
